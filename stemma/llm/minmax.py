@@ -15,7 +15,6 @@ pairs in proportion to its size.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, batch, cut, id_text, on_workers
+from .common import batch, cut, id_text, on_workers
 from .components import components
 
 SHINGLE = 5
@@ -36,8 +35,6 @@ SMALL = 8
 #: Neighbours on one side that a set of a larger bucket is paired with at first.
 NEAR = 2
 
-_SPLIT = re.compile(WORD)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -54,22 +51,20 @@ class Words:
     def __init__(self, memory: int = 400_000):
         self.known, self.memory = {}, memory
 
-    def hashes(self, words: list[str]) -> np.ndarray:
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
 
         known = self.known
         if len(known) > self.memory:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            known[w] = xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str, words: Words, k: int = SHINGLE) -> np.ndarray:
     """The set as sorted 64-bit hashes; a text of fewer than k words is one shingle, one without words none."""
-    found = _SPLIT.findall(text.translate(_LOWER)) if not text.isascii() else text.lower().split()
-    if text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        found = _SPLIT.findall(text.translate(_LOWER))  # str.split also cuts there
+    found = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes, both touch ASCII only
     if not found:
         return np.zeros(0, np.uint64)
     h = words.hashes(found)

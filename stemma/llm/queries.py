@@ -41,6 +41,12 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minmax
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_source_mix": op4_source_mix,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_window_dedup": op6_window_dedup,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
 }
 
