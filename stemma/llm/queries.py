@@ -29,6 +29,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import edit_fingerprint
+
+    return edit_fingerprint.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -62,6 +68,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_edit_fingerprint": op3_edit_fingerprint,
     "op4_source_mix": op4_source_mix,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_window_dedup": op6_window_dedup,
