@@ -53,6 +53,12 @@ def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_graph
+
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_crf
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_window_dedup": op6_window_dedup,
+    "op7_vector_near_dedup": op7_vector_near_dedup,
     "op8_page_text": op8_page_text,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
