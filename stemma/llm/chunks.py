@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; it and some arrays of 8 bytes for each of them are in memory at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Keys that a shard gets.
-SHARD_KEYS = 3 << 20
+SHARD_KEYS = 1 << 20
 #: Borders taken from quantiles of the ids; between them, chunks are of equal width.
 BORDERS = 200
 #: Cells of a sketch row for each key.
@@ -145,10 +145,10 @@ def merged(t: pa.Table, levels: tuple[int, ...]) -> pa.Table:
         low, mid, high, n = unpack(d.as_py(), np.uint16, np.uint16, np.uint32, np.uint8)
         cells.append(np.cumsum(low.astype(np.uint64) | mid.astype(np.uint64) << np.uint64(16) | high.astype(np.uint64) << np.uint64(32), dtype=np.uint64))
         counts.append(n)
-    flat, n = np.concatenate(cells), np.concatenate(counts).astype(np.int64)
+    flat, n = np.concatenate(cells), np.concatenate(counts)
     order = np.argsort(flat)
     starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-    total = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(flat))))
+    total = np.repeat(np.add.reduceat(n[order], starts, dtype=np.int64), np.diff(np.append(starts, len(flat))))
     reach = np.zeros(len(flat), np.uint8)
     reach[order] = sum((total >= x).astype(np.uint8) for x in levels)
     parts = np.split(reach, np.cumsum([len(c) for c in cells])[:-1])

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, cut, id_text, on_workers
 from .components import components
+from .words import mix as _mix
+from .words import window_hashes, word_hashes
 
 SHINGLE = 5
 PERMUTATIONS = 64
@@ -48,56 +50,31 @@ _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, memory: int = 400_000):
-        self.known, self.memory = {}, memory
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(text: str, words: Words, k: int = SHINGLE) -> np.ndarray:
-    """The set as sorted 64-bit hashes; a text of fewer than k words is one shingle, one without words none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes, both touch ASCII only
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = words.hashes(found)
-    k = min(k, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = _mix(out ^ h[j : j + len(out)])
-    return np.unique(out)
+def shingles(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """Sets as sorted 64-bit hashes; a text of fewer than k words is one shingle, one without words none."""
+    # on bytes, lower() and white space are ASCII's
+    h, words = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+    full = window_hashes(h, k, k)
+    out, at = [], 0
+    for n in words.tolist():
+        own = full[at : at + n - k + 1] if n >= k else window_hashes(h[at : at + n], n, n) if n else full[:0]
+        out.append(np.unique(own))
+        at += n
+    return out
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, n (set size), a 128-bit digest of the set, the hashes of its bands (null for an empty set) and a byte of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
-            rows, block, sets = [], 0, []
-            for i in range(b.num_rows):
-                s = shingles(b.column(1)[i].as_py(), words, k)
-                sets.append(s)
-                block += len(s)
-                if block > 200_000 or i == b.num_rows - 1:
-                    rows += _signed(sets)
-                    sets, block = [], 0
+            rows, texts, size = [], [], 0
+            for i, t in enumerate(b.column(1)):
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size > 1_500_000 or i == b.num_rows - 1:
+                    rows += _signed(shingles(texts, k))
+                    texts, size = [], 0
             yield batch(_SIG, b.column(0), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
 
     on_workers(df.sparkSession)
@@ -185,8 +162,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> Data
     sent = need.join(texts, "doc_id").select("hub", "block", "doc_id", "text")
 
     def check(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        words = Words(1_000_000)
-        sets = {i: shingles(t, words, k) for i, t in zip(g["doc_id"], g["text"], strict=True)}
+        sets = dict(zip(g["doc_id"], shingles(g["text"].tolist(), k), strict=True))
         a, mine = int(key[0]), None
         mine = sets.pop(a)
         hits = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 from .common import id_text, on_workers, sha256
-from .minmax import _mix
+from .words import mix as _mix
 
 LENGTH = 50
 GRAM = 16

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from . import chunks as C
 from .common import id_text, on_workers, sha256
-from .minmax import Words, _mix
+from .words import window_hashes, word_hashes
 
 WINDOW = 13
 DEPTH = 2
@@ -25,25 +25,14 @@ class _Windows:
     """All windows of a chunk's documents, in order: digests h (64 bits) and g (32 bits), and the document of each."""
 
     def __init__(self, t: pa.Table, width: int):
-        self.ids, texts = C.ordered(t)
-        self.words = [x.split() for x in texts]  # bytes are split at exactly the ASCII white space
-        known, h, g, self.sizes = Words(), [], [], []
-        for i, w in enumerate(self.words):
-            n = len(w) - width + 1 if self.ids[i] is not None else 0
-            self.sizes.append(max(0, n))
-            if n > 0:
-                x = known.hashes(w)
-                a, b = np.full(n, 1, np.uint64), np.full(n, 2, np.uint64)
-                for j in range(width):
-                    y = x[j : j + n]
-                    a = (a ^ y) * np.uint64(0x9FB21C651E98DF25)
-                    a ^= a >> np.uint64(32)
-                    b = (b + y) * np.uint64(0xD6E8FEB86659FD93)
-                    b ^= b >> np.uint64(29)
-                h.append(_mix(a))
-                g.append((_mix(b) >> np.uint64(32)).astype(np.uint32))
-        self.h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        self.g = np.concatenate(g) if g else np.zeros(0, np.uint32)
+        self.ids, self.texts = C.ordered(t)
+        words, self.words = word_hashes(self.texts)
+        self.sizes = np.maximum(0, self.words - width + 1) * np.array([i is not None for i in self.ids], np.int64)
+        begin = np.concatenate(([0], np.cumsum(self.words)))[:-1]
+        # windows of all texts in a row; those that begin too late in their text, or reach into the next, are left out
+        at = np.repeat(begin - np.concatenate(([0], np.cumsum(self.sizes)))[:-1], self.sizes) + np.arange(self.sizes.sum())
+        self.h = window_hashes(words, width, 1)[at]
+        self.g = (window_hashes(words, width, 2)[at] >> np.uint64(32)).astype(np.uint32)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -119,15 +108,18 @@ def remove_repeats(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", t
             ids = np.array([i if i is not None else 0 for i in w.ids], np.int64)
             starts[maybe] = seen[back] | (ids[first[back]] < ids[docs_at]) if len(h) else False
         out, at = [], 0
-        for words, n, doc in zip(w.words, w.sizes, w.ids, strict=True):
-            gone = np.zeros(len(words) + 1, np.int64)
+        for text, n, doc in zip(w.texts, w.sizes.tolist(), w.ids, strict=True):
+            words, removed = text.split(), 0  # bytes are split at exactly the ASCII white space
             s = np.flatnonzero(starts[at : at + n])
             at += n
-            gone[s] += 1
-            np.add.at(gone, s + width, -1)
-            cover = np.cumsum(gone[:-1]) > 0
-            left = b" ".join(words if not len(s) else [x for x, c in zip(words, cover, strict=True) if not c])
-            out.append((doc, len(words), int(cover.sum()), left.decode("utf-8", "surrogatepass") if texts else None, sha256(left)))
+            if len(s):
+                gone = np.zeros(len(words) + 1, np.int64)
+                gone[s] += 1
+                gone[s + width] -= 1
+                cover = np.cumsum(gone[:-1]) > 0
+                removed, kept = int(cover.sum()), [x for x, c in zip(words, cover.tolist(), strict=True) if not c]
+            left = b" ".join(kept if len(s) else words)
+            out.append((doc, len(words), removed, left.decode("utf-8", "surrogatepass") if texts else None, sha256(left)))
         return pa.table([list(c) for c in zip(*out, strict=True)], schema=OUT)
 
     counted = docs.groupBy("chunk").applyInArrow(count, C.ROW_SQL)
