@@ -1,10 +1,20 @@
-"""Cutting the lineage of iterated plans."""
+"""Cutting the lineage of iterated plans, and what Python workers need."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cut import on_workers
 from .fixtures import Model, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,12 @@ def query(name: str, sql: str | None = None):
     def put(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            on_workers(spark)
+            return f(Model(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = oracle(sql)
         return f
