@@ -219,7 +219,7 @@ def near_duplicates(df: DataFrame, share: float = 0.1, id_col: str = "doc_id", t
     rows = classes.select("rep", "fingerprint", F.explode(bands).alias("b")).where(F.col("b.bits") != "0" * BAND).select("rep", "fingerprint", "b.*")
     w = W.partitionBy("level", "band", "bits").orderBy("rep")
     ahead = F.array(F.first(F.struct("rep", "fingerprint")).over(w), *(F.lead(F.struct("rep", "fingerprint"), j).over(w) for j in range(1, near + 1)))
-    pairs = rows.select("rep", "fingerprint", F.explode(ahead).alias("o")).where("o is not null and o.rep <> rep")
+    pairs = rows.withColumn("near", ahead).select("rep", "fingerprint", F.explode("near").alias("o")).where("o is not null and o.rep <> rep")
     alike = F.udf(likeness, "double")
     pairs = pairs.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"), F.least("fingerprint", "o.fingerprint").alias("f"), F.greatest("fingerprint", "o.fingerprint").alias("g")).distinct()
     pairs = pairs.where(alike("f", "g") >= 0.3).select("a", "b")

@@ -10,11 +10,10 @@ bucket of few sets all pairs are candidates; in a large one each set is paired w
 set and its neighbours. Candidates whose signatures agree too rarely for the wanted similarity are
 dropped, the others are confirmed on full sets.
 
-Large buckets that are not yet one component are then finished. Sets that share such buckets form
-groups; what lies outside a group's largest component is compared, by signatures and in blocks, with all
-of the group that is in other components. The most alike pairs are confirmed first; once these have
-joined most of the rest, all that are left. So no link between components is passed over, while
-thousands of near copies cost confirmed pairs in proportion to their number.
+Large buckets that are not yet one component are then finished on full sets: what lies outside the
+largest component of such buckets is compared, in blocks, with all sets of other components there, so no
+link between components is passed over. Only links leave a task, one for each set and component, and
+most near copies are in the main component by then, so thousands of them cost few comparisons.
 """
 
 from __future__ import annotations
@@ -43,8 +42,8 @@ NEAR = 2
 #: Agreeing values of a signature, of 2 * PERMUTATIONS, from which a pair is confirmed on full sets. A pair
 #: of similarity 0.75 has 96 on average and fewer than 74 with a chance of about 3e-6.
 AGREE = 74
-#: Pairs of a set in the first round of finishing large buckets, and sets of a block there.
-FIRST, SETS = 16, 1024
+#: Sets outside and inside the main component that a task compares when large buckets are finished.
+FEW, MANY = 128, 1024
 
 _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -120,38 +119,46 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _leftover(members: DataFrame, found: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) between components of large buckets whose signatures agree; of each set the `most` most alike ones of a block, or all if 0."""
+def _between(members: DataFrame, found: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between components that meet in large buckets: of each set outside the main component one to every component it is linked with.
+
+    Buckets with the same first set form a group. Of a group, sets outside its largest component are
+    compared with all sets of other components, on full sets, in blocks of `FEW` by `MANY`.
+    """
     open_ = members.where(F.col("m") > SMALL).join(found, members["rep"] == found["id"], "left").select("rep", "band", "value", "first", F.coalesce("component", "rep").alias("label"))
     split = open_.groupBy("band", "value").agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
-    open_ = cut(open_.join(split, ["band", "value"]).select("rep", "first", "label").distinct())
-    groups = components(open_.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    sets = open_.select("rep", "label").distinct().join(groups, F.col("rep") == F.col("id")).select(F.col("component").alias("grp"), "rep", "label")
-    main = sets.groupBy("grp", "label").agg(F.count("*").alias("c")).groupBy("grp").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"))
-    main = main.withColumn("nj", F.ceil(F.col("all") / SETS).cast("int")).withColumn("ni", F.ceil((F.col("all") - F.col("in_main")) / SETS).cast("int"))
-    sets = cut(sets.join(main.where("ni > 0"), "grp").join(sigs, "rep").select("grp", "rep", "label", "main", "sig", "ni", "nj"))
+    sets = cut(open_.join(split, ["band", "value"]).select("first", "rep", "label").distinct())
+    main = sets.groupBy("first", "label").agg(F.count("*").alias("c")).groupBy("first").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"))
+    main = main.withColumn("nj", F.ceil(F.col("all") / MANY).cast("int")).withColumn("ni", F.ceil((F.col("all") - F.col("in_main")) / FEW).cast("int"))
+    sets = sets.join(main, "first")
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    left = sets.where("label <> main").withColumn("i", spread("ni", 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
-    right = sets.withColumn("j", spread("nj", 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
-    left, right = (x.select(*(F.col(c).alias(c) for c in ("grp", "i", "j", "rep", "label", "sig"))) for x in (left, right))
+    left = sets.where("label <> main").withColumn("i", spread("ni", 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("few", F.lit(True))
+    right = sets.withColumn("j", spread("nj", 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("few", F.lit(False))
+    need = left.unionByName(right).select("first", "i", "j", "few", F.col("rep").alias("doc_id"), "label")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        if not x.num_rows or not y.num_rows:
+    def compare(t: pa.Table) -> pa.Table:
+        ids, label, few = t.column("doc_id").to_numpy(), t.column("label").to_numpy(), t.column("few").to_numpy()
+        own = shingles(t.column("text").to_pylist(), k)
+        left, right = np.flatnonzero(few), np.flatnonzero(~few)
+        if not len(left) or not len(right):
             return schema.empty_table()
-        (u, lu, su), (v, lv, sv) = ((t.column("rep").to_numpy(), t.column("label").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)) for t in (x, y))
-        a, b = [], []
-        for i in range(len(u)):
-            same = np.where(lv != lu[i], (sv == su[i]).sum(1), 0)
-            hit = np.flatnonzero(same >= AGREE)
-            if most and len(hit) > most:
-                hit = hit[np.argsort(-same[hit], kind="stable")[:most]]
-            a.append(np.full(len(hit), u[i]))
-            b.append(v[hit])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
-
-    return left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInArrow(compare, "a long, b long").distinct()
+        size = np.array([len(s) for s in own])
+        flat, owner = np.concatenate([own[i] for i in left]), np.repeat(np.arange(len(left)), size[left])
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        hits: dict[tuple[int, int], int] = {}
+        for j in right.tolist():
+            lo, hi = np.searchsorted(flat, own[j], "left"), np.searchsorted(flat, own[j], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(left))
+            for i in np.flatnonzero((100 * both >= percent * (size[left] + size[j] - both)) & (label[left] != label[j])).tolist():
+                hits.setdefault((int(ids[left[i]]), int(label[j])), int(ids[j]))
+        return pa.table([[a for a, _ in hits], list(hits.values())], schema=schema)
+
+    sent = need.join(texts, "doc_id").select("first", "i", "j", "few", "doc_id", "label", "text")
+    return sent.groupBy("first", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -196,16 +203,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = members.withColumn("to", F.array(*[F.when((F.col("m") <= SMALL) | F.lit(j < NEAR), x) for j, x in enumerate(ahead)]))
     partners = F.filter(F.array_append("to", F.when(F.col("first") != F.col("rep"), F.col("first"))), lambda x: x.isNotNull())
     pairs = reach.select("rep", F.explode(partners).alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
-    tried = cut(_alike(pairs, sigs))
-    links = cut(_confirmed(texts, tried, percent, k).distinct())
+    links = cut(_confirmed(texts, _alike(pairs, sigs), percent, k).distinct())
     found = cut(components(links))
-    for most in (FIRST, 0):
-        more = cut(_leftover(members, found, sigs, most).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        links = cut(links.unionByName(_confirmed(texts, more, percent, k)).distinct())
-        found = cut(components(links))
+    more = cut(_between(members, found, texts, percent, k))
+    if not more.isEmpty():
+        found = cut(components(links.unionByName(more)))
     reps = classes.select("h1", "h2", "n", "rep").join(found, classes["rep"] == found["id"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(reps, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
