@@ -120,11 +120,10 @@ class Sketch(NamedTuple):
         for row in range(self.depth):
             cells, counts = np.unique(self.cells(keys, row), return_counts=True)
             at = self.bounds(cells)
-            for s in range(self.shards):
+            for s in np.flatnonzero(np.diff(at)).tolist():
                 c = cells[at[s] : at[s + 1]]
-                if len(c):
-                    gaps = np.diff(c, prepend=np.uint64(0))
-                    out.append((row * self.shards + s, pack(gaps.astype(np.uint16), (gaps >> np.uint64(16)).astype(np.uint16), (gaps >> np.uint64(32)).astype(np.uint32), np.minimum(counts[at[s] : at[s + 1]], 255).astype(np.uint8))))
+                gaps = np.diff(c, prepend=np.uint64(0))
+                out.append((row * self.shards + s, pack(gaps.astype(np.uint16), (gaps >> np.uint64(16)).astype(np.uint16), (gaps >> np.uint64(32)).astype(np.uint32), np.minimum(counts[at[s] : at[s + 1]], 255).astype(np.uint8))))
         return out
 
     def estimates(self, keys: np.ndarray, answers: dict[int, np.ndarray]) -> np.ndarray:

@@ -33,6 +33,8 @@ HOT = 200
 _PLACES = LENGTH - GRAM + 1  # places an anchor can have in a window
 _LEFT = LENGTH - GRAM  # bytes before an anchor that its windows reach
 _SPAN = _LEFT + LENGTH
+#: Rows whose surroundings a task holds at once.
+BLOCK = 1 << 15
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
 
@@ -103,48 +105,62 @@ class _Chunk:
                 parts.append((np.full(len(p), i), p + lo, first + lo, last + lo, h[p]))
         self.doc, self.place, self.first, self.last, self.gram = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
 
-    def suffixes(self, reach: np.ndarray) -> tuple[np.ndarray, ...]:
-        """doc, place, least and largest t, hot, shard hash, bytes around the place, of all anchors that repeat.
-
-        A hot anchor stands for one row for each of its windows, with the window's start as its place.
-        """
+    def suffixes(self, reach: np.ndarray) -> _Rows:
+        """One row for each anchor that repeats; a hot one has a row for each of its windows, with the window's start as its place."""
         own, hot = np.flatnonzero(reach == 1), np.flatnonzero(reach == 2)
         n = self.last[hot] - self.first[hot] + 1
         starts = np.repeat(self.first[hot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(hot) else np.zeros(0, np.int64)
-        doc = np.concatenate((self.doc[own], np.repeat(self.doc[hot], n)))
-        place = np.concatenate((self.place[own], starts))
-        zero = np.zeros(len(starts), np.int64)
-        least, most = np.concatenate((self.place[own] - self.last[own], zero)), np.concatenate((self.place[own] - self.first[own], zero))
+        zero = np.zeros(len(starts), np.uint8)
+        doc = np.concatenate((self.doc[own], np.repeat(self.doc[hot], n))).astype(np.int32)
+        place = np.concatenate((self.place[own], starts)).astype(np.int32)
+        least, most = (np.concatenate(((self.place[own] - x[own]).astype(np.uint8), zero)) for x in (self.last, self.first))
         # all texts in a row, with room for a context before the first and behind the last
-        at = np.concatenate(([0], np.cumsum([len(x) for x in self.texts])))[:-1] + _LEFT
+        at = np.concatenate(([0], np.cumsum([len(x) for x in self.texts])))[:-1]
         flat = np.frombuffer(bytes(_LEFT) + b"".join(self.texts) + bytes(LENGTH), np.uint8)
-        around = np.lib.stride_tricks.sliding_window_view(flat, _SPAN)[at[doc] + place - _LEFT] if len(doc) else np.zeros((0, _SPAN), np.uint8)
-        col = np.arange(_SPAN)
-        around = np.where((col >= (_LEFT - most)[:, None]) & (col < (_SPAN - least)[:, None]), around, 0).astype(np.uint8)
-        is_hot = np.arange(len(doc)) >= len(own)
-        key = np.concatenate((self.gram[own], _whole(around[len(own) :, _LEFT:])))
-        return doc, place, least, most, is_hot, key, around
-
-
-def _whole(rows: np.ndarray) -> np.ndarray:
-    h = np.full(len(rows), 7, np.uint64)
-    for d in digits(rows):
+        return _Rows(flat, at, doc, place, least, most, len(own), self.gram[own])
+
+
+class _Rows:
+    """Rows of a chunk to be sorted, those of hot anchors last; rows that are alike are one kind."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, own: int, gram: np.ndarray):
+        self.windows, self.at = np.lib.stride_tricks.sliding_window_view(flat, _SPAN), at
+        self.doc, self.place, self.least, self.most = doc, place, least, most
+        n = len(doc)
+        digest, self.key = np.empty(n, np.uint64), np.concatenate((gram, np.empty(n - own, np.uint64)))
+        for a in range(0, n, BLOCK):
+            some = slice(a, min(n, a + BLOCK))
+            d = digits(self.around(some))
+            digest[some] = _whole(d, (least[some].astype(np.uint64) << np.uint64(8)) + most[some])
+            hot = slice(max(a, own), some.stop)
+            if hot.start < hot.stop:
+                self.key[hot] = _whole([x[hot.start - a :] for x in d], np.full(hot.stop - hot.start, 1 << 20, np.uint64))
+        is_hot = np.arange(n) >= own
+        order = np.lexsort((digest, self.key, is_hot))
+        k, d, z = self.key[order], digest[order], is_hot[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (z[1:] != z[:-1]))) if n else np.zeros(0, bool)
+        #: The kind of each row, and the first row of each kind, in order of hot, key.
+        self.kind = np.empty(n, np.int32)
+        self.kind[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.hot = is_hot[self.first]
+
+    def around(self, rows: slice | np.ndarray) -> np.ndarray:
+        """Bytes around the places of rows, zero beyond what their windows reach."""
+        out = self.windows[self.at[self.doc[rows]] + self.place[rows]]
+        col = np.arange(_SPAN, dtype=np.uint8)
+        out[(col < _LEFT - self.most[rows, None]) | (col >= _SPAN - self.least[rows, None])] = 0
+        return out
+
+
+def _whole(columns: list[np.ndarray], seed: np.ndarray) -> np.ndarray:
+    """Digests of 64 bits of rows in digits."""
+    h = _mix(seed + np.uint64(7))
+    for d in columns:
         h = _mix(h ^ d)
     return h
 
 
-def _classes(least: np.ndarray, most: np.ndarray, hot: np.ndarray, key: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are alike in everything: the first row of each kind, in order of shard keys, and the kind of each row."""
-    full = np.concatenate((hot[:, None].astype(np.uint8), np.frombuffer(key.astype(">u8").tobytes(), np.uint8).reshape(-1, 8), least[:, None].astype(np.uint8), most[:, None].astype(np.uint8), around), 1) if len(key) else np.zeros((0, _SPAN + 11), np.uint8)
-    order, shared = radix_order(full)
-    new = shared < full.shape[1]
-    kind = np.empty(len(key), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    first = np.full(int(new.sum()), len(key), np.int64)
-    np.minimum.at(first, kind, np.arange(len(key)))
-    return first, kind
-
-
 def _sort_shard(t: pa.Table) -> pa.Table:
     """One shard: radix-sort suffixes and prefixes; tell each chunk, by bits t, which windows start in a smaller document."""
     shard = t.column("shard")[0].as_py()
@@ -198,16 +214,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not len(c.gram):
             return C.rows(0, [])
         reach = sketch.estimates(c.gram, C.answers(told))
-        doc, _, least, most, hot, gram, around = c.suffixes(reach)
-        first, _ = _classes(least, most, hot, gram, around)
-        shard = (gram[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-        shard = shard.astype(np.int64) + shards * hot[first]
+        x = c.suffixes(reach)
+        shard = (x.key[x.first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        shard = shard.astype(np.int64) + shards * x.hot
         out = [(-1 - chunk, C.pack(reach))]
-        at = np.searchsorted(shard, np.arange(2 * shards + 1))
-        for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a:
-                f = first[a:b]
-                out.append((s, C.pack(least[f].astype(np.uint8), most[f].astype(np.uint8), c.rank[doc[f]].astype(np.uint32), around[f])))
+        for s, a, b in zip(*(v.tolist() for v in _runs(shard)), strict=True):
+            f = x.first[a:b]
+            out.append((s, C.pack(x.least[f], x.most[f], c.rank[x.doc[f]].astype(np.uint32), x.around(f))))
         return C.rows(chunk, out)
 
     def remove(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
@@ -216,17 +229,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         c, gone = _Chunk(t), {}
         if told.num_rows:
             data = dict(zip(told.column("shard").to_pylist(), told.column("data").to_pylist(), strict=True))
-            doc, place, least, most, hot, gram, around = c.suffixes(C.unpack(data[min(data)], np.uint8)[0])
-            first, kind = _classes(least, most, hot, gram, around)
-            bits = np.concatenate([C.unpack(data[s], np.uint64)[0] for s in sorted(data) if s >= 0]) if len(first) else np.zeros(0, np.uint64)
-            mine = bits[kind]
+            x = c.suffixes(C.unpack(data[min(data)], np.uint8)[0])
+            bits = np.concatenate([C.unpack(data[s], np.uint64)[0] for s in sorted(data) if s >= 0]) if len(x.first) else np.zeros(0, np.uint64)
+            mine = bits[x.kind]
             # rows alike to one of a smaller document in this chunk: all their windows
-            mine = np.where(c.rank[doc] > c.rank[doc[first[kind]]], np.uint64(2**64 - 1), mine) if len(first) else mine
+            if len(x.first):
+                mine[c.rank[x.doc] > c.rank[x.doc[x.first]][x.kind]] = 2**64 - 1
             hit_doc, hit_start = [], []
             for k in range(_PLACES):
-                rows = np.flatnonzero((mine >> np.uint64(k) & np.uint64(1)).astype(bool) & (least <= k) & (k <= most))
-                hit_doc.append(doc[rows])
-                hit_start.append(place[rows] - k)
+                rows = np.flatnonzero((mine >> np.uint64(k) & np.uint64(1)).astype(bool) & (x.least <= k) & (k <= x.most))
+                hit_doc.append(x.doc[rows])
+                hit_start.append(x.place[rows] - k)
             hit_doc, hit_start = np.concatenate(hit_doc), np.concatenate(hit_start)
             order = np.argsort(hit_doc, kind="stable")
             hit_doc, hit_start = hit_doc[order], hit_start[order]
