@@ -5,16 +5,18 @@ most-significant-digit passes of eight bytes: a pass sorts the rows within each
 so far, groups of one row drop out, and what is still together at the end is equal through `LENGTH`.
 
 Only some suffixes are sorted. In every window of `LENGTH` bytes, the 16-byte gram of the smallest hash
-(the first one on ties) is its *anchor*; the same string has the same anchor at the same place wherever
-it occurs. A string that repeats has an anchor gram that repeats. So the gram is the first digit: its
-counts, merged over all chunks, drop the windows whose anchor occurs once. For the others, the
-suffixes from the anchor on, and the reversed prefixes before it, are radix-sorted; windows that lie
-alike around their anchor are equal exactly if they share the group of their suffix at depth
-`LENGTH - t` and that of their prefix at depth t, t being the anchor's place in the window.
-
-A gram that occurs `HOT` times or more may be surrounded by ever new bytes (the ends of a passage that
-very many documents share). Windows of such anchors are dealt to shards one by one, by a hash of all
-their bytes, so that no shard grows with a gram's count.
+(the first one on ties) is its *anchor*; the same string has the same anchor at the same place t wherever
+it occurs. Of the 34 bytes beside the gram, a window has 17 at least on one side: right of it if t is 17
+or less, else left of it. The gram and these 17 bytes, its *side*, repeat wherever the window does. So
+sides are the first digit: their counts, merged over all chunks, drop the windows whose side occurs
+once. For the others, the suffixes from the anchor on, and the reversed prefixes before it, are
+radix-sorted; windows that lie alike around their anchor are equal exactly if they share the group of
+their suffix at depth `LENGTH - t` and that of their prefix at depth t. Within a chunk, rows that are alike
+in everything, by digests of 128 bits, are sorted once.
+
+A side that occurs `HOT` times or more may be surrounded by ever new bytes (the ends of a passage that
+very many documents share). Windows of such sides are dealt to shards one by one, by a hash of all
+their bytes, so that no shard grows with a side's count.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ GRAM = 16
 HOT = 200
 _PLACES = LENGTH - GRAM + 1  # places an anchor can have in a window
 _LEFT = LENGTH - GRAM  # bytes before an anchor that its windows reach
+_SIDE = _LEFT // 2  # bytes that a side has beside the gram
 _SPAN = _LEFT + LENGTH
-#: Rows whose surroundings a task holds at once.
-BLOCK = 1 << 15
+#: Bytes whose anchors, and rows whose surroundings, a task holds at once.
+PIECE, BLOCK = 1 << 16, 1 << 15
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
 
@@ -70,43 +73,67 @@ def radix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def _anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a text its anchor's place, and a 64-bit hash of the gram at each place."""
-    n = len(x) - GRAM + 1
-    a = np.ndarray((n,), "<u8", x.tobytes(), 0, (1,)).astype(np.uint64)
-    b = np.ndarray((n,), "<u8", x.tobytes(), 8, (1,)).astype(np.uint64)
-    h = _mix(a * np.uint64(0x9FB21C651E98DF25) ^ _mix(b + np.uint64(0x632BE59BD9B4E019)))
+def _anchors(x: np.ndarray) -> np.ndarray:
+    """For each window of x its anchor's place."""
+    n, raw = len(x) - GRAM + 1, x.tobytes()
+    h = np.ndarray((n,), "<u8", raw, 0, (1,)) * np.uint64(0x9FB21C651E98DF25)
+    h += np.ndarray((n,), "<u8", raw, 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     # the smallest hash, and on ties the first place, over _PLACES places by doubling
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    h &= np.uint64(0xFFFFFFFF00000000)
+    h |= np.arange(n, dtype=np.uint64)
     span = 1
     while 2 * span <= _PLACES:
-        low = np.minimum(low[:-span], low[span:])
+        h = np.minimum(h[:-span], h[span:])
         span *= 2
-    low = np.minimum(low[: len(low) - (_PLACES - span)], low[_PLACES - span :])
-    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    h = np.minimum(h[: len(h) - (_PLACES - span)], h[_PLACES - span :])
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _sides(x: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """place, first and last window, and digest, of the right and left sides of anchors that have windows."""
+    eight = np.ndarray((len(x) - 7,), "<u8", x.tobytes(), 0, (1,))
+    out = []
+    for seed, a, b, q in ((3, np.maximum(first, p - _SIDE), last, p), (5, first, np.minimum(last, p - _SIDE - 1), p - _SIDE)):
+        has = a <= b
+        at = q[has]
+        h = np.full(len(at), seed, np.uint64)
+        for k in (*range(0, GRAM + _SIDE - 8, 8), GRAM + _SIDE - 8):
+            h = _mix(h ^ eight[at + k])
+        out.append((p[has], a[has], b[has], h))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 class _Chunk:
-    """Windows of a chunk's documents, gathered by anchor: doc, place, and first and last window of each anchor."""
+    """Windows of a chunk's documents, gathered by side: doc, place of the anchor, first and last window, and digest of each side."""
 
     def __init__(self, t: pa.Table):
         self.ids, self.texts = C.ordered(t)
         self.rank = np.cumsum([False, *(a != b for a, b in zip(self.ids[1:], self.ids[:-1], strict=True))])[: len(self.ids)]
+        size = np.array([len(x) for x in self.texts], np.int64)
+        #: Where each text begins in all texts in a row, which have room for a context before the first and behind the last.
+        self.at = np.concatenate(([0], np.cumsum(size)))[:-1] + _LEFT
+        self.flat = np.frombuffer(b"".join((bytes(_LEFT), *self.texts, bytes(LENGTH))), np.uint8)
+        fine = (size >= LENGTH) & np.array([i is not None for i in self.ids], bool)
+        inside = np.zeros(len(self.flat) + 1, np.int8)
+        np.add.at(inside, self.at[fine], 1)
+        np.add.at(inside, (self.at + size - LENGTH + 1)[fine], -1)
+        inside = np.cumsum(inside, dtype=np.int8).astype(bool)
         parts = []
-        for i, x in enumerate(self.texts):
-            if len(x) < LENGTH or self.ids[i] is None:
-                continue
-            x = np.frombuffer(x, np.uint8)
-            for lo in range(0, len(x) - LENGTH + 1, 1 << 18):  # long texts in pieces that overlap by a window
-                where, h = _anchors(x[lo : lo + (1 << 18) + LENGTH - 1])
-                first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                last = np.append(first[1:], len(where)) - 1
-                p = where[first]
-                parts.append((np.full(len(p), i), p + lo, first + lo, last + lo, h[p]))
-        self.doc, self.place, self.first, self.last, self.gram = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        for lo in range(0, len(self.flat) - LENGTH + 1, PIECE):  # pieces overlap by a window
+            start = np.flatnonzero(inside[lo : min(lo + PIECE, len(self.flat) - LENGTH + 1)])
+            if len(start):
+                x = self.flat[lo : lo + PIECE + LENGTH - 1]
+                where = _anchors(x)[start]
+                new = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+                parts.append([c + lo if k < 3 else c for k, c in enumerate(_sides(x, where[new], start[new], start[np.append(new[1:], len(start)) - 1]))])
+        place, first, last, self.side = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        self.doc = (np.searchsorted(self.at, first, "right") - 1).astype(np.int32)
+        self.place, self.first, self.last = ((c - self.at[self.doc]).astype(np.int32) for c in (place, first, last))
 
     def suffixes(self, reach: np.ndarray) -> _Rows:
-        """One row for each anchor that repeats; a hot one has a row for each of its windows, with the window's start as its place."""
+        """One row for each side that repeats; a hot one has a row for each of its windows, with the window's start as its place."""
         own, hot = np.flatnonzero(reach == 1), np.flatnonzero(reach == 2)
         n = self.last[hot] - self.first[hot] + 1
         starts = np.repeat(self.first[hot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(hot) else np.zeros(0, np.int64)
@@ -114,20 +141,17 @@ class _Chunk:
         doc = np.concatenate((self.doc[own], np.repeat(self.doc[hot], n))).astype(np.int32)
         place = np.concatenate((self.place[own], starts)).astype(np.int32)
         least, most = (np.concatenate(((self.place[own] - x[own]).astype(np.uint8), zero)) for x in (self.last, self.first))
-        # all texts in a row, with room for a context before the first and behind the last
-        at = np.concatenate(([0], np.cumsum([len(x) for x in self.texts])))[:-1]
-        flat = np.frombuffer(bytes(_LEFT) + b"".join(self.texts) + bytes(LENGTH), np.uint8)
-        return _Rows(flat, at, doc, place, least, most, len(own), self.gram[own])
+        return _Rows(self.flat, self.at - _LEFT, doc, place, least, most, len(own), self.side[own])
 
 
 class _Rows:
-    """Rows of a chunk to be sorted, those of hot anchors last; rows that are alike are one kind."""
+    """Rows of a chunk to be sorted, those of hot sides last; rows that are alike are one kind."""
 
-    def __init__(self, flat: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, own: int, gram: np.ndarray):
+    def __init__(self, flat: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, own: int, side: np.ndarray):
         self.windows, self.at = np.lib.stride_tricks.sliding_window_view(flat, _SPAN), at
         self.doc, self.place, self.least, self.most = doc, place, least, most
         n = len(doc)
-        digest, self.key = np.empty(n, np.uint64), np.concatenate((gram, np.empty(n - own, np.uint64)))
+        digest, self.key = np.empty(n, np.uint64), np.concatenate((side, np.empty(n - own, np.uint64)))
         for a in range(0, n, BLOCK):
             some = slice(a, min(n, a + BLOCK))
             d = digits(self.around(some))
@@ -201,19 +225,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on_workers(df.sparkSession)
     docs, plan = C.dealt(id_text(df, id_col, text_col))
     anchors = max(1, plan.text_bytes * 2 // (_PLACES + 1))
-    sketch = C.Sketch.of(anchors, 1)
+    sketch = C.Sketch.of(2 * anchors, 1)
     shards = max(1, anchors // (1 << 18))
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
-        return C.rows(key[0].as_py(), sketch.sent(_Chunk(t).gram))
+        return C.rows(key[0].as_py(), sketch.sent(_Chunk(t).side))
 
     def suffixes(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
             return C.rows(0, [])
         c, chunk = _Chunk(t), t.column("chunk")[0].as_py()
-        if not len(c.gram):
+        if not len(c.side):
             return C.rows(0, [])
-        reach = sketch.estimates(c.gram, C.answers(told))
+        reach = sketch.estimates(c.side, C.answers(told))
         x = c.suffixes(reach)
         shard = (x.key[x.first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
         shard = shard.astype(np.int64) + shards * x.hot
