@@ -42,8 +42,8 @@ NEAR = 2
 #: Agreeing values of a signature, of 2 * PERMUTATIONS, from which a pair is confirmed on full sets. A pair
 #: of similarity 0.75 has 96 on average and fewer than 74 with a chance of about 3e-6.
 AGREE = 74
-#: Sets outside and inside the main component that a task compares when large buckets are finished.
-FEW, MANY = 128, 1024
+#: Sets outside and inside the main component that a task holds at once when large buckets are finished.
+FEW, MANY = 128, 384
 
 _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -162,8 +162,9 @@ def _between(members: DataFrame, found: DataFrame, texts: DataFrame, percent: in
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a < b) whose full sets are that similar. Pairs meet at one of their ends, their hub, in small blocks."""
-    hub = pairs.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("block"))
+    """The pairs (a < b) whose full sets are that similar. Pairs meet at one of their ends, their hub, in blocks of about `FEW`."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / FEW).alias("blocks"))
+    hub = pairs.join(blocks, "a").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
     own = hub.select("hub", F.col("hub").alias("doc_id"), "block").distinct()
     need = hub.unionByName(own)
     sent = need.join(texts, "doc_id").select("hub", "block", "doc_id", "text")
