@@ -34,9 +34,9 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 
 class MergeEncoder:
-    """memory: words whose encoding is remembered at once; beyond it the memory starts anew."""
+    """memory: words whose encoding is remembered; beyond it, those not met for the longest time are forgotten."""
 
-    def __init__(self, model_path: str, memory: int = 400_000):
+    def __init__(self, model_path: str, memory: int = 160_000):
         import ahocorasick
         import sentencepiece
 
@@ -70,6 +70,7 @@ class MergeEncoder:
         self.apart = bool(inner)
         self.memory, self.text_of = memory, {}
         self.ids_of = _Ids(self, self.text_of)
+        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def remerge(self, text: str) -> list[str]:
         """The model's merges on a short text."""
@@ -88,7 +89,7 @@ class MergeEncoder:
         key = (last, piece)
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             ok = self.fits[key] = self.remerge((last or "") + piece) == ([piece] if last is None else [last, piece])
         return ok
@@ -150,7 +151,8 @@ class MergeEncoder:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the decoded text."""
-        if len(self.ids_of) > self.memory:
+        if 2 * len(self.ids_of) > self.memory:
+            self.before = dict(self.ids_of), dict(self.text_of)
             self.ids_of.clear()
             self.text_of.clear()
         words = text.split(" ") if text else []
@@ -170,6 +172,9 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> str:
         own = self.encoder
+        if (known := own.before[0].get(word)) is not None:
+            self[word], self.text_of[word] = known, own.before[1][word]
+            return known
         ids = [i for part in own.cut.findall(word[1:] if word[0] == MARK else MARK + word) for i in own.encode_part(part)]
         self.text_of[word] = "".join(own._decode_parts(ids))
         found = self[word] = ",".join(map(str, ids))
