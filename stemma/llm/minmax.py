@@ -216,7 +216,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that near_duplicates keeps, with all their columns; rows without an id stay."""
-    kept = near_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    null = df.where(F.col(id_col).isNull())
-    return df.join(kept, df[id_col] == kept["_kept"], "left_semi").unionByName(null)
+    """One row of df for each component of near_duplicates, with all its columns; rows without an id stay.
+
+    Where ids are repeated, the texts of an id are documents of their own: all are keyed anew, in order
+    of their ids, and of rows alike in id and text one stays.
+    """
+    ids, null = df.where(F.col(id_col).isNotNull()), df.where(F.col(id_col).isNull())
+    if ids.groupBy(F.col(id_col).cast("long")).count().where("count > 1").isEmpty():
+        kept = near_duplicates(ids, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept"))
+        return ids.join(kept, ids[id_col] == kept["_kept"], "left_semi").unionByName(null)
+    by = ["_near_id", "_near_digest"]
+    rows = ids.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_digest": F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)})
+    keys = cut(rows.select(*by).distinct().repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_near_key", F.monotonically_increasing_id()))
+    texts = cut(rows.select(*by, F.col(text_col).alias("text")).join(keys, by).select("_near_key", "text"))
+    kept = near_duplicates(texts, "_near_key", "text").where("kept").select(F.col("doc_id").alias("_near_key")).distinct().join(keys, "_near_key").select(*by)
+    # which of rows alike in id and text stays is settled by their other columns
+    order = F.xxhash64(*(F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t))
+    one = rows.join(kept, by, "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(order))).where("_nth = 1")
+    return one.select(*df.columns).unionByName(null)

@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,7 +119,23 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"), F.when(F.col("size") > 0, copies * F.col("size")).otherwise(0).cast("long").alias("taken"))
 
 
-def repeat_rows(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df's rows, each as often as the mix takes its id; ids must be unique in df."""
-    n = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return df.join(n, df[id_col] == n["_id"]).select(*(df[c] for c in df.columns))
+def repeat_rows(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df's rows, each as often as its own row of mix(df) is taken; ids may be null or repeated.
+
+    Rows alike in id, source and size have as many rows in the mix, and those differ by one copy at most:
+    the first ones by a hash of their text take the lower number, the others the higher one.
+    """
+    key = ["_mix_id", "_mix_id_null", "_mix_source", "_mix_source_null", "_mix_size"]
+
+    def keyed(rows: DataFrame, id_: Column, source: Column, size: Column) -> DataFrame:
+        # nulls as values, so that plain equality joins them
+        parts = (F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size)
+        return rows.withColumns(dict(zip(key, parts, strict=True)))
+
+    taken = keyed(mixed, F.col("doc_id"), F.col("source"), F.col("size")).groupBy(*key).agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.count("*").alias("_n"), F.sum("copies").alias("_sum")).where("_high > 0")
+    taken = taken.select(*key, "_low", "_high", (F.col("_n") - (F.col("_sum") - F.col("_n") * F.col("_low"))).alias("_lows"))
+    docs = keyed(df, df[id_col].cast("long"), df[source_col].cast("string"), word_count(df[text_col])).where("_mix_size > 0")
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(F.lit("nth"), F.col(text_col))))
+    copies = F.when(F.col("_nth") <= F.col("_lows"), F.col("_low")).otherwise(F.col("_high"))
+    rows = docs.withColumn("_nth", nth).join(taken, key).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return rows.select(*df.columns)
