@@ -1,22 +1,24 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are compared only under equal labels. Equal vectors of a label are one node. Nodes go to the
-clusters of their nearest centres, two at least and all that are nearly as near, so shards overlap; a
-cluster of more than `SHARD` nodes is dealt into several shards by a hash of the id. In each shard every
-node keeps its robustly pruned neighbours: the nearest first, and none that a kept one is much nearer to.
-Adjacency lists of all shards are joined into one for each node. Every node then searches the shards of
-its nearest centre: greedily with a beam from the shard's medoid, and, once a node within range is
-found, on through all nodes within range. Links are verified in double precision.
-
-Only counts and a spanning forest of the links leave a task, so a group of copies costs rows in
-proportion to its size. Recall is audited against brute force for `AUDIT` vectors; if it is below
+clusters of their nearest centres, two at least and all whose angle is larger than the nearest one's by
+no more than the angle of a link; a cluster of more than `SHARD` nodes is dealt into several shards by a
+hash of the id. In each shard every node keeps its robustly pruned neighbours: the nearest first, and
+none that a kept one is much nearer to. Adjacency lists of all shards are joined into one for each node.
+Every node then searches the shards of its nearest centre: greedily with a beam from the shard's medoid,
+and, once a node within range is found, on through all nodes within range. Links are verified in double
+precision.
+
+Of two linked nodes, the one that is farther from its nearest centre is in the cluster where the other
+one searches: no link lies outside all searched clusters. What either end finds counts for both: a
+task's links go as bits to the pair of lots they lie between, where each is counted once.
+
+Recall is audited against brute force for `AUDIT` vectors; if it is below
 `RECALL`, the search is repeated with a beam twice as wide.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +31,12 @@ from .components import components
 SHARD = 1000
 #: Centres of all labels together at most: the bound of what is broadcast.
 CENTRES = 8192
-#: A node also goes to clusters whose centre is no further than the nearest one's distance and this.
-MARGIN = 0.15
 DEGREE = 20
 ALPHA = 1.2
 BEAM = 16
+#: One query of so many is also compared with all nodes of its shards.
+DRAWN = 16
+#: Drawn nodes with links from which the audit can tell the recall.
 AUDIT = 256
 RECALL = 0.97
 
@@ -163,9 +166,10 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("label", F.concat_ws("|", F.size("v").cast("string"), "label"))
     rows = cut(rows.select("vec_id", "usable", F.when(F.col("usable"), F.col("label")).alias("label"), F.when(F.col("usable"), F.col("v")).alias("v")))
     nodes = cut(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    placed = _placed(nodes, least)
     beam = BEAM
     while True:
-        counts, forest = _search(nodes, least, beam)
+        counts, forest, _ = _search(placed, least, beam)
         if beam >= 16 * BEAM or _recall(nodes, counts, least) >= RECALL:
             break
         beam *= 2
@@ -177,8 +181,8 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def _search(nodes: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataFrame]:
-    """(node, links: vectors of other nodes in range) and links (a, b) that connect what the graph search finds."""
+def _placed(nodes: DataFrame, least: float) -> DataFrame:
+    """Nodes in all clusters that they belong to, with their shard there and, in their own cluster, their lot of queries."""
     spark = nodes.sparkSession
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -192,6 +196,7 @@ def _search(nodes: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataF
         centres.setdefault(r.label, []).append(r.v)
     centres = {k: (y := np.array(v)) / np.linalg.norm(y, axis=1, keepdims=True) for k, v in centres.items()}
     shared = spark.sparkContext.broadcast(centres)
+    margin = float(np.arccos(np.clip(least, -1, 1))) + 1e-6
     schema = pa.schema([("label", pa.string()), ("cluster", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float64())), ("own", pa.bool_())])
 
     def assign(batches):
@@ -205,10 +210,10 @@ def _search(nodes: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataF
                 if c is None or len(c) == 1:
                     out.append((label, 0, i, v, True))
                     continue
-                far = np.sqrt(np.maximum(0, 2 - 2 * (c @ v)))
+                far = np.arccos(np.clip(c @ v, -1, 1))
                 order = np.argsort(far, kind="stable")
                 for rank, k in enumerate(order.tolist()):
-                    if rank >= 2 and far[k] > far[order[0]] + MARGIN:
+                    if rank >= 2 and far[k] > far[order[0]] + margin:
                         break
                     out.append((label, k, i, v, rank == 0))
             node, copies = b.column("node").to_pylist(), b.column("copies").to_pylist()
@@ -216,19 +221,56 @@ def _search(nodes: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataF
 
     placed = nodes.select("label", "node", "copies", "v").mapInArrow(assign, "label string, cluster long, node long, copies long, v array<double>, own boolean")
     clusters = placed.groupBy("label", "cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.sum(F.col("own").cast("int")) / SHARD).cast("int").alias("lots"))
-    placed = cut(placed.join(clusters, ["label", "cluster"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int")).withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest("lots", F.lit(1))).cast("int")))
+    return cut(placed.join(clusters, ["label", "cluster"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int")).withColumn("lot", F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest("lots", F.lit(1))).cast("int")))
+
+
+def _sent(who: np.ndarray, n_who: np.ndarray, node: np.ndarray, n_node: np.ndarray, hit: np.ndarray) -> bytes:
+    """Links of a block as bits, with the ids and copies of its rows and columns; what has no link stays away."""
+    i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+    ids = np.concatenate(([len(i), len(j)], who[i], n_who[i], node[j], n_node[j])).astype(np.int64)
+    return ids.tobytes() + np.packbits(hit[np.ix_(i, j)]).tobytes()
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """(node, links): each link that any search between two lots found, once at both of its ends."""
+    blocks = []
+    for m in t.column("m").to_pylist():
+        r, c = np.frombuffer(m, np.int64, 2).tolist()
+        x = np.frombuffer(m, np.int64, 2 * (r + c), 16)
+        bits = np.unpackbits(np.frombuffer(m, np.uint8, -1, 16 * (1 + r + c)), count=r * c).reshape(r, c).astype(bool)
+        blocks.append((x[:r], x[r : 2 * r], x[2 * r : 2 * r + c], x[2 * r + c :], bits))
+    ids, first = np.unique(np.concatenate([y for x in blocks for y in (x[0], x[2])]), return_index=True)
+    copies = np.concatenate([y for x in blocks for y in (x[1], x[3])])[first]
+    linked = np.zeros((len(ids), len(ids)), bool)
+    for rows, _, columns, _, bits in blocks:
+        i, j = np.searchsorted(ids, rows), np.searchsorted(ids, columns)
+        linked[np.ix_(i, j)] |= bits
+        linked[np.ix_(j, i)] |= bits.T
+    links = np.array([int(copies[x].sum()) for x in linked], np.int64)
+    return pa.table([ids, links], schema=pa.schema([("node", pa.int64()), ("links", pa.int64())]))
+
+
+def _search(placed: DataFrame, least: float, beam: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, links: vectors of other nodes in range), links (a, b) that connect what is found, and for drawn nodes (node, truth, found).
+
+    Without a beam, each query is compared with all nodes of its shards instead.
+    """
 
     def build(t: pa.Table) -> pa.Table:
         node, x = t.column("node").to_numpy(), _vectors(t.column("v"))
         lists = [node[r[r >= 0]] for r in prune(x)]
         return pa.table([node, pa.array(lists, pa.list_(pa.int64()))], schema=pa.schema([("node", pa.int64()), ("next", pa.list_(pa.int64()))]))
 
-    built = placed.groupBy("label", "cluster", "shard").applyInArrow(build, "node long, next array<long>")
-    union = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     fields = ["label", "cluster", "shard", "lot", "node", "copies", "v"]
-    members = placed.join(union, "node").withColumn("lot", F.explode(F.sequence(F.lit(0), F.greatest("lots", F.lit(1)) - 1))).select(*(F.col(c).alias(c) for c in (*fields, "next")))
-    queries = placed.where("own").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(*(F.col(c).alias(c) for c in fields))
-    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    homes = placed.where("own").select("node", F.concat_ws("|", "cluster", "lot", "label").alias("home"))
+    if beam is None:
+        more = homes.withColumn("next", F.array().cast("array<long>"))
+    else:
+        built = placed.groupBy("label", "cluster", "shard").applyInArrow(build, "node long, next array<long>")
+        more = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")).join(homes, "node")
+    members = placed.join(more, "node").withColumn("lot", F.explode(F.sequence(F.lit(0), F.greatest("lots", F.lit(1)) - 1))).select(*(F.col(c).alias(c) for c in (*fields, "next", "home")))
+    queries = placed.where("own").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("home", F.concat_ws("|", "cluster", "lot", "label")).withColumn("drawn", F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(DRAWN)) == 0).select(*(F.col(c).alias(c) for c in (*fields, "home", "drawn")))
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("truth", pa.int64()), ("found", pa.int64()), ("h1", pa.string()), ("h2", pa.string()), ("m", pa.binary())])
 
     def search(key: tuple, asked: pa.Table, there: pa.Table) -> pa.Table:
         if not asked.num_rows or not there.num_rows:
@@ -237,31 +279,40 @@ def _search(nodes: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataF
         order = np.argsort(node)
         q, x = _vectors(asked.column("v")), _vectors(there.column("v"))[order]
         node, copies = node[order], copies[order]
-        next_ = there.column("next").combine_chunks()
-        begin = next_.offsets.to_numpy()
-        flat, size = next_.flatten().to_numpy(), np.diff(begin)[order]
-        lists = np.full((len(node), max(1, int(size.max()))), -1)
-        for i, o in enumerate(order.tolist()):
-            to = flat[begin[o] - begin[0] : begin[o + 1] - begin[0]]
-            at = np.minimum(np.searchsorted(node, to), len(node) - 1)
-            at = at[node[at] == to]
-            lists[i, : len(at)] = at
-        hit = range_search(q, x, lists, int((x @ x.mean(0)).argmax()), least, beam)
-        # what one end finds, the other has too
-        at = np.minimum(np.searchsorted(node, who), len(node) - 1)
-        mine = np.flatnonzero(node[at] == who)
-        square = hit[np.ix_(mine, at[mine])]
-        hit[np.ix_(mine, at[mine])] = square | square.T
-        hit[mine, at[mine]] = False
+        n_who, home = asked.column("copies").to_numpy(), np.array(there.column("home").to_pylist(), object)[order]
+        if beam is None:
+            hit = q @ x.T >= least
+        else:
+            next_ = there.column("next").combine_chunks()
+            begin = next_.offsets.to_numpy()
+            flat, size = next_.flatten().to_numpy(), np.diff(begin)[order]
+            lists = np.full((len(node), max(1, int(size.max()))), -1)
+            for i, o in enumerate(order.tolist()):
+                to = flat[begin[o] - begin[0] : begin[o + 1] - begin[0]]
+                at = np.minimum(np.searchsorted(node, to), len(node) - 1)
+                at = at[node[at] == to]
+                lists[i, : len(at)] = at
+            hit = range_search(q, x, lists, int((x @ x.mean(0)).argmax()), least, beam)
+        same = who[:, None] == node[None, :]
+        hit &= ~same
+        out = []
+        if beam is not None:
+            drawn = np.flatnonzero(asked.column("drawn").to_numpy(zero_copy_only=False))
+            truth = ((q[drawn] @ x.T >= least) & ~same[drawn]).sum(1)
+            out += [(w, None, n, min(n, f), None, None, None) for w, n, f in zip(who[drawn].tolist(), truth.tolist(), hit[drawn].sum(1).tolist(), strict=True) if n]
         i, j = np.nonzero(hit)
-        links = np.zeros(len(who), np.int64)
-        np.add.at(links, i, copies[j])
-        forest = _forest(who[i], node[j])
-        return pa.table([np.concatenate((who, np.array([f[0] for f in forest], np.int64))), pa.array([None] * len(who) + [f[1] for f in forest], pa.int64()), np.concatenate((links, np.zeros(len(forest), np.int64)))], schema=result)
+        out += [(a, b, None, None, None, None, None) for a, b in _forest(who[i], node[j])]
+        mine, seen = asked.column("home")[0].as_py(), np.unique(j)
+        for other in sorted(set(home[seen])):
+            k = seen[home[seen] == other]
+            out.append((None, None, None, None, min(mine, other), max(mine, other), _sent(who, n_who, node[k], copies[k], hit[:, k])))
+        return pa.table([[r[n] for r in out] for n in range(len(result))], schema=result)
 
     parts = ["label", "cluster", "shard", "lot"]
-    done = cut(queries.groupBy(*parts).cogroup(members.groupBy(*parts)).applyInArrow(search, "a long, b long, links long"))
-    return done.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), done.where("b is not null").select("a", "b")
+    done = cut(queries.groupBy(*parts).cogroup(members.groupBy(*parts)).applyInArrow(search, "a long, b long, truth long, found long, h1 string, h2 string, m binary"))
+    ends = done.where("m is not null").groupBy("h1", "h2").applyInArrow(_merged, "node long, links long")
+    audited = done.where("truth is not null").groupBy(F.col("a").alias("node")).agg(F.sum("truth").alias("truth"), F.sum("found").alias("found"))
+    return ends.groupBy("node").agg(F.sum("links").alias("links")), done.where("b is not null").select("a", "b"), audited
 
 
 def _recall(nodes: DataFrame, counts: DataFrame, least: float) -> float:

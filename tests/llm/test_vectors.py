@@ -50,3 +50,22 @@ def test_no_rows(spark):
 def test_only_unusable(spark):
     got = vector_graph.near_duplicates(spark.createDataFrame([(1, None, 1), (None, [1.0], 1), (1, None, 1)], "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((str(x["vec_id"]), x["n_links"], x["kept"]) for x in got) == [("1", 0, True), ("1", 0, True), ("None", 0, False)]
+
+
+def on_a_sphere():
+    """Points all over a sphere: most have links into other clusters; some points have copies."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(700, 3)) * 5
+    return [(i, [float(np.float32(y)) for y in v], 1) for i, v in enumerate([*x, *x[:20], *x[:5]])]
+
+
+def test_links_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "AUDIT", 1)
+    rows = on_a_sphere()
+    want = {i: (n, c) for i, n, c in brute(rows)}
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    assert sum(n for n, _ in got.values()) % 2 == 0  # a link has two ends
+    assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
