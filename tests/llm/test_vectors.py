@@ -69,3 +69,21 @@ def test_links_count_at_both_ends(spark, monkeypatch):
     assert sum(n for n, _ in got.values()) % 2 == 0  # a link has two ends
     assert sum(n for n, _ in got.values()) >= 0.999 * sum(n for n, _ in want.values())
     assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_exact_where_the_audit_sees_too_few_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "BEAM", 1)
+    rows = on_a_sphere()
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"]) for x in vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_audit_binds_and_counts_by_node(spark):
+    audited = lambda rows: spark.createDataFrame(rows, "node long, truth long, found long")
+    few = vector_graph.AUDIT - 1
+    assert not vector_graph._enough(audited([]))
+    assert not vector_graph._enough(audited([(i, 1, 1) for i in range(few)]))
+    assert vector_graph._enough(audited([(i, 1, 1) for i in range(few + 1)]))
+    # one node of many links does not outweigh the others
+    assert not vector_graph._enough(audited([(i, 1, int(i % 10 > 0)) for i in range(few)] + [(few, 10**6, 10**6)]))
