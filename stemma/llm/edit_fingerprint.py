@@ -29,6 +29,8 @@ PERIOD = 4096
 CLASSES = 64
 #: Samples of a band.
 BAND = 8
+#: Texts outside a bucket's main component that are paired with the others at once.
+FEW = 128
 NARROW = 48  # below so many texts in step, they are walked one by one
 
 _rng = np.random.default_rng(33)
@@ -203,12 +205,24 @@ def against_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.groupBy("chunk").cogroup(following.groupBy("chunk")).applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _between(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket that lie in different components, not both in its largest one; in blocks of `FEW` texts outside that one."""
+    bucket = ["level", "band", "bits"]
+    sets = rows.join(found, rows["rep"] == found["id"], "left").select(*bucket, "rep", F.coalesce("component", "rep").alias("label"))
+    main = sets.groupBy(*bucket, "label").agg(F.count("*").alias("c")).groupBy(*bucket).agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("out")).where("out > 0")
+    sets = sets.join(main.withColumn("blocks", F.ceil(F.col("out") / FEW).cast("int")), bucket)
+    few = sets.where("label <> main").select(*bucket, F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.col("rep").alias("x"), F.col("label").alias("of_x"))
+    many = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*bucket, "block", F.col("rep").alias("y"), F.col("label").alias("of_y"))
+    return few.join(many, [*bucket, "block"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", near: int = 3) -> DataFrame:
     """doc_id and class_id: the smallest id reachable by links; linked are texts whose edit distance is at most share of the longer one.
 
     Equal texts are one class from the start. Bands of BAND samples at fixed places propose pairs: each
-    text with the first of its bucket and the next `near` ones there. Pairs are verified by likeness and
-    then by edit distance. Rows with a null id are left out. A link needs a band on which both texts agree,
+    text with the first of its bucket and the next `near` ones there, verified by edit distance. In buckets
+    that are not one component by then, what lies outside the largest one is compared with all texts of
+    other components, so no link between two texts of a bucket is passed over. Rows with a null id are left out. A link needs a band on which both texts agree,
     so texts with edits all over may be missed, as this embedding spreads edits that are close together.
     """
     own = id_text(df, id_col, text_col).where("doc_id is not null")
@@ -216,16 +230,21 @@ def near_duplicates(df: DataFrame, share: float = 0.1, id_col: str = "doc_id", t
     classes = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"))
     level = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int")
     bands = F.transform(F.sequence(F.lit(0), F.lit(2 * SAMPLES // BAND - 1)), lambda i: F.struct((level + (i >= SAMPLES // BAND).cast("int")).alias("level"), (i % (SAMPLES // BAND)).alias("band"), F.substring("fingerprint", i * BAND + 3, F.lit(BAND)).alias("bits")))
-    rows = classes.select("rep", "fingerprint", F.explode(bands).alias("b")).where(F.col("b.bits") != "0" * BAND).select("rep", "fingerprint", "b.*")
+    rows = classes.select("rep", F.explode(bands).alias("b")).where(F.col("b.bits") != "0" * BAND).select("rep", "b.*")
     w = W.partitionBy("level", "band", "bits").orderBy("rep")
-    ahead = F.array(F.first(F.struct("rep", "fingerprint")).over(w), *(F.lead(F.struct("rep", "fingerprint"), j).over(w) for j in range(1, near + 1)))
-    pairs = rows.withColumn("near", ahead).select("rep", "fingerprint", F.explode("near").alias("o")).where("o is not null and o.rep <> rep")
-    alike = F.udf(likeness, "double")
-    pairs = pairs.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"), F.least("fingerprint", "o.fingerprint").alias("f"), F.greatest("fingerprint", "o.fingerprint").alias("g")).distinct()
-    pairs = pairs.where(alike("f", "g") >= 0.3).select("a", "b")
+    ahead = F.array(F.first(F.struct("rep")).over(w), *(F.lead(F.struct("rep"), j).over(w) for j in range(1, near + 1)))
+    pairs = rows.withColumn("near", ahead).select("rep", F.explode("near").alias("o")).where("o is not null and o.rep <> rep")
     left, right = (own.groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("most", (F.greatest(F.length("ta"), F.length("tb")) * share).cast("int"))
-    links = both.where(F.levenshtein("ta", "tb") <= F.col("most")).select("a", "b")
-    found = components(links)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, "a").join(right, "b").withColumn("most", (F.greatest(F.length("ta"), F.length("tb")) * share).cast("int"))
+        # texts whose lengths alone differ by more are never within the limit
+        return both.where((F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & (F.levenshtein("ta", "tb") <= F.col("most"))).select("a", "b")
+
+    links = cut(linked(pairs.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()))
+    found = cut(components(links))
+    more = cut(linked(_between(rows.select("rep", "level", "band", "bits"), found)))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     return prints.join(reps, "digest").select("doc_id", "class_id")

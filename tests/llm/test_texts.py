@@ -258,6 +258,20 @@ def test_edit_near_duplicates(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_edit_near_duplicates_of_a_shared_header(spark):
+    r = random.Random(12)
+    header, letters = prose(r, 40), "abcdefghijklmnopqrstuvwxyz "
+    body = lambda: "".join(r.choice(letters) for _ in range(700))
+    rows = [(i, header + body()) for i in range(60)]
+    for i, j in ((10, 30), (20, 50), (5, 45)):
+        t = list(rows[i][1])
+        for k in range(len(header), len(t), 9):
+            t[k] = "#"
+        rows[j] = (j, "".join(t))
+    got = {x["doc_id"]: x["class_id"] for x in edit_fingerprint.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: {30: 10, 50: 20, 45: 5}.get(i, i) for i in range(60)}
+
+
 def test_pages(spark):
     page = '<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div><article><h1>A  title &amp; more</h1><p>First\n para &lt;b&gt; of text, with <b>bold</b> words.<p>Second one.<br>Next line.</p><ul><li>An item of the list.</li></ul></article><section class="comments"><div class="comment"><p>Nice, thanks!</p></div></section><aside class="sidebar"><p>Other stories here.</p></aside><footer>&copy; site</footer></body></html>'
     rows = [(1, "u", page), (2, "u", None), (3, None, ""), (None, "v", "<nav><a href=x>Menu</a></nav>"), (1, "u", page)]
