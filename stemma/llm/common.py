@@ -36,10 +36,27 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stemma-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder(sc.master))
     return df.checkpoint()
 
 
+def own_folder(master: str) -> str:
+    """A temporary folder of this machine, which is only good where the driver runs all tasks itself."""
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="stemma-checkpoint-")
+
+
+def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join whose two sides are shuffled for it alone, whatever they were dealt by before.
+
+    Spark splits the rows of a frequent key only between plain shuffles, not where a side comes straight
+    from an aggregation by the same keys. A hash as a further key makes both sides plain.
+    """
+    left, right = (df.withColumn("_anew", F.xxhash64(*keys)) for df in (left, right))
+    return left.join(right, ["_anew", *keys], how).drop("_anew")
+
+
 def sha256(data: bytes | str) -> str:
     return hashlib.sha256(data.encode("utf-8", "surrogatepass") if isinstance(data, str) else data).hexdigest()
 

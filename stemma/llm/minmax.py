@@ -6,14 +6,14 @@ witness of the Jaccard similarity. `ROWS` values make a band; two sets that agre
 candidates. With 32 bands of 4, two sets of similarity 0.75 miss each other with a chance of 5e-6.
 
 Sets that are equal share one digest and are represented by their smallest id from then on. In a band's
-bucket of few sets all pairs are candidates; in a large one each set is paired with the bucket's first
-set and its neighbours. Candidates whose signatures agree too rarely for the wanted similarity are
-dropped, the others are confirmed on full sets.
-
-Large buckets that are not yet one component are then finished on full sets: what lies outside the
-largest component of such buckets is compared, in blocks, with all sets of other components there, so no
-link between components is passed over. Only links leave a task, one for each set and component, and
-most near copies are in the main component by then, so thousands of them cost few comparisons.
+bucket of few sets all pairs are candidates; a large one is dealt into lots, and each set is paired with
+the first of its bucket and of its lot and with its neighbours. Candidates whose signatures agree too
+rarely for the wanted similarity are dropped, the others are confirmed on full sets.
+
+Large buckets that are not yet one component are then finished: what lies outside the largest component
+of such buckets is compared, in blocks, with all sets of other components there, first by signatures,
+then on full sets, so no link between components is passed over. Only links between components leave a
+task, and most near copies are in the main component by then, so thousands of them cost few comparisons.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_text, on_workers
+from .common import batch, cut, id_text, join_anew, on_workers
 from .components import components
 from .words import mix as _mix
 from .words import window_hashes, word_hashes
@@ -42,8 +41,10 @@ NEAR = 2
 #: Agreeing values of a signature, of 2 * PERMUTATIONS, from which a pair is confirmed on full sets. A pair
 #: of similarity 0.75 has 96 on average and fewer than 74 with a chance of about 3e-6.
 AGREE = 74
-#: Sets outside and inside the main component that a task holds at once when large buckets are finished.
-FEW, MANY = 128, 384
+#: Sets of a bucket among which a set is paired with its neighbours.
+LOT = 256
+#: Sets, and shingles of theirs, that a task compares at once with another set or with as many others.
+FEW, BLOCK = 256, 1 << 20
 
 _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -112,75 +113,92 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in b.columns[2:])
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE, pa.bool_()))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in b.columns[3:])
+            yield b.select(["a", "b", "blocks"]).filter(pa.array((x == y).sum(1) >= AGREE, pa.bool_()))
 
     left, right = (sigs.select(F.col("rep").alias(k), F.col("sig").alias(f"s{k}")) for k in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "blocks", "sa", "sb").mapInArrow(run, "a long, b long, blocks int")
 
 
-def _between(members: DataFrame, found: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) between components that meet in large buckets: of each set outside the main component one to every component it is linked with.
+def _blocks(rows: Column, shingles_: Column) -> Column:
+    """Blocks of about FEW sets, or fewer where they are large."""
+    return F.greatest(F.lit(1), F.ceil(rows / FEW), F.ceil(shingles_ / BLOCK)).cast("int")
+
+
+def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between components that meet in large buckets, as their smallest ids.
 
     Buckets with the same first set form a group. Of a group, sets outside its largest component are
-    compared with all sets of other components, on full sets, in blocks of `FEW` by `MANY`.
+    compared with all sets of other components, in blocks: first by signatures, and where any of
+    another component agrees often enough, on full sets.
     """
-    open_ = members.where(F.col("m") > SMALL).join(found, members["rep"] == found["id"], "left").select("rep", "band", "value", "first", F.coalesce("component", "rep").alias("label"))
-    split = open_.groupBy("band", "value").agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
-    sets = cut(open_.join(split, ["band", "value"]).select("first", "rep", "label").distinct())
-    main = sets.groupBy("first", "label").agg(F.count("*").alias("c")).groupBy("first").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("in_main"))
-    main = main.withColumn("nj", F.ceil(F.col("all") / MANY).cast("int")).withColumn("ni", F.ceil((F.col("all") - F.col("in_main")) / FEW).cast("int"))
-    sets = sets.join(main, "first")
+    open_ = members.where(F.col("m") > SMALL).join(found, members["rep"] == found["id"], "left").select("rep", "n", "value", "first", F.coalesce("component", "rep").alias("label"))
+    split = open_.groupBy("value").agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
+    sets = cut(join_anew(open_, split, ["value"]).select("first", "rep", "n", "label").distinct())
+    main = sets.groupBy("first", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("first")
+    main = main.agg(F.sum("c").alias("all"), F.sum("s").alias("size"), F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("main"))
+    main = main.select("first", F.col("main.label").alias("main"), _blocks(F.col("all"), F.col("size")).alias("nj"), _blocks(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.s")).alias("ni"))
+    sets = join_anew(sets, main, ["first"])
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
     left = sets.where("label <> main").withColumn("i", spread("ni", 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("few", F.lit(True))
     right = sets.withColumn("j", spread("nj", 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("few", F.lit(False))
-    need = left.unionByName(right).select("first", "i", "j", "few", F.col("rep").alias("doc_id"), "label")
+    both = left.unionByName(right).select("first", "i", "j", "few", "rep", "label").join(sigs.select("rep", "sig"), "rep")
+    row = pa.schema([("first", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("few", pa.bool_()), ("doc_id", pa.int64()), ("label", pa.int64())])
+
+    def agreeing(t: pa.Table) -> pa.Table:
+        few, label = t.column("few").to_numpy(), t.column("label").to_numpy()
+        values = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+        left, right, used = np.flatnonzero(few), np.flatnonzero(~few), np.zeros(len(few), bool)
+        for i in left.tolist():
+            hit = right[((values[right] == values[i]).sum(1) >= AGREE) & (label[right] != label[i])]
+            used[hit] = True
+            used[i] |= len(hit) > 0
+        return t.select(["first", "i", "j", "few", "rep", "label"]).filter(pa.array(used)).rename_columns(row.names).cast(row)
+
+    need = both.groupBy("first", "i", "j").applyInArrow(agreeing, "first long, i int, j int, few boolean, doc_id long, label long")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, label, few = t.column("doc_id").to_numpy(), t.column("label").to_numpy(), t.column("few").to_numpy()
+        label, few = t.column("label").to_numpy(), t.column("few").to_numpy()
         own = shingles(t.column("text").to_pylist(), k)
         left, right = np.flatnonzero(few), np.flatnonzero(~few)
-        if not len(left) or not len(right):
-            return schema.empty_table()
         size = np.array([len(s) for s in own])
         flat, owner = np.concatenate([own[i] for i in left]), np.repeat(np.arange(len(left)), size[left])
         order = np.argsort(flat)
         flat, owner = flat[order], owner[order]
-        hits: dict[tuple[int, int], int] = {}
+        hits: set[tuple[int, int]] = set()
         for j in right.tolist():
             lo, hi = np.searchsorted(flat, own[j], "left"), np.searchsorted(flat, own[j], "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(left))
-            for i in np.flatnonzero((100 * both >= percent * (size[left] + size[j] - both)) & (label[left] != label[j])).tolist():
-                hits.setdefault((int(ids[left[i]]), int(label[j])), int(ids[j]))
-        return pa.table([[a for a, _ in hits], list(hits.values())], schema=schema)
+            common = np.bincount(owner[at], minlength=len(left))
+            to = left[100 * common >= percent * (size[left] + size[j] - common)]
+            hits |= {(max(x, int(label[j])), min(x, int(label[j]))) for x in set(label[to].tolist())}
+        pairs = sorted(x for x in hits if x[0] != x[1])
+        return pa.table([[x[0] for x in pairs], [x[1] for x in pairs]], schema=schema)
 
-    sent = need.join(texts, "doc_id").select("first", "i", "j", "few", "doc_id", "label", "text")
-    return sent.groupBy("first", "i", "j").applyInArrow(compare, "a long, b long")
+    sent = need.join(texts, "doc_id").select("first", "i", "j", "few", "label", "text")
+    return sent.groupBy("first", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a < b) whose full sets are that similar. Pairs meet at one of their ends, their hub, in blocks of about `FEW`."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / FEW).alias("blocks"))
-    hub = pairs.join(blocks, "a").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
-    own = hub.select("hub", F.col("hub").alias("doc_id"), "block").distinct()
-    need = hub.unionByName(own)
-    sent = need.join(texts, "doc_id").select("hub", "block", "doc_id", "text")
-
-    def check(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        sets = dict(zip(g["doc_id"], shingles(g["text"].tolist(), k), strict=True))
-        a, mine = int(key[0]), None
-        mine = sets.pop(a)
-        hits = []
+    """The pairs (a, b, blocks) whose full sets are that similar. Pairs meet at a, their hub, in as many blocks."""
+    hub = pairs.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "blocks", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
+    own = hub.select("hub", F.col("hub").alias("doc_id"), "blocks", "block").distinct()
+    sent = hub.unionByName(own).join(texts, "doc_id").select("hub", "blocks", "block", "doc_id", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(t: pa.Table) -> pa.Table:
+        a = t.column("hub")[0].as_py()
+        sets = dict(zip(t.column("doc_id").to_pylist(), shingles(t.column("text").to_pylist(), k), strict=True))
+        mine, hits = sets.pop(a), []
         for b, other in sets.items():
             both = len(np.intersect1d(mine, other, assume_unique=True)) if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)) else 0
             if 100 * both >= percent * (len(mine) + len(other) - both) and both:
-                hits.append(int(b))
-        return pd.DataFrame({"a": np.full(len(hits), a, np.int64), "b": np.array(hits, np.int64)})
+                hits.append(b)
+        return pa.table([[a] * len(hits), hits], schema=schema)
 
-    return sent.groupBy("hub", "block").applyInPandas(check, "a long, b long")
+    return sent.groupBy("hub", "blocks", "block").applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = SHINGLE) -> DataFrame:
@@ -196,19 +214,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = signed.where("doc_id is not null and n > 0")
     classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sigs = classes.select("rep", "sig")
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    by = W.partitionBy("band", "value")
-    many = buckets.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    members = cut(buckets.join(many, ["band", "value"]).select("rep", "band", "value", "m", "first"))
-    ahead = [F.lead("rep", j).over(by.orderBy("rep")) for j in range(1, SMALL)]
-    reach = members.withColumn("to", F.array(*[F.when((F.col("m") <= SMALL) | F.lit(j < NEAR), x) for j, x in enumerate(ahead)]))
-    partners = F.filter(F.array_append("to", F.when(F.col("first") != F.col("rep"), F.col("first"))), lambda x: x.isNotNull())
-    pairs = reach.select("rep", F.explode(partners).alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a < b").distinct()
-    links = cut(_confirmed(texts, _alike(pairs, sigs), percent, k).distinct())
+    buckets = classes.select("rep", "n", F.explode("bands").alias("value"))
+    many = buckets.groupBy("value").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
+    members = cut(join_anew(buckets, many, ["value"]))
+    # a large bucket is dealt into lots of about LOT sets
+    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOT)).cast("int")
+    by = W.partitionBy("value", "lot").orderBy("rep")
+    other = lambda x: F.struct(x("rep").alias("rep"), x("n").alias("n"))
+    ahead = [other(lambda c, j=j: F.lead(c, j).over(by)) for j in range(1, SMALL)]
+    ahead = [F.when((F.col("m") <= SMALL) | F.lit(j < NEAR), x) for j, x in enumerate(ahead)]
+    firsts = [other(lambda c: F.first(c).over(by)), F.struct(F.col("first").alias("rep"), F.col("n").alias("n"))]
+    partners = F.filter(F.array(*ahead, *firsts), lambda x: x["rep"].isNotNull() & (x["rep"] != F.col("rep")))
+    reach = members.withColumn("lot", lot).withColumn("to", partners).select("rep", "n", "m", F.explode("to").alias("o"))
+    pairs = reach.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"), _blocks(F.col("m"), F.col("m") * F.greatest("n", "o.n")).alias("blocks"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("blocks").alias("blocks"))
+    links = _confirmed(texts, cut(_alike(pairs, sigs)), percent, k)
     found = cut(components(links))
-    more = cut(_between(members, found, texts, percent, k))
+    more = cut(_between(members, found, sigs, texts, percent, k))
     if not more.isEmpty():
-        found = cut(components(links.unionByName(more)))
+        found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
     reps = classes.select("h1", "h2", "n", "rep").join(found, classes["rep"] == found["id"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(reps, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
