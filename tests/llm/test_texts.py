@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stemma.llm import chunks, edit_fingerprint, html_crf, minmax, mixing, piece_bpe, radix_dedup, secrets, substring_dedup, toxicity
@@ -49,7 +50,7 @@ OPERATORS = {
     "windows": substring_dedup.remove_repeats,
     "near": minmax.near_duplicates,
     "bytes": radix_dedup.remove_repeats,
-    "toxic": lambda d: toxicity.score(d, toxicity.Chain({}, [[0.0] * (3 + i) + [-9.0] for i in range(4)], 0.5)),
+    "toxic": lambda d: toxicity.score(d, toxicity.never()),
 }
 
 
@@ -215,13 +216,40 @@ def test_toxicity_held_out(spark):
                 w.insert(r.randrange(len(w)), r.choice(bad).upper() if r.random() < 0.2 else r.choice(bad))
         rows.append((i, " ".join(w), int(toxic)))
     docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1 - y if i % 50 == 7 else y) for i, _, y in rows[:600]] + [(5000, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, 1 - y if i % 50 == 7 else y, None if i % 9 == 0 else 1 - (i % 5 == 1)) for i, _, y in rows[:600]] + [(5000, 1, 1), (3, None, 0)], "doc_id long, toxic int, quality int")
     chain = toxicity.fit(docs, labels)
     got = {x["doc_id"]: x for x in toxicity.score(docs, chain).collect()}
     held = rows[600:]
     assert sum(got[i]["rejected"] == bool(y) for i, _, y in held) >= len(held) - 3
     assert {x["doc_id"] for x in toxicity.keep_clean(docs, chain).collect()} == {i for i, x in got.items() if not x["rejected"]}
     assert not any(x["rejected"] for x in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect())
+    # nothing to learn from, and columns of other names and of clashing ones
+    none = toxicity.fit(docs.limit(0), labels)
+    assert none.threshold > 1 and toxicity.fit(docs, labels.limit(0)).threshold > 1
+    wide = docs.selectExpr("doc_id", "text", "'x' as y", "1 as q", "0 as toxic", "'z' as own")
+    assert np.allclose(toxicity.fit(wide, labels.selectExpr("doc_id", "toxic", "quality", "'t' as text", "2 as h")).table, chain.table)
+
+
+def test_chain_of_degrees(spark):
+    """Later links see earlier ones, and degrees come from labelled rows alone."""
+    r = random.Random(6)
+    rows = []
+    for i in range(600):
+        w, n = prose(r, 30).split(), (0, 0, 1, 5)[i % 4]
+        rows.append((i, " ".join(w + ["slur" + k for k in r.sample("abcdef", n)]), int(n > 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int"))
+    got = chain.probabilities([t for _, t, _ in rows])
+    assert [len(x) for x in chain.links] == [1, 2, 3, 4]
+    five, single, clean = (got[k::4].mean(0) for k in (3, 2, 1))
+    assert five[2] > 0.7 > single[2] and single[3] > 0.6 > clean[3]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_features_of_long_texts(n):
+    text = " ".join(["Ünter-Wort99 abc"] * n)
+    own, sizes = toxicity.features([text, "", text.upper()])
+    assert sizes.tolist() == [min(3, 3 * n), 0, min(3, 3 * n)] and own[: sizes[0]].tolist() == own[sizes[0] :].tolist()
 
 
 def test_fingerprints(spark, texts):
