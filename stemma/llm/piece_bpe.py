@@ -14,12 +14,13 @@ and there is only one of those.
 
 Texts are cut where no piece of the vocabulary can cross (before a word-start mark that follows
 something else, and around characters that are in no piece of two or more characters), so results of
-frequent words are remembered.
+frequent words are remembered: `MEMORY` bytes of them at most, none longer than `WORD` characters.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +34,16 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+#: Bytes of remembered words, about; of either half the one not filled of late is forgotten first.
+MEMORY = 160 << 20
+#: Characters of a word that is remembered.
+WORD = 64
+
+
 class MergeEncoder:
-    """memory: words whose encoding is remembered; beyond it, those not met for the longest time are forgotten."""
+    """memory: about how many bytes of words and their ids are remembered; beyond it, words not met for the longest time are forgotten."""
 
-    def __init__(self, model_path: str, memory: int = 160_000):
+    def __init__(self, model_path: str, memory: int = MEMORY):
         import ahocorasick
         import sentencepiece
 
@@ -49,15 +56,17 @@ class MergeEncoder:
         self.score = {p: model.get_score(i) for i, p in enumerate(self.pieces) if not special[i]}
         self.id = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.byte_id = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.unknown = model.unk_id()
+        if len(self.byte_id) != 256:  # else runs of unknown characters have one id together, across words
+            raise ValueError("only models with byte fallback are supported")
         self.raw = [p.replace(MARK, " ").encode() if not special[i] else b"" for i, p in enumerate(self.pieces)]
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
-        self.raw[self.unknown] = b" \xe2\x81\x87 "
+        self.raw[model.unk_id()] = b" \xe2\x81\x87 "
         self.trie = ahocorasick.Automaton()
         for p in self.id:
-            self.trie.add_word(p, p)
+            self.trie.add_word(p, (len(p) - 1, p))
         self.trie.make_automaton()
+        self.decimal = {p: str(i) for p, i in self.id.items()}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p in self.id}
         chars = "".join(re.escape(p) for p in sorted(self.id) if len(p) == 1)
         self.spellable, self.runs = re.compile(f"[{chars}]+").fullmatch, re.compile(f"[{chars}]+|[^{chars}]").findall
@@ -66,11 +75,10 @@ class MergeEncoder:
             joined = None  # a piece crosses words: whole texts are encoded at once
         inner = "".join(map(re.escape, sorted((joined or set()) - {MARK})))
         self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]" if inner else "(?s).+")
-        self.fits: dict[tuple[str | None, str], bool] = {}
+        self.fits: dict[str | None, dict[str, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.apart = bool(inner)
-        self.memory, self.text_of = memory, {}
-        self.ids_of = _Ids(self, self.text_of)
-        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.memory, self.ids_of = memory, _Ids(self)
 
     def remerge(self, text: str) -> list[str]:
         """The model's merges on a short text."""
@@ -86,42 +94,45 @@ class MergeEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, last: str | None, piece: str) -> bool:
-        key = (last, piece)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > 300_000:
-                self.fits.clear()
-            ok = self.fits[key] = self.remerge((last or "") + piece) == ([piece] if last is None else [last, piece])
+        if self.pairs > 600_000:
+            self.fits.clear()
+            self.pairs = 0
+        self.pairs += 1
+        ok = self.fits[last][piece] = self.remerge((last or "") + piece) == ([piece] if last is None else [last, piece])
         return ok
 
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text without characters unknown to the model."""
         n = len(text)
         longest: list[str | None] = [None] * (n + 1)
-        for end, piece in self.trie.iter(text):
-            start = end + 1 - len(piece)
-            if longest[start] is None or len(longest[start]) < len(piece):
-                longest[start] = piece
-        open_ends = bytearray(b"\x01") * (n + 1)
+        for end, (k, piece) in self.trie.iter(text):  # by their ends: of those with one start the longest comes last
+            longest[end - k] = piece
+        failed: bytearray | None = None  # a bit, as a byte, for each place from which no way leads on
         pieces: list[str] = []
-        fits, shorter, last, at, piece = self.fits.get, self.shorter, None, 0, longest[0]
+        fits, shorter, last, at, piece = self.fits, self.shorter, None, 0, longest[0]
+        known = fits[last].get
         while at < n:
             while piece is not None:
-                if open_ends[at + len(piece)] and (ok := fits((last, piece))) is not False and (ok or self.compatible(last, piece)):
+                if (ok := known(piece)) is None:
+                    ok = self.compatible(last, piece)
+                    known = fits[last].get
+                if ok and (failed is None or not failed[at + len(piece)]):
                     break
                 piece = shorter[piece]
             if piece is not None:
                 pieces.append(piece)
-                last = piece
+                last, known = piece, fits[piece].get
                 at += len(piece)
                 piece = longest[at]
             else:
                 if not pieces:
                     raise ValueError(f"the vocabulary has no encoding of {text!r}")
-                open_ends[at] = 0
+                failed = failed or bytearray(n + 1)
+                failed[at] = 1
                 at -= len(last)
                 piece = shorter[pieces.pop()]
                 last = pieces[-1] if pieces else None
+                known = fits[last].get
         return pieces
 
     def encode_part(self, part: str) -> list[int]:
@@ -133,7 +144,7 @@ class MergeEncoder:
             if run in self.id or self.spellable(run):
                 ids += [self.id[p] for p in self.backtrack(run)]
             else:
-                ids += [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
+                ids += [self.byte_id[b] for b in run.encode("utf-8", "surrogatepass")]
         return ids
 
     def parts(self, text: str) -> list[str]:
@@ -151,33 +162,62 @@ class MergeEncoder:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the decoded text."""
-        if 2 * len(self.ids_of) > self.memory:
-            self.before = dict(self.ids_of), dict(self.text_of)
-            self.ids_of.clear()
-            self.text_of.clear()
+        self.ids_of.make_room()
         words = text.split(" ") if text else []
         if not self.apart or "" in words or MARK in text:  # pieces may hold several marks: parts with their marks, after one more
             words = [MARK + x for x in self.parts(text)]
         ids = ",".join(list(map(self.ids_of.__getitem__, words)))
-        decoded = "".join(list(map(self.text_of.__getitem__, words)))
-        return ids.count(",") + 1 if ids else 0, sha256(ids), sha256(decoded.removeprefix(" "))
+        changed = self.ids_of.changed
+        if words and words[0][:1] != MARK and (not changed or changed.keys().isdisjoint(words)):
+            decoded = text  # all words decode to themselves
+        else:
+            decoded = "".join([changed[w] if w in changed else (" " + w if w[:1] != MARK else w[1:].replace(MARK, " ")) for w in words]).removeprefix(" ")
+        return ids.count(",") + 1 if ids else 0, sha256(ids), sha256(decoded)
 
 
 class _Ids(dict):
-    """word -> its ids joined by commas; text_of gets what these ids decode to."""
+    """word -> its ids joined by commas; changed has what they decode to, if that is not the word after a space.
 
-    def __init__(self, encoder: MergeEncoder, text_of: dict[str, str]):
+    A word that begins with a mark is a part of a text, as it stands behind that mark.
+    """
+
+    def __init__(self, encoder: MergeEncoder):
         super().__init__()
-        self.encoder, self.text_of = encoder, text_of
+        self.encoder, self.changed, self.size = encoder, {}, 0
+        self.before: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.long: list[str] = []
+
+    def make_room(self) -> None:
+        """Long words are forgotten at once, others when half the memory is full: then the other half is."""
+        for word in self.long:
+            self.pop(word, None)
+            self.changed.pop(word, None)
+        self.long.clear()
+        if 2 * self.size > self.encoder.memory:
+            self.before = dict(self), dict(self.changed)
+            self.clear()
+            self.changed.clear()
+            self.size = 0
 
     def __missing__(self, word: str) -> str:
         own = self.encoder
-        if (known := own.before[0].get(word)) is not None:
-            self[word], self.text_of[word] = known, own.before[1][word]
-            return known
-        ids = [i for part in own.cut.findall(word[1:] if word[0] == MARK else MARK + word) for i in own.encode_part(part)]
-        self.text_of[word] = "".join(own._decode_parts(ids))
-        found = self[word] = ",".join(map(str, ids))
+        found = self.before[0].get(word)
+        if found is None:
+            whole = word[1:] if word[:1] == MARK else MARK + word
+            if len(whole) <= WORD and own.spellable(whole):  # pieces of the vocabulary, which decode to what they spell
+                found = ",".join([own.decimal[p] for p in own.backtrack(whole)])
+            else:
+                ids = [i for part in own.cut.findall(whole) for i in own.encode_part(part)]
+                text, found = "".join(own._decode_parts(ids)), ",".join(map(str, ids))
+                if text != whole.replace(MARK, " "):
+                    self.changed[word] = text
+        elif word in self.before[1]:
+            self.changed[word] = self.before[1][word]
+        if len(word) > WORD:
+            self.long.append(word)
+        else:
+            self.size += 4 * len(word) + len(found) + 260  # about what the objects and their places in the table take
+        self[word] = found
         return found
 
 

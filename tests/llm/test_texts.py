@@ -91,6 +91,30 @@ def test_backtracking_on_random_texts():
         assert own.encode(t) == sp.encode(t), t
 
 
+@pytest.mark.parametrize("memory", [3000, piece_bpe.MEMORY])
+def test_digests_on_random_texts(memory):
+    import sentencepiece
+
+    own, sp, r = piece_bpe.MergeEncoder(tokenizer_path(), memory), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path()), random.Random(3)
+    for n in range(1500):
+        t = "".join(r.choice("abehinorst  ,.'\"ABE01é\n▁日本😀\x00ßü\u3000") for _ in range(r.randint(0, 60))) * (8 if n % 50 == 0 else 1)
+        ids = sp.encode(t)
+        assert own.digest(t) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))), t
+    assert own.ids_of.size <= memory
+
+
+@pytest.mark.parametrize("text", ["日本語" * 1_700_000, "ab" * 2_500_000, "word, " * 800_000], ids=["ideographs", "letters", "words"])
+def test_texts_of_5_mb(text):
+    import sentencepiece
+
+    own, sp = piece_bpe.MergeEncoder(tokenizer_path()), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    n, ids, decoded = own.digest(text)
+    want = sp.encode(text)
+    assert (n, ids, decoded) == (len(want), sha(",".join(map(str, want))), sha(text))
+    own.digest("")
+    assert sum(map(len, own.ids_of)) < 200  # no text is remembered as a word
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_windows_against_brute_force(spark, texts, monkeypatch, small):
     if small:
