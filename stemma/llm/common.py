@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -65,6 +66,19 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def pieces(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters: what is made of them at once stays small."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads; whatever else df has, under any name, stays out."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_text, join_anew, on_workers
+from .common import batch, cut, id_text, join_anew, on_workers, pieces
 from .components import components
 from .words import mix as _mix
 from .words import window_hashes, word_hashes
@@ -44,7 +44,9 @@ AGREE = 74
 #: Sets of a bucket among which a set is paired with its neighbours.
 LOT = 256
 #: Sets, and shingles of theirs, that a task compares at once with another set or with as many others.
-FEW, BLOCK = 256, 1 << 20
+FEW, BLOCK = 128, 1 << 18
+#: Characters whose words are hashed at once.
+PIECE = 400_000
 
 _ODD = (np.random.default_rng(20).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -52,14 +54,15 @@ _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()),
 
 def shingles(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     """Sets as sorted 64-bit hashes; a text of fewer than k words is one shingle, one without words none."""
-    # on bytes, lower() and white space are ASCII's
-    h, words = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in texts])
-    full = window_hashes(h, k, k)
-    out, at = [], 0
-    for n in words.tolist():
-        own = full[at : at + n - k + 1] if n >= k else window_hashes(h[at : at + n], n, n) if n else full[:0]
-        out.append(np.unique(own))
-        at += n
+    out: list[np.ndarray] = []
+    for some in pieces(texts, PIECE):
+        # on bytes, lower() and white space are ASCII's
+        h, words = word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in some])
+        full, at = window_hashes(h, k, k), 0
+        for n in words.tolist():
+            own = full[at : at + n - k + 1] if n >= k else window_hashes(h[at : at + n], n, n) if n else full[:0]
+            out.append(np.unique(own))
+            at += n
     return out
 
 
@@ -68,13 +71,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, texts, size = [], [], 0
-            for i, t in enumerate(b.column(1)):
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size > 1_500_000 or i == b.num_rows - 1:
-                    rows += _signed(shingles(texts, k))
-                    texts, size = [], 0
+            rows = [r for texts in pieces((t.as_py() for t in b.column(1)), PIECE) for r in _signed(shingles(texts, k))]
             yield batch(_SIG, b.column(0), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
 
     on_workers(df.sparkSession)

@@ -35,7 +35,7 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 
 #: Bytes of remembered words, about; of either half the one not filled of late is forgotten first.
-MEMORY = 160 << 20
+MEMORY = 80 << 20
 #: Characters of a word that is remembered.
 WORD = 64
 

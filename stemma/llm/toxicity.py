@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, id_text, on_workers
+from .common import batch, id_text, on_workers, pieces
 from .words import word_hashes
 
 DEGREES = {"repeated_abuse": 2, "heavy_abuse": 4}
@@ -35,7 +35,7 @@ TELLING = 6.0
 SURE = 3.0
 FOLDS = 3
 #: Characters whose words are hashed at once.
-PIECE = 1_500_000
+PIECE = 400_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.float64()) for c in CHAIN), ("rejected", pa.bool_())])
 _NO_LETTER = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _MARKS = re.compile(r"[^\w\s]|[\d_]")
@@ -111,14 +111,7 @@ class Chain:
 
     def scored(self, texts: pa.Array) -> np.ndarray:
         """probabilities() of a column, some texts at a time; null counts as empty."""
-        parts, held, size = [np.zeros((0, len(self.links)))], [], 0
-        for i, t in enumerate(texts):
-            held.append(t.as_py() or "")
-            size += len(held[-1])
-            if size > PIECE or i == len(texts) - 1:
-                parts.append(self.probabilities(held))
-                held, size = [], 0
-        return np.concatenate(parts)
+        return np.concatenate([np.zeros((0, len(self.links))), *map(self.probabilities, pieces((t.as_py() or "" for t in texts), PIECE))])
 
 
 def never() -> Chain:
