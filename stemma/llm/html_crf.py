@@ -25,12 +25,13 @@ from .common import batch, on_workers
 # Fixed values of HTML: elements that break lines, are empty, hold no text, or end when one like them begins.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template textarea iframe svg math object audio video canvas".split())
+RAW = frozenset("script style title textarea iframe".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSE_P = BLOCK - {"button", "label", "option", "select", "legend", "summary", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SCOPE = frozenset("article aside body div footer header main nav section table td th ul ol form blockquote".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.DOTALL)
+#: A tag ends before the next "<" outside quotes, and nothing is tried twice, so that no page takes more than linear time.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -40,25 +41,35 @@ PAGES = 600
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "words")
+    """A leaf block: its text, how much of it is linked, the nearest block element, and all elements and class words around it."""
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...], words: frozenset[str]):
-        self.text, self.linked, self.path, self.words = text, linked, path, words
+    __slots__ = ("text", "linked", "own", "inside", "words")
 
+    def __init__(self, text: str, linked: int, own: str, inside: frozenset[str], words: frozenset[str]):
+        self.text, self.linked, self.own, self.inside, self.words = text, linked, own, inside, words
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, references decoded, white space made single; tags may be left open or closed twice."""
+
+_NOWHERE = ("", "none", frozenset(), frozenset())
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order, references decoded, white space made single; tags may be left open or closed twice.
+
+    Of class words only those in known are kept, if that is given. An open element holds what is around
+    it, so that depth costs nothing.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, str, frozenset[str], frozenset[str]]] = []
+    open_: dict[str, int] = {}
     text: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             t = SPACE.sub(" ", "".join(text)).strip()
             if t:
-                out.append(Block(t, min(linked, len(t)), tuple(x[0] for x in stack), frozenset().union(*(x[1] for x in stack))))
+                out.append(Block(t, min(linked, len(t)), *(stack[-1] if stack else _NOWHERE)[1:]))
             text.clear()
             linked = 0
 
@@ -66,12 +77,12 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         t = html.unescape(raw) if "&" in raw else raw
         text.append(t)
-        if links:
+        if open_.get("a"):
             linked += len(t)
 
     def close(k: int) -> None:
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[k:])
+        for x in stack[k:]:
+            open_[x[0]] -= 1
         del stack[k:]
 
     while at < len(page):
@@ -90,17 +101,19 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name in BLOCK:
                 flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None and not (name not in BLOCK and any(x[0] in SCOPE for x in stack[k:])):
-                close(k)
-            elif k is None and name == "p":
+            if open_.get(name):
+                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if name in BLOCK or not any(x[0] in SCOPE for x in stack[k:]):
+                    close(k)
+            elif name == "p":
                 flush()
             continue
+        alone = m[3].rstrip().endswith("/")
         if name in RAW:
             if name in BLOCK:
                 flush()
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.IGNORECASE).search(page, at) if not m[3].rstrip().endswith("/") else None
-            at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
+            end = None if alone else re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else at if alone else len(page)
             continue
         if name == "br":
             text.append(" ")
@@ -108,17 +121,23 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
             for ends in ((ENDS.get(name) or ()), (("p",) if name in CLOSE_P else ())):
+                if not any(open_.get(x) for x in ends):
+                    continue
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ends:
                         close(i)
                         break
                     if stack[i][0] in SCOPE and stack[i][0] not in ("td", "th") or stack[i][0] in ("ul", "ol", "table"):
                         break
-        if name in EMPTY or m[3].rstrip().endswith("/") and name not in BLOCK:
+        if name in EMPTY or alone and name not in BLOCK:
             continue
-        words = frozenset(w.lower() for x in NAMES.finditer(m[3]) for w in PART.findall(x[1] or x[2] or x[3] or "")) if "=" in m[3] else frozenset()
-        stack.append((name, words))
-        links += name == "a"
+        _, own, inside, words = stack[-1] if stack else _NOWHERE
+        more = frozenset(w.lower() for x in NAMES.finditer(m[3]) for w in PART.findall(x[1] or x[2] or x[3] or "")) if "=" in m[3] else frozenset()
+        more = (more if known is None else more & known) - words
+        if name in BLOCK:
+            own, inside = name, inside if name in inside else inside | {name}
+        stack.append((name, own, inside, words | more if more else words))
+        open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
@@ -127,12 +146,11 @@ def features(found: list[Block]) -> list[list[str]]:
     """Names of the features that each block has."""
     n, out = len(found), []
     for i, b in enumerate(found):
-        own, inside = next((t for t in reversed(b.path) if t in BLOCK), "none"), set(b.path)
         size, words = len(b.text), b.text.count(" ") + 1
-        f = ["bias", f"tag {own}", f"words {min(6, words.bit_length())}", f"linked {min(3, 4 * b.linked // max(1, size))}", f"end {b.text[-1] in '.!?…:'}", f"at {'first' if i < 0.1 * n else 'last' if i >= 0.9 * n else 'inner'}", f"commas {min(2, b.text.count(','))}"]
-        f += [f"in {t}" for t in inside if t in BLOCK]
+        f = ["bias", f"tag {b.own}", f"words {min(6, words.bit_length())}", f"linked {min(3, 4 * b.linked // max(1, size))}", f"end {b.text[-1] in '.!?…:'}", f"at {'first' if i < 0.1 * n else 'last' if i >= 0.9 * n else 'inner'}", f"commas {min(2, b.text.count(','))}"]
+        f += [f"in {t}" for t in b.inside]
         f += [f"word {w}" for w in b.words]
-        if not inside & {"nav", "aside", "footer", "header", "form", "menu", "button"}:
+        if not b.inside & {"nav", "aside", "footer", "header", "form", "menu", "button"}:
             f.append("in no frame")
         if "©" in b.text or "(c)" in b.text[:4].lower():
             f.append("copyright")
@@ -145,6 +163,7 @@ class Field:
 
     def __init__(self, names: list[str]):
         self.at = {x: i for i, x in enumerate(names)}
+        self.words = frozenset(x.removeprefix("word ") for x in names if x.startswith("word "))
         self.weights, self.move = np.zeros((len(names), 2)), np.zeros((2, 2))
 
     def index(self, f: list[list[str]]) -> list[list[int]]:
@@ -214,7 +233,7 @@ class Field:
 def labelled_pages(n: int, seed: int = 4) -> list[tuple[str, set[str]]]:
     """n (html, texts of the main blocks) by rule: layouts with and without semantic elements, and what surrounds articles."""
     r = random.Random(seed)
-    syllables = "th er on an re he in ed nd ha at en es of or ti le de ung sch que ion é ou ar la".split()
+    syllables = "ba ko mi lu ten dar vos pri sel gon fa ni ro tal ur eb ösk ña ct ly".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     count = [0]
 
@@ -248,7 +267,8 @@ def labelled_pages(n: int, seed: int = 4) -> list[tuple[str, set[str]]]:
                 return f"{a}<div>{say(1, 4, '')}</div>{r.choice(('', f'<p>{say(2, 8)}</p>'))}{b}"
             if kind == "footer":
                 a, b = framed(("footer", "footer", "div"), ("footer", "site-footer", "copyright", "legal", "bottom"))
-                return f"{a}{r.choice(('&copy; ', '', '<p>'))}{word()}.example.com &middot; {say(2, 12)}{r.choice(('', f'<p>{say(3, 15)}</p>', f'<ul>{links(3)}</ul>'))}{b}"
+                mark = r.choice(("&copy; ", "(c) ", "Copyright ", "&#169; 20", "", "<p>"))
+                return f"{a}{mark}{word()}{r.choice(('', ' &middot; ', ' | ', ', ', ' - '))}{say(2, 12)}{r.choice(('', f'<p>{say(3, 15)}</p>', f'<ul>{links(3)}</ul>'))}{b}"
             if kind == "sidebar":
                 a, b = framed(("aside", "aside", "div", "section"), ("sidebar", "widget", "related", "recommended", "more-stories", "popular", "side-column", "trending"))
                 return f"{a}<h{r.choice('234')}>{say(0, 3, '')}</h3>{r.choice((f'<p>{say(5, 40)}</p>', f'<ul>{links(4)}</ul>', f'<div>{say(3, 20)}</div>'))}{b}"
@@ -273,7 +293,12 @@ def labelled_pages(n: int, seed: int = 4) -> list[tuple[str, set[str]]]:
                 end = r.choice(("</p>", "</p>", "</p>", ""))
                 first = r.random()
                 t = keep(say(0, r.choice((1, 6, 30, 90)), r.choice((".", ".", ".", "", "!"))))
-                return f"<p>{t}{end}" if first < 0.7 else f"<p><b>{t}<br>" if first < 0.85 else f'<p class="{r.choice(("text", "lead", "intro", "para"))}">{t}{end}'
+                if first < 0.85:
+                    # inline elements, some of which are never closed
+                    tag = r.choice(("", "", "b", "i", "em", "strong", "span", "a href=/x", "small", "font"))
+                    t = f"<{tag}>{t}" + r.choice((f"</{tag.split()[0]}>", "")) if tag and not (tag[0] == "a" and not end) else t
+                    return f"<p>{t}{r.choice(('', '', '<br>', '<br/>'))}{end}"
+                return f'<p class="{r.choice(("text", "lead", "intro", "para"))}">{t}{end}'
             if kind < 0.72:
                 return f"<h{(k := r.choice('234'))}>{keep(say(0, 8, ''))}</h{k}>"
             if kind < 0.8:
@@ -300,7 +325,8 @@ def labelled_pages(n: int, seed: int = 4) -> list[tuple[str, set[str]]]:
             after.remove("comments")
             inner += frame("comments")
         wrap = r.choice(("", "", '<div class="wrapper">', '<div id="page"><div class="container">'))
-        page = f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style></head><body>{wrap}{''.join(map(frame, before))}<!-- {word()} -->{a}{inner}{b}{''.join(map(frame, after))}{frame('footer') if r.random() < 0.85 else ''}"
+        style = r.choice(("", f"<style>.{word()}{{color:#{r.randint(100, 999)}}}</style>", f'<script>var {word()}="</div>";</script>'))
+        page = f"<!DOCTYPE html><html><head><title>{word()}</title>{style}</head><body>{wrap}{''.join(map(frame, before))}<!-- {word()} -->{a}{inner}{b}{''.join(map(frame, after))}{frame('footer') if r.random() < 0.85 else ''}"
         out.append((page + r.choice(("", "</body></html>")), main))
     return out
 
@@ -319,7 +345,7 @@ def trained_field() -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.words)
     return "\n".join([b.text for b, y in zip(found, field.decode(field.index(features(found))), strict=True) if y])
 
 
