@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, cut, id_text, join_anew, on_workers, pieces
+from .common import batch, by_group, cut, id_text, join_anew, on_workers, pieces
 from .components import components
 from .words import mix as _mix
 from .words import window_hashes, word_hashes
@@ -152,7 +152,7 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataF
             used[i] |= len(hit) > 0
         return t.select(["first", "i", "j", "few", "rep", "label"]).filter(pa.array(used)).rename_columns(row.names).cast(row)
 
-    need = both.groupBy("first", "i", "j").applyInArrow(agreeing, "first long, i int, j int, few boolean, doc_id long, label long")
+    need = by_group(both, ["first", "i", "j"], agreeing, "first long, i int, j int, few boolean, doc_id long, label long")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
@@ -175,7 +175,7 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataF
         return pa.table([[x[0] for x in pairs], [x[1] for x in pairs]], schema=schema)
 
     sent = need.join(texts, "doc_id").select("first", "i", "j", "few", "label", "text")
-    return sent.groupBy("first", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return by_group(sent, ["first", "i", "j"], compare, "a long, b long").distinct()
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> Data
                 hits.append(b)
         return pa.table([[a] * len(hits), hits], schema=schema)
 
-    return sent.groupBy("hub", "blocks", "block").applyInArrow(check, "a long, b long")
+    return by_group(sent, ["hub", "blocks", "block"], check, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = SHINGLE) -> DataFrame:
