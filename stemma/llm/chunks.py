@@ -2,15 +2,17 @@
 
 Documents are dealt to chunks by ranges of their id, so chunks are in the order of the ids. A chunk
 sends each shard of the key space one packed row of its sorted distinct keys; a shard answers each
-chunk with a bit for each of these keys. However often a key occurs, a chunk sends it once, so no key
-makes a shard large; and keys of 2 bytes each, rather than rows, are what is shuffled. The chunks'
-texts are shuffled once: every later step of a plan reads the same exchange.
+chunk with a bit for each of these keys. However often a key occurs, a chunk sends it once, and keys of
+2 bytes each, rather than rows, are what is shuffled. The chunks' texts are shuffled once, compressed
+where they are read; every later step of a plan reads the same exchange.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,48 +20,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import on_workers
+
 #: Bytes of text in a chunk; it and some arrays of 8 bytes for each of them are in memory at once.
 CHUNK_BYTES = 4 << 20
 #: Keys that a shard gets.
 SHARD_KEYS = 1 << 20
-#: Borders taken from quantiles of the ids; between them, chunks are of equal width.
-BORDERS = 200
+#: Borders taken from quantiles of the ids. Between two of them, chunks are of equal width, as many as the texts' bytes there need.
+BORDERS = 1000
 #: Cells of a sketch row for each key.
 WIDTH = 16
 
 ROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
 ROW_SQL = "chunk long, shard long, data binary"
+_DEALT = pa.schema([("chunk", pa.int64()), ("with_id", pa.bool_()), ("head", pa.binary()), ("size", pa.int64()), ("texts", pa.binary())])
 
 
 class Plan(NamedTuple):
-    chunks: int
+    """Borders of ids, and the number of the first chunk behind each; chunks for documents without an id; bytes of all texts."""
+
+    edges: np.ndarray
+    first: np.ndarray
+    spare: int
     text_bytes: int
 
+    def chunk_of(self, ids: np.ndarray) -> np.ndarray:
+        k = np.clip(np.searchsorted(self.edges, ids, "right") - 1, 0, len(self.first) - 2)
+        n = np.diff(self.first)[k]
+        # distances of ids as unsigned numbers: they may be as far apart as 64 bits go
+        gone = (ids - self.edges[k]).view(np.uint64).astype(float)
+        width = (self.edges[k + 1] - self.edges[k]).view(np.uint64).astype(float)
+        return self.first[k] + np.clip(gone * n / np.maximum(width, 1), 0, n - 1).astype(np.int64)
+
+
+def plan_of(texts: DataFrame) -> Plan:
+    """How (doc_id, text) is dealt: one pass over the ids, one over the sizes of the texts."""
+    low, high, inner = texts.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / BORDERS for i in range(1, BORDERS)], 10 * BORDERS)).first()
+    edges = np.array(sorted({low or 0, *(inner or ()), high or 0}), np.int64)
+    if len(edges) == 1:
+        edges = np.append(edges, edges[0] + 1 if edges[0] < 2**63 - 1 else edges[0])
+    shared = edges.tolist()
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared), np.int64)
+        at = np.array(shared, np.int64)
+        for b in batches:
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            k = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), len(at) - 1, np.clip(np.searchsorted(at, ids, "right") - 1, 0, len(at) - 2))
+            np.add.at(total, k, b.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["k", "n"])
+
+    on_workers(texts.sparkSession)
+    own = texts.select("doc_id", F.octet_length("text").cast("long").alias("n")).mapInArrow(sizes, "k long, n long")
+    counted = {r.k: r.n for r in own.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # BORDERS rows at most
+    # neighbouring intervals of few bytes share a chunk
+    bytes_ = np.array([counted.get(k, 0) for k in range(len(edges) - 1)], np.int64)
+    keep, held = [0], bytes_[0]
+    for k in range(1, len(bytes_)):
+        if held + bytes_[k] > CHUNK_BYTES:
+            keep.append(k)
+            held = 0
+        held += bytes_[k]
+    n = np.array([max(1, math.ceil(bytes_[a:b].sum() / CHUNK_BYTES)) for a, b in zip(keep, [*keep[1:], len(bytes_)], strict=True)])
+    first = np.concatenate(([0], np.cumsum(n)))
+    return Plan(np.append(edges[keep], edges[-1]), first, math.ceil(counted.get(len(edges) - 1, 0) / CHUNK_BYTES), int(sum(counted.values())))
+
 
 def dealt(texts: DataFrame) -> tuple[DataFrame, Plan]:
-    """(chunk, doc_id, text) of (doc_id, text) and the number of chunks; null ids go to the last chunk."""
-    low, high = F.min("doc_id"), F.max("doc_id")
-    size, lo, hi, borders = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), low, high, F.percentile_approx("doc_id", [i / BORDERS for i in range(1, BORDERS)], 2000)).first()
-    if lo is None:
-        return texts.select(F.lit(0).cast("long").alias("chunk"), "doc_id", "text"), Plan(1, size)
-    n = max(1, math.ceil(size / CHUNK_BYTES))
-    edges = sorted({lo, *borders, hi + 1}) if n > 1 else [lo, hi + 1]
-    per = max(1, round(n / (len(edges) - 1)))
-    if n < len(edges) - 1:  # fewer chunks than borders: every so manieth border
-        step = math.ceil((len(edges) - 1) / n)
-        edges = sorted({*edges[::step], hi + 1})
-        per = 1
-    at = F.array(*(F.lit(e).cast("long") for e in edges))
-    k = F.size(F.filter(at, lambda e: e <= F.col("doc_id")))
-    a, b = F.element_at(at, k), F.element_at(at, k + 1)
-    inside = F.least(F.lit(per - 1), F.floor((F.col("doc_id") - a) * F.lit(float(per)) / (b - a)).cast("long"))
-    chunk = F.when(F.col("doc_id").isNull(), F.lit((len(edges) - 1) * per - 1)).otherwise((k - 1) * per + inside)
-    return texts.select(chunk.cast("long").alias("chunk"), "doc_id", "text"), Plan((len(edges) - 1) * per, size)
+    """Documents (doc_id, text) by chunk, compressed: a row for each chunk and batch that is read.
+
+    Documents without an id take part in nothing and go to chunks of their own; those of one id are in one chunk.
+    """
+    plan = plan_of(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            chunk = plan.chunk_of(ids)
+            texts_ = b.column(1).cast(pa.binary())
+            seen: Counter[int] = Counter()
+            for i in np.flatnonzero(null).tolist():  # by the text, repeated ones to other chunks
+                h = zlib.crc32(texts_[i].as_py())
+                seen[h] += 1
+                chunk[i] = plan.first[-1] + (h + seen[h] - 1) % max(1, plan.spare)
+            order = np.argsort(chunk, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(chunk[order]) != 0))) if len(order) else []
+            rows = []
+            for part in np.split(order, starts[1:]) if len(order) else []:
+                own = [x.as_py() for x in texts_.take(pa.array(part))]
+                blob = b"".join(own)
+                head = pack(ids[part], null[part], np.array([len(x) for x in own], np.int64))
+                rows.append((int(chunk[part[0]]), not null[part].all(), head, len(blob), pa.compress(blob, codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_DEALT)], schema=_DEALT)
+
+    on_workers(texts.sparkSession)
+    return texts.select("doc_id", "text").mapInArrow(run, "chunk long, with_id boolean, head binary, size long, texts binary"), plan
+
+
+def numbered(df: DataFrame, plan: Plan) -> DataFrame:
+    """df (longs, of which doc_id is never null) with the chunk that each row's document is in."""
+    kind = ", ".join(f"{c} long" for c in df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(plan.chunk_of(b.column("doc_id").to_numpy()))], names=[*b.schema.names, "chunk"])
+
+    return df.mapInArrow(run, f"{kind}, chunk long")
 
 
 def ordered(t: pa.Table) -> tuple[list[int | None], list[bytes]]:
     """A chunk's ids, null ones last, and texts in bytes, in an order that does not depend on arrival."""
-    rows = sorted(zip(t.column("doc_id").to_pylist(), (x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    rows = []
+    for head, size, packed in zip(t.column("head").to_pylist(), t.column("size").to_pylist(), t.column("texts").to_pylist(), strict=True):
+        ids, null, sizes = unpack(head, np.int64, bool, np.int64)
+        blob, at = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), 0
+        for i, gone, n in zip(ids.tolist(), null.tolist(), sizes.tolist(), strict=True):
+            rows.append((None if gone else i, blob[at : at + n]))
+            at += n
+    rows.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     return [r[0] for r in rows], [r[1] for r in rows]
 
 

@@ -9,11 +9,14 @@ The bits repeat every `PERIOD` steps.
 The fingerprint samples the embedding at fixed random steps, four bits of each. Steps are drawn for
 length classes, powers of two; a fingerprint holds the samples of its text's class and the next
 larger one, so texts up to twice as long can be compared on a class that both have. Bands of samples
-propose near-duplicates, which are verified by the fingerprints' likeness and by edit distance.
+propose near-duplicates, which are verified by the share of all samples that agree: an estimate of the
+embeddings' Hamming distance that does not depend on how long the texts are.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,16 +24,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import cut, id_text, on_workers, sha256
+from .buckets import between, met, neighbours
+from .common import batch, by_group, cut, id_text, join_anew, on_workers, pieces, sha256
 from .components import components
 
 SAMPLES = 192
 PERIOD = 4096
 CLASSES = 64
-#: Samples of a band.
-BAND = 8
-#: Texts outside a bucket's main component that are paired with the others at once.
-FEW = 128
+#: Samples of a band, and bands of each of a fingerprint's two classes.
+BAND, BANDS = 8, 6
+#: Likeness from which texts are near.
+NEAR_LIKE = 0.75
+#: Buckets up to SMALL give all their pairs; in larger ones a text meets NEAR neighbours of its lot of about LOT.
+SMALL, NEAR, LOT = 4, 3, 256
+#: Texts of a block in which a bucket's main component meets the others.
+FEW = 512
 NARROW = 48  # below so many texts in step, they are walked one by one
 
 _rng = np.random.default_rng(33)
@@ -44,7 +52,7 @@ for _j in range(2 * PERIOD - 2, -1, -1):
 _STAY = (_next[:, :PERIOD] + 1).astype(np.int32).ravel()
 _STAY_BYTES = _STAY.astype(np.uint8).tobytes()
 _STEPS = {level: np.sort((_rng.random(SAMPLES) * (2 << level)).astype(np.int64)) for level in range(2, 42)}
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
 
 
 def _codes(text: str) -> np.ndarray:
@@ -169,23 +177,39 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def _previous(filled: DataFrame) -> DataFrame:
+    """(to, chunk): the chunk before each one, the last for the first; by blocks of 4096 chunks."""
+    rows = filled.withColumn("block", F.floor(F.col("chunk") / 4096))
+    order = W.orderBy("block")  # one row for each block
+    last = rows.groupBy("block").agg(F.max("chunk").alias("last"))
+    before = last.select("block", F.coalesce(F.lag("last").over(order), F.max("last").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("before"))
+    return rows.join(before, "block").select(F.col("chunk").alias("to"), F.coalesce(F.lag("chunk").over(W.partitionBy("block").orderBy("chunk")), "before").alias("chunk"))
+
+
 def against_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of an edit of it: its last third replaced from the next document, by descending id.
+    """Fingerprints of every text and of an edit of it (its last third replaced from the next document, by descending id), and its class.
 
     One row per row of df: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The last document's next one is the first. Rows of one id follow each other by their
-    text, descending. A row with a null id is in no order: its next document counts as empty. Null texts
-    count as empty. Documents are dealt to chunks by ranges of ids; each chunk also gets the first
-    document of the next non-empty chunk, so nothing is sorted as a whole.
+    near_next, and class_id of near_duplicates. The last document's next one is the first. Rows of one id
+    follow each other by their text, descending, and share the smallest class. A row with a null id is in
+    no order and no class: its next document counts as empty. Null texts count as empty. Documents are
+    dealt to chunks by ranges of ids; each chunk also gets the first document of the next non-empty chunk,
+    so nothing is sorted as a whole.
     """
-    on_workers(df.sparkSession)
-    docs, _ = C.dealt(id_text(df, id_col, text_col))
-    heads = docs.where("doc_id is not null").groupBy("chunk").agg(F.max(F.struct("doc_id", "text")).alias("head"))
-    order = W.orderBy("chunk")  # one row for each chunk, without its text
-    filled = docs.where("doc_id is not null").select("chunk").distinct()
-    all_ = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    source = filled.select(F.col("chunk").alias("to"), F.coalesce(F.lag("chunk").over(order), F.max("chunk").over(all_)).alias("chunk"))
-    following = source.join(heads, "chunk").select(F.col("to").alias("chunk"), F.col("head.text").alias("text"))
+    own = id_text(df, id_col, text_col)
+    docs, plan = C.dealt(own)
+    with_id, head = docs.where("with_id"), pa.schema([("chunk", pa.int64()), ("text", pa.string())])
+
+    def largest(key: tuple, t: pa.Table) -> pa.Table:
+        ids, texts = C.ordered(t)
+        last = sum(i is not None for i in ids) - 1
+        return pa.table([[key[0].as_py()], [texts[last].decode("utf-8", "surrogatepass")]], schema=head)
+
+    heads = with_id.groupBy("chunk").applyInArrow(largest, "chunk long, text string")
+    none = F.lit(None).cast("long")
+    following = _previous(with_id.select("chunk").distinct()).join(heads, "chunk").select(F.col("to").alias("chunk"), "text", none.alias("doc_id"), none.alias("class_id"))
+    dealt = C.numbered(near_duplicates(own, "doc_id", "text"), plan).select("chunk", F.lit(None).cast("string").alias("text"), "doc_id", "class_id")
+    beside = following.unionByName(dealt)
 
     def run(key: tuple, t: pa.Table, after: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -194,57 +218,101 @@ def against_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n = sum(i is not None for i in ids)
         texts = [x.decode("utf-8", "surrogatepass") for x in raw]
         ids, texts = ids[:n][::-1] + ids[n:], texts[:n][::-1] + texts[n:]
-        last = after.column("text")[0].as_py() if after.num_rows else ""
+        known = {}
+        for i, c in zip(after.column("doc_id").to_pylist(), after.column("class_id").to_pylist(), strict=True):
+            known[i] = min(c, known.get(i, c)) if i is not None else None
+        last = next((x for x in after.column("text").to_pylist() if x is not None), "")
         nexts = texts[1:n] + [last] * min(1, n) + [""] * (len(texts) - n)
         prints, edited = embed(texts, nexts)
         if n:
             tail_print = embed([last])[0][0]
         next_prints = prints[1:n] + ([tail_print] if n else []) + embed([""])[0] * (len(texts) - n)
-        return pa.table([ids, [len(x) for x in texts], [sha256(e[0]) for e in edited], prints, [e[1] for e in edited], [likeness(p, e[1]) for p, e in zip(prints, edited, strict=True)], [likeness(p, q) for p, q in zip(prints, next_prints, strict=True)]], schema=FINGERPRINTS)
+        return pa.table([ids, [len(x) for x in texts], [sha256(e[0]) for e in edited], prints, [e[1] for e in edited], [likeness(p, e[1]) for p, e in zip(prints, edited, strict=True)], [likeness(p, q) for p, q in zip(prints, next_prints, strict=True)], [None if i is None else known[i] for i in ids]], schema=FINGERPRINTS)
+
+    return docs.groupBy("chunk").cogroup(beside.groupBy("chunk")).applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("pack", pa.binary())])
 
-    return docs.groupBy("chunk").cogroup(following.groupBy("chunk")).applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
+def _signed(fingerprint: str) -> tuple[int, list[int], bytes]:
+    """A fingerprint's digest, the keys of its bands (none where all samples are beyond the end), and its samples in bytes."""
+    level, samples, keys = int(fingerprint[:2], 16), fingerprint[2:], []
+    for k in range(2):
+        for b in range(BANDS):
+            at = SAMPLES * k + b * (SAMPLES // BANDS)
+            if (bits := samples[at : at + BAND]) != "0" * BAND:
+                keys.append(int(bits, 16) | b << 32 | level + k << 40)
+    pack = bytes([level]) + bytes.fromhex(samples)
+    return int.from_bytes(hashlib.blake2b(pack, digest_size=8).digest(), "little", signed=True), keys, pack
 
-def _between(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different components, not both in its largest one; in blocks of `FEW` texts outside that one."""
-    bucket = ["level", "band", "bits"]
-    sets = rows.join(found, rows["rep"] == found["id"], "left").select(*bucket, "rep", F.coalesce("component", "rep").alias("label"))
-    main = sets.groupBy(*bucket, "label").agg(F.count("*").alias("c")).groupBy(*bucket).agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("out")).where("out > 0")
-    sets = sets.join(main.withColumn("blocks", F.ceil(F.col("out") / FEW).cast("int")), bucket)
-    few = sets.where("label <> main").select(*bucket, F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.col("rep").alias("x"), F.col("label").alias("of_x"))
-    many = sets.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*bucket, "block", F.col("rep").alias("y"), F.col("label").alias("of_y"))
-    return few.join(many, [*bucket, "block"]).where("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """likeness() of packed fingerprints, row by row."""
+    lx, ly = x[:, 0].astype(int), y[:, 0].astype(int)
+    half = (x.shape[1] - 1) // 2
+    out = np.zeros(len(x))
+    for shift in (-1, 0, 1):
+        rows = np.flatnonzero(ly - lx == shift)
+        if not len(rows):
+            continue
+        a, b = (v[rows, 1:] if shift == 0 else v[rows, 1 + half :] if shift == s else v[rows, 1 : 1 + half] for v, s in ((x, 1), (y, -1)))
+        same, used = np.zeros(len(rows)), np.zeros(len(rows))
+        for p, q in ((a >> 4, b >> 4), (a & 15, b & 15)):
+            filled = (p > 0) | (q > 0)
+            same, used = same + ((p == q) & filled).sum(1), used + filled.sum(1)
+        out[rows] = np.clip((same / np.maximum(used, 1) - 1 / 15) / (14 / 15), 0, 1)
+    return out
 
-def near_duplicates(df: DataFrame, share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", near: int = 3) -> DataFrame:
-    """doc_id and class_id: the smallest id reachable by links; linked are texts whose edit distance is at most share of the longer one.
 
-    Equal texts are one class from the start. Bands of BAND samples at fixed places propose pairs: each
-    text with the first of its bucket and the next `near` ones there, verified by edit distance. In buckets
-    that are not one component by then, what lies outside the largest one is compared with all texts of
-    other components, so no link between two texts of a bucket is passed over. Rows with a null id are left out. A link needs a band on which both texts agree,
-    so texts with edits all over may be missed, as this embedding spreads edits that are close together.
+def _packs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 1 + SAMPLES)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR_LIKE) -> DataFrame:
+    """doc_id and class_id, the smallest id reachable by links; linked are texts whose fingerprints' likeness is at least `least`.
+
+    One row per row of df with an id; others are left out. Equal texts are one class from the start. Texts
+    that agree on a band are candidates; large buckets are finished in blocks, so no link between texts
+    of one bucket is passed over. A link needs a band on which both texts agree, so texts with edits all
+    over may be missed. An empty table gives no rows. Null texts count as empty and are one class.
     """
+
+    def sign(batches):
+        for b in batches:
+            signed = [_signed(f) for some in pieces((t.as_py() for t in b.column(1)), 1_000_000) for f in embed(some)[0]]
+            yield batch(_SIGNED, b.column(0), *([x[k] for x in signed] for k in range(3)))
+
     own = id_text(df, id_col, text_col).where("doc_id is not null")
-    prints = cut(fingerprints(own).join(own.select("doc_id", F.sha2("text", 256).alias("digest")), "doc_id").distinct())
-    classes = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"))
-    level = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(2 * SAMPLES // BAND - 1)), lambda i: F.struct((level + (i >= SAMPLES // BAND).cast("int")).alias("level"), (i % (SAMPLES // BAND)).alias("band"), F.substring("fingerprint", i * BAND + 3, F.lit(BAND)).alias("bits")))
-    rows = classes.select("rep", F.explode(bands).alias("b")).where(F.col("b.bits") != "0" * BAND).select("rep", "b.*")
-    w = W.partitionBy("level", "band", "bits").orderBy("rep")
-    ahead = F.array(F.first(F.struct("rep")).over(w), *(F.lead(F.struct("rep"), j).over(w) for j in range(1, near + 1)))
-    pairs = rows.withColumn("near", ahead).select("rep", F.explode("near").alias("o")).where("o is not null and o.rep <> rep")
-    left, right = (own.groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "a").join(right, "b").withColumn("most", (F.greatest(F.length("ta"), F.length("tb")) * share).cast("int"))
-        # texts whose lengths alone differ by more are never within the limit
-        return both.where((F.abs(F.length("ta") - F.length("tb")) <= F.col("most")) & (F.levenshtein("ta", "tb") <= F.col("most"))).select("a", "b")
-
-    links = cut(linked(pairs.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()))
+    on_workers(df.sparkSession)
+    prints = cut(own.mapInArrow(sign, "doc_id long, node long, bands array<long>, pack binary"))
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("pack").alias("pack"))
+    packs = classes.select("rep", "pack")
+    members = met(classes.select("rep", F.lit(1).alias("n"), F.explode("bands").alias("value")))
+    pairs = neighbours(members, SMALL, NEAR, LOT)
+    left, right = (packs.select(F.col("rep").alias(k), F.col("pack").alias(f"p{k}")) for k in ("a", "b"))
+
+    def verified(batches):
+        for b in batches:
+            yield b.select(["a", "b"]).filter(pa.array(_alike(_packs(b.column(2)), _packs(b.column(3))) >= least))
+
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(verified, "a long, b long")
     found = cut(components(links))
-    more = cut(linked(_between(rows.select("rep", "level", "band", "bits"), found)))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        few, label, x, hits = t.column("few").to_numpy(), t.column("label").to_numpy(), _packs(t.column("pack")), set()
+        right = np.flatnonzero(~few)
+        for i in np.flatnonzero(few).tolist():
+            to = right[label[right] != label[i]]
+            near = to[_alike(x[to], np.broadcast_to(x[i], (len(to), x.shape[1]))) >= least]
+            hits |= {(max(y, int(label[i])), min(y, int(label[i]))) for y in set(label[near].tolist())}
+        return pa.table([[h[0] for h in sorted(hits)], [h[1] for h in sorted(hits)]], schema=schema)
+
+    blocks = lambda count, _: F.greatest(F.lit(1), F.ceil(count / FEW)).cast("int")
+    rest = between(members.where(F.col("m") > SMALL), found, blocks).join(packs, "rep").select("first", "i", "j", "few", "label", "pack")
+    more = cut(by_group(rest, ["first", "i", "j"], compare, "a long, b long").distinct())
     if not more.isEmpty():
-        found = components(links.unionByName(more))
-    reps = classes.join(found, classes["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return prints.join(reps, "digest").select("doc_id", "class_id")
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    reps = classes.join(found, classes["rep"] == found["id"], "left").select("node", F.coalesce("component", "rep").alias("class_id"))
+    return join_anew(prints.select("doc_id", "node"), reps, ["node"]).select("doc_id", "class_id")

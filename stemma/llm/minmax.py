@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, by_group, cut, id_text, join_anew, on_workers, pieces
+from .buckets import between, met, neighbours
+from .common import batch, by_group, cut, id_text, on_workers, pieces
 from .components import components
 from .words import mix as _mix
 from .words import window_hashes, word_hashes
@@ -125,21 +126,9 @@ def _blocks(rows: Column, shingles_: Column) -> Column:
 def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) between components that meet in large buckets, as their smallest ids.
 
-    Buckets with the same first set form a group. Of a group, sets outside its largest component are
-    compared with all sets of other components, in blocks: first by signatures, and where any of
-    another component agrees often enough, on full sets.
+    Blocks are compared first by signatures, and where any set of another component agrees often enough, on full sets.
     """
-    open_ = members.where(F.col("m") > SMALL).join(found, members["rep"] == found["id"], "left").select("rep", "n", "value", "first", F.coalesce("component", "rep").alias("label"))
-    split = open_.groupBy("value").agg((F.min("label") < F.max("label")).alias("split")).where("split").drop("split")
-    sets = cut(join_anew(open_, split, ["value"]).select("first", "rep", "n", "label").distinct())
-    main = sets.groupBy("first", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("first")
-    main = main.agg(F.sum("c").alias("all"), F.sum("s").alias("size"), F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("main"))
-    main = main.select("first", F.col("main.label").alias("main"), _blocks(F.col("all"), F.col("size")).alias("nj"), _blocks(F.col("all") - F.col("main.c"), F.col("size") - F.col("main.s")).alias("ni"))
-    sets = join_anew(sets, main, ["first"])
-    spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    left = sets.where("label <> main").withColumn("i", spread("ni", 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("few", F.lit(True))
-    right = sets.withColumn("j", spread("nj", 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("few", F.lit(False))
-    both = left.unionByName(right).select("first", "i", "j", "few", "rep", "label").join(sigs.select("rep", "sig"), "rep")
+    both = between(members.where(F.col("m") > SMALL), found, _blocks).join(sigs.select("rep", "sig"), "rep")
     row = pa.schema([("first", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("few", pa.bool_()), ("doc_id", pa.int64()), ("label", pa.int64())])
 
     def agreeing(t: pa.Table) -> pa.Table:
@@ -212,19 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     sigs = classes.select("rep", "sig")
     buckets = classes.select("rep", "n", F.explode("bands").alias("value"))
-    many = buckets.groupBy("value").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    members = cut(join_anew(buckets, many, ["value"]))
-    # a large bucket is dealt into lots of about LOT sets
-    lot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / LOT)).cast("int")
-    by = W.partitionBy("value", "lot").orderBy("rep")
-    other = lambda x: F.struct(x("rep").alias("rep"), x("n").alias("n"))
-    ahead = [other(lambda c, j=j: F.lead(c, j).over(by)) for j in range(1, SMALL)]
-    ahead = [F.when((F.col("m") <= SMALL) | F.lit(j < NEAR), x) for j, x in enumerate(ahead)]
-    firsts = [other(lambda c: F.first(c).over(by)), F.struct(F.col("first").alias("rep"), F.col("n").alias("n"))]
-    partners = F.filter(F.array(*ahead, *firsts), lambda x: x["rep"].isNotNull() & (x["rep"] != F.col("rep")))
-    reach = members.withColumn("lot", lot).withColumn("to", partners).select("rep", "n", "m", F.explode("to").alias("o"))
-    pairs = reach.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"), _blocks(F.col("m"), F.col("m") * F.greatest("n", "o.n")).alias("blocks"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("blocks").alias("blocks"))
+    members = met(buckets)
+    pairs = neighbours(members, SMALL, NEAR, LOT, _blocks(F.col("m"), F.col("m") * F.col("most")))
     links = _confirmed(texts, cut(_alike(pairs, sigs)), percent, k)
     found = cut(components(links))
     more = cut(_between(members, found, sigs, texts, percent, k))

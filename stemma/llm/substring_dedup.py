@@ -3,7 +3,7 @@
 Pass one counts every window of `WINDOW` words in count-min sketches, one for each chunk of documents,
 which are merged by adding their counters. A window's estimate, the smallest of its counters, is never
 too low, so windows estimated to occur once can be dropped without losing any that repeat. Pass two
-groups exactly only what is left, by digests of 96 bits.
+groups exactly only what is left, by digests of 96 bits: 64 of one hash of the words and 32 of another.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 class _Windows:
     """All windows of a chunk's documents, in order: digests h (64 bits) and g (32 bits), and the document of each."""
 
-    def __init__(self, t: pa.Table, width: int):
+    def __init__(self, t: pa.Table, width: int, second: bool = True):
         self.ids, self.texts = C.ordered(t)
         words, self.words = word_hashes(self.texts)
         self.sizes = np.maximum(0, self.words - width + 1) * np.array([i is not None for i in self.ids], np.int64)
@@ -32,7 +32,8 @@ class _Windows:
         # windows of all texts in a row; those that begin too late in their text, or reach into the next, are left out
         at = np.repeat(begin - np.concatenate(([0], np.cumsum(self.sizes)))[:-1], self.sizes) + np.arange(self.sizes.sum())
         self.h = window_hashes(words, width, 1)[at]
-        self.g = (window_hashes(words, width, 2)[at] >> np.uint64(32)).astype(np.uint32)
+        # a hash of its own: words that one hash takes for each other are told apart by the other
+        self.g = (window_hashes(word_hashes(self.texts, seed=0xD1B54A32D192ED03)[0], width, 2)[at] >> np.uint64(32)).astype(np.uint32) if second else None
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -80,7 +81,7 @@ def remove_repeats(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", t
     shards = max(1, windows // C.SHARD_KEYS)
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
-        return C.rows(key[0].as_py(), sketch.sent(_Windows(t, width).h))
+        return C.rows(key[0].as_py(), sketch.sent(_Windows(t, width, second=False).h))
 
     def candidates(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         w = _Windows(t, width)

@@ -16,10 +16,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without ASCII white space) of all texts, and the number of words of each.
 
-    Words are read eight bytes at a time, all words in step.
+    Words are read eight bytes at a time, all words in step. Hashes of different seeds are independent of each other.
     """
     blob = b" ".join([*texts, bytes(8)])
     x = np.frombuffer(blob, np.uint8)[:-8]
@@ -27,7 +27,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, size = edge[::2], edge[1::2] - edge[::2]
     eight = np.ndarray((len(blob) - 7,), "<u8", blob, 0, (1,))
-    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
     left, at, who = size, start, None
     while len(at):
         value = eight[at] & _KEEP[np.minimum(left, 8)]

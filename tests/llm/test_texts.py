@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stemma.llm import chunks, edit_fingerprint, html_crf, minmax, mixing, piece_bpe, radix_dedup, secrets, substring_dedup, toxicity
@@ -310,18 +311,46 @@ def test_edit_near_duplicates(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
-def test_edit_near_duplicates_of_a_shared_header(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_edit_classes_against_brute_force(spark, texts, monkeypatch, small):
+    """Whole buckets: all that agree on a band and are alike, in buckets of a shared header too."""
+    if small:
+        for name in ("SMALL", "NEAR", "LOT", "FEW"):
+            monkeypatch.setattr(edit_fingerprint, name, 2)
     r = random.Random(12)
-    header, letters = prose(r, 40), "abcdefghijklmnopqrstuvwxyz "
-    body = lambda: "".join(r.choice(letters) for _ in range(700))
-    rows = [(i, header + body()) for i in range(60)]
+    header, rows = prose(r, 60), list(texts)
+    for i in range(1000, 1060):
+        rows.append((i, header + "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(700))))
     for i, j in ((10, 30), (20, 50), (5, 45)):
-        t = list(rows[i][1])
-        for k in range(len(header), len(t), 9):
-            t[k] = "#"
-        rows[j] = (j, "".join(t))
-    got = {x["doc_id"]: x["class_id"] for x in edit_fingerprint.near_duplicates(table(spark, rows)).collect()}
-    assert got == {i: {30: 10, 50: 20, 45: 5}.get(i, i) for i in range(60)}
+        t = list(dict(rows)[1000 + i])
+        t[900:904] = "####"
+        rows[len(texts) + j] = (1000 + j, "".join(t))
+    signed = {i: edit_fingerprint._signed(f) for (i, _), f in zip(rows, edit_fingerprint.embed([t or "" for _, t in rows])[0], strict=True)}
+    prints = {i: f for (i, _), f in zip(rows, edit_fingerprint.embed([t or "" for _, t in rows])[0], strict=True)}
+    alike = lambda a, b: prints[a] == prints[b] or (set(signed[a][1]) & set(signed[b][1]) and edit_fingerprint.likeness(prints[a], prints[b]) >= edit_fingerprint.NEAR_LIKE)
+    want = components(prints, [(a, b) for a in prints for b in prints if a < b and alike(a, b)])
+    assert want[1030] == 1010 and want[1050] == 1020 and want[1045] == 1005 and want[1031] == 1031
+    got = edit_fingerprint.near_duplicates(table(spark, rows)).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == want and len(got) == len(rows)
+    assert {x["doc_id"]: x["class_id"] for x in edit_fingerprint.against_edits(table(spark, rows)).collect()} == want
+
+
+def test_chunks_of_odd_ids(spark, monkeypatch):
+    """Ids at both ends of the range, very uneven ones, one id for many rows and none for many."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 300)
+    ids = [-(2**63), 2**63 - 1, 0, *range(10**12, 10**12 + 200), *[7] * 40, *[None] * 120]
+    rows = [(i, f"text {k % 90} of some length") for k, i in enumerate(ids)]
+    df, plan = chunks.dealt(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    held = {}
+    for x in df.collect():
+        held.setdefault(x["chunk"], []).append(x.asDict())
+    found = []
+    for c in sorted(held):
+        got = chunks.ordered(pa.Table.from_pylist(held[c]))
+        found += list(zip(*got, strict=True))
+        assert sum(len(t) for i, t in zip(*got, strict=True) if i != 7) < 2000
+    with_id = [x[0] for x in found if x[0] is not None]
+    assert with_id == sorted(with_id) and sorted(found, key=str) == sorted(((i, t.encode()) for i, t in rows), key=str)
 
 
 def test_pages(spark):
