@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, on_workers
+from .common import cut, join_anew, on_workers
 from .components import components
 
 #: Nodes of a shard, and queries that a task searches for at once.
@@ -175,9 +175,10 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     found = components(forest)
     per = nodes.join(counts, "node", "left").join(found, nodes["node"] == found["id"], "left")
     per = per.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(per, ["label", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    # unusable vectors have no key to be joined by: they stay where they are
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_anew(rows.where("usable").select("vec_id", "label", "v"), per, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(False)))
 
 
 def _placed(nodes: DataFrame, least: float) -> DataFrame:
