@@ -70,7 +70,8 @@ def components(links: DataFrame) -> DataFrame:
     on_workers(links.sparkSession)
     kind = "a long, b long, home boolean"
     at_home = lambda df: cut(df.select("a", "b").repartition("a").sortWithinPartitions("a").mapInArrow(_contract, kind))
-    down = links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
+    # written first: a task that finds links in Python would keep a second worker busy by contracting them
+    down = cut(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b"))
     edges, state = at_home(down.mapInArrow(lambda x: _contract(x, ordered=False), kind)), None
     while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b", "home").cast("decimal(38,0)"))).first()) != state and now[0]:
         state = now

@@ -35,7 +35,9 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 
 #: Bytes of remembered words, about; of either half the one not filled of late is forgotten first.
-MEMORY = 80 << 20
+MEMORY = 40 << 20
+#: Pairs of pieces whose compatibility is remembered.
+PAIRS = 200_000
 #: Characters of a word that is remembered.
 WORD = 64
 
@@ -94,7 +96,7 @@ class MergeEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, last: str | None, piece: str) -> bool:
-        if self.pairs > 600_000:
+        if self.pairs > PAIRS:
             self.fits.clear()
             self.pairs = 0
         self.pairs += 1
