@@ -40,26 +40,48 @@ def syllables(name: Column, readings: dict[str, str]) -> Column:
     return F.struct(F.array_join(read, "").alias("full"), F.array_join(F.transform(read, lambda r: F.substring(r, 1, 1)), "").alias("initials"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def plain_letters(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*$")
+
+
 def match_score(query: Column, name: Column, readings: dict[str, str] | None = None) -> Column:
     """How well a name fits a query, lower is better, null for no fit.
 
-    0 contains it, 5 reading begins with the query's, 10 readings are equal, 20 reading or initials begin
-    with the query as typed, 30 at most one edit away.
+    0: the name contains it as it stands. 20: a query in plain letters begins the reading or the initials
+    of a name that is not in plain letters. Of two that are not in plain letters, 10: they read alike; 5:
+    the name's reading begins with that of a query of one character; 30: at most one edit apart, two
+    characters or more each.
     """
-    q, n = tight(query), tight(name)
-    rq, rn = syllables(query, readings or {}), syllables(name, readings or {})
-    plain = F.lower(q)
+    q, n = stripped(query), stripped(name)
+    plain_q, plain_n = plain_letters(q), plain_letters(n)
+    rq, rn, low = syllables(q, readings or {})["full"], syllables(n, readings or {}), F.lower(q)
     return (
         F.when((q == "") | (n == ""), F.lit(None).cast("int"))
-        .when(F.contains(F.lower(n), plain), 0)
-        .when(F.length(q) == 1, F.when(F.startswith(rn["full"], rq["full"]), 5))
-        .when(rn["full"] == rq["full"], 10)
-        .when(F.startswith(rn["full"], plain) | F.startswith(rn["initials"], plain), 20)
-        .when(edit_distance(F.lower(n), plain, 1) <= 1, 30)
+        .when(F.contains(n, q), 0)
+        .when(plain_n, F.lit(None).cast("int"))
+        .when(plain_q, F.when(F.startswith(rn["initials"], low) | F.startswith(rn["full"], low), 20))
+        .when(rn["full"] == rq, 10)
+        .when(F.length(q) == 1, F.when(F.startswith(rn["full"], rq), 5))
+        .when((F.length(n) >= 2) & (edit_distance(q, n, 1) <= 1), 30)
     )
 
 
-def question_tokens(text: Column, stop: tuple[str, ...] = (), most: int = 12) -> Column:
+# Words that carry no search.
+STOP_WORDS = (
+    "请问", "帮我", "搜索", "检索", "一下", "介绍", "如何", "怎样", "怎么样", "何处",
+    "哪里", "谁", "什么", "怎么", "为什么", "吗", "呢", "的", "是", "了", "关于",
+    "家谱", "族谱", "谱书", "内容", "全文", "故事", "简介", "历史", "在", "里",
+    "有", "没有", "找", "查", "看", "第", "几", "代", "位", "中", "和", "与",
+    "及", "为", "从", "到", "其", "该", "这", "那", "一", "不", "也", "就", "都",
+)
+
+
+def question_tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, most: int = 12) -> Column:
     """Search words: runs of two or more ideographs, letters or digits; runs with more than six ideographs give pairs of them.
 
     Stop words go; the first `most` distinct ones stay, in order. An odd last ideograph is left out.

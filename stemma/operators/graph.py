@@ -211,3 +211,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(person_id, degree): ends of edges at each node, 0 for isolated ones."""
     ends = edges.select(F.col("src").alias("person_id")).unionByName(edges.select(F.col("dst").alias("person_id")))
     return nodes.select("person_id").join(ends.groupBy("person_id").agg(F.count("*").alias("degree")), "person_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
+
+def label_counts(nodes: dict[str, DataFrame]) -> DataFrame:
+    """(label, n): how many nodes there are under each label."""
+    out = None
+    for label, df in nodes.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

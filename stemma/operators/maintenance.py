@@ -22,6 +22,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -
     return both.select(*key, *(F.coalesce(f"new_{c}", c).alias(c) for c in columns), state.alias("state"))
 
 
+def put_settings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Settings (key, value) after new ones (key, value, at): the latest of a key counts, null takes the place of an old value too."""
+    last = new.groupBy("key").agg(F.max_by(F.struct("value"), "at").alias("n"))
+    return old.select("key", "value").join(last, "key", "full").select("key", F.when(F.col("n").isNotNull(), F.col("n.value")).otherwise(F.col("value")).alias("value"))
+
+
 def upsert_edges(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
     """Edges (src, dst, rel_id) of a kind after adding new ones; ids are made from kind and ends, so reruns agree."""
     rel = F.substring(F.sha2(F.concat_ws("|", F.lit(kind), F.col("src").cast("string"), F.col("dst").cast("string")), 256), 1, 24)
@@ -94,16 +100,48 @@ def review_gate(reviewed: Column, reason: Column, force: Column) -> Column:
     return F.when(F.coalesce(reviewed, F.lit(False)), "pass").when(F.coalesce(force, F.lit(False)), "forced").when(F.trim(F.coalesce(reason, F.lit(""))) != "", "reasoned").otherwise("refused")
 
 
+def submit_requests(wanted: DataFrame, pending: DataFrame) -> DataFrame:
+    """Deletions asked for (target_type, target_id, submitted_by, at) with what becomes of them: pending, or a conflict with the oldest request that is pending on the target."""
+    key = ["target_type", "target_id"]
+    oldest = pending.where("status = 'pending'").groupBy(*key).agg(F.min("request_id").alias("conflict"))
+    first = F.row_number().over(W.partitionBy(*key).orderBy("at", "submitted_by"))
+    out = wanted.withColumn("turn", first).join(oldest, key, "left")
+    return out.select(*key, "submitted_by", "at", "conflict", F.when(F.col("conflict").isNotNull() | (F.col("turn") > 1), "conflict").otherwise("pending").alias("outcome"))
+
+
 def decide_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
-    """Deletion requests (request_id, target_id, snapshot_n, force) against current sizes (target_id, n).
+    """Deletion requests (request_id, target_type, target_id, status, snapshot, approve, force) against what there is now (target_type, target_id, n, archived, state).
 
-    Only the oldest pending request of a target counts; a target that is gone is approved; one that has
-    changed since the snapshot needs a new look; a non-empty one needs force.
+    Only pending requests are decided. A rejected target stays. Of approved ones a target that is gone is
+    done with; an archived one is refused; a lineage that still has people (n) needs force; everything else
+    is deleted. changed says whether the target is no longer as in the snapshot, compared whole.
     """
-    first = F.row_number().over(W.partitionBy("target_id").orderBy("request_id"))
-    out = requests.withColumn("turn", first).join(current, "target_id", "left")
-    to = F.when(F.col("turn") > 1, "superseded").when(F.col("n").isNull(), "approved").when(F.col("n") != F.col("snapshot_n"), "changed").when((F.col("n") > 0) & ~F.col("force"), "needs force").otherwise("approved")
-    return out.select("request_id", "target_id", to.alias("outcome"))
+    out = requests.join(current.withColumn("here", F.lit(True)), ["target_type", "target_id"], "left")
+    to = (
+        F.when(F.col("status") != "pending", "handled already")
+        .when(~F.col("approve"), "rejected")
+        .when(F.col("here").isNull(), "approved, gone already")
+        .when(F.col("archived"), "refused, archived")
+        .when((F.col("target_type") == "lineage") & (F.col("n") > 0) & ~F.coalesce("force", F.lit(False)), "needs force")
+        .otherwise("approved, deleted")
+    )
+    changed = F.col("here").isNotNull() & ~F.to_json("snapshot").eqNullSafe(F.to_json("state"))
+    return out.select("request_id", "target_type", "target_id", to.alias("outcome"), changed.alias("changed"))
+
+
+def archived(tasks: DataFrame, wanted: DataFrame, by: int, at: Column) -> DataFrame:
+    """Tasks (task_id, status, applied_at, archived_at, archived_by) after those wanted (task_id) are archived, with the outcome: done already, refused before recognition or application, or archived."""
+    out = tasks.join(wanted.select("task_id", F.lit(True).alias("asked")), "task_id", "left")
+    to = F.when(F.col("asked").isNull(), None).when(F.col("archived_at").isNotNull(), "archived already").when(F.col("status") != "done", "not recognised").when(F.col("applied_at").isNull(), "not applied").otherwise("archived")
+    now = to == "archived"
+    return out.withColumn("outcome", to).withColumns({"archived_by": F.when(now, by).otherwise(F.col("archived_by")), "archived_at": F.when(now, at).otherwise(F.col("archived_at"))}).drop("asked")
+
+
+def unarchived(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Tasks after those wanted are fetched back: what they have written is to be purged (purge), since they will be written again."""
+    out = tasks.join(wanted.select("task_id", F.lit(True).alias("asked")), "task_id", "left")
+    back = F.col("asked").isNotNull() & F.col("archived_at").isNotNull()
+    return out.withColumn("purge", back).withColumn("outcome", F.when(F.col("asked").isNull(), None).when(back, "fetched back").otherwise("not archived")).withColumn("archived_at", F.when(~back, F.col("archived_at"))).drop("asked")
 
 
 def reviewed_source(payload: Column, consolidated: Column, pages: Column) -> Column:

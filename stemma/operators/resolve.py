@@ -17,49 +17,52 @@ def duplicate_clusters(persons: DataFrame) -> DataFrame:
     return persons.withColumn("key", key).where("key <> ''").groupBy("key").agg(F.min("person_id").alias("keeper"), F.array_sort(F.collect_list("person_id")).alias("members"), F.count("*").alias("n")).where("n >= 2")
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], schema: str, fold: Callable[[tuple, list[tuple]], Iterable[tuple]]) -> DataFrame:
-    """What fold makes of each group's rows in order: fold(key, rows) yields rows of schema.
+def folded(df: DataFrame, keys: list[str], order: list[str], schema: str, begin: Callable[[tuple], tuple[Callable[[tuple], Iterable[tuple]], Callable[[], Iterable[tuple]]]]) -> DataFrame:
+    """What a fold makes of each group's rows in order: begin(key) gives step(row) and end(), which yield rows of schema.
 
-    Groups are dealt out by key and read in order, many to a batch; one group at a time is held.
+    Groups are dealt out by key and read in order, many to a batch; rows pass by one at a time.
     """
     names = df.columns
     at = [names.index(k) for k in keys]
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in schema.split(", ")]
-        key, rows = None, []
+        key, step, end = None, None, tuple
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for row in zip(*(b[c].tolist() for c in names), strict=True):
                 k = tuple(row[i] for i in at)
                 if k != key:
-                    out += fold(key, rows) if rows else []
-                    key, rows = k, []
-                rows.append(row)
+                    out += end()
+                    key = k
+                    step, end = begin(k)
+                out += step(row)
             yield pd.DataFrame(out, columns=columns)
-        if rows:
-            yield pd.DataFrame(list(fold(key, rows)), columns=columns)
+        yield pd.DataFrame(list(end()), columns=columns)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def packed(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int, most_cost: int) -> DataFrame:
+def packed(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int | None, most_cost: int) -> DataFrame:
     """items with the number of the batch they fall into: in order, a batch ends before it has too many items or costs too much.
 
     Where a batch ends depends on all before it, so each group of keys is folded in order, by itself.
     """
-
     at = items.columns.index(cost)
 
-    def fold(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+    def begin(key: tuple):
         batch, n, size = 0, 0, 0
-        for row in rows:
-            if n and (n + 1 > most_items or size + row[at] > most_cost):
+
+        def step(row: tuple) -> Iterator[tuple]:
+            nonlocal batch, n, size
+            if n and (most_items is not None and n + 1 > most_items or size + row[at] > most_cost):
                 batch, n, size = batch + 1, 0, 0
             n, size = n + 1, size + row[at]
             yield (*row, batch)
 
-    return folded(items, keys, [order], ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", batch int", fold)
+        return step, tuple
+
+    return folded(items, keys, [order], ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", batch int", begin)
 
 
 def adjudicated(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -77,30 +80,101 @@ def fuzzy_search(persons: DataFrame, query: str, limit: int = 20, readings: dict
     return scored.orderBy("score", "person_id").limit(limit)
 
 
-def mentioned(questions: DataFrame, persons: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
-    """(question_id, person_id, name): the longest name in each question.
-
-    Questions (question_id, question) are cut into all substrings of the lengths that names have, up to
-    the longest name, and joined with the names on equality, so names are never compared with every question.
-    Words of noise are taken out first.
-    """
-    text = F.col("question")
-    for w in noise:
-        text = F.replace(text, F.lit(w), F.lit(" "))
+# Words of relationship and asking, taken out of a question, in this order, before names are guessed.
+RELATION_WORDS = (
+    "父亲", "爸爸", "老爸", "老爹", "爹", "爸爸大人", "父",
+    "母亲", "妈妈", "老妈", "老娘", "娘", "母",
+    "父母", "双亲",
+    "祖父", "爷爷", "爷爷大人", "阿公",
+    "祖母", "奶奶", "阿婆",
+    "外公", "姥爷",
+    "外婆", "姥姥",
+    "曾祖父", "太爷爷",
+    "曾祖母", "太奶奶",
+    "儿子", "儿子们",
+    "女儿", "女儿们",
+    "子女", "孩子", "儿女", "后人", "后代", "子孙", "孙辈", "辈分",
+    "兄弟", "弟兄",
+    "哥哥", "大哥", "兄长",
+    "弟弟", "小弟",
+    "姐姐", "大姐",
+    "妹妹", "小妹",
+    "姐妹", "姊妹",
+    "兄弟姐妹", "同胞",
+    "配偶", "另一半",
+    "丈夫", "老公", "夫君",
+    "妻子", "老婆", "夫人", "太太", "媳妇",
+    "祖先", "先祖", "祖宗", "祖辈", "上辈", "长辈",
+    "出生地", "籍贯", "故乡", "老家", "家乡", "出生于", "哪里人",
+    "生年", "出生年份", "生辰", "生于", "寿命", "享年", "卒年", "去世",
+    "简介", "生平", "事迹", "经历",
+    "第几代", "辈分", "代数", "世代",
+    *"，。？！、,.?!:：的与和了是谁 ",
+)
+
+
+def _parts(text: Column, lengths: Column) -> Column:
+    """All parts of a text of such lengths."""
+    places = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(lengths, places))
+
+
+def _one_less(text: Column) -> Column:
+    """A text, and what is left of it without one of its characters."""
+    return F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
+
+
+def _tagged(tag: str, texts: Column) -> Column:
+    return F.transform(F.filter(texts, lambda t: t != ""), lambda t: F.concat(F.lit(tag), t))
+
+
+def _prefixes(text: Column) -> Column:
+    return F.when(text != "", F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, id_col: str, text_col: str, persons: DataFrame) -> DataFrame:
+    """(id_col, person_id) for every text and every person whose name stands in it: a join on equality with the texts' parts."""
     lengths = [r[0] for r in persons.select(F.length("name")).distinct().orderBy(F.length("name")).collect() if r[0]]  # lengths of names: a few numbers
-    q = questions.select("question_id", N.tight(text).alias("t"))
-    parts = None
+    parts = texts.select(id_col, F.explode(F.array_distinct(_parts(F.coalesce(text_col, F.lit("")), F.array(*map(F.lit, lengths or [1]))))).alias("name"))
+    return parts.join(persons.select("name", "person_id"), "name").select(id_col, "person_id")
 
-    def substrings(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))
 
-    for n in lengths:
-        one = q.where(F.length("t") >= n).select("question_id", F.explode(substrings(n)).alias("name"))
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
+def best_matches(queries: DataFrame, persons: DataFrame, readings: dict[str, str] | None = None) -> DataFrame:
+    """(query_id, person_id, name, score): of each query (query_id, query) the person whose name fits best, by score, then id.
+
+    Whatever match_score accepts shares a key: the query is a part of the name, or begins its reading or
+    initials, or both are alike after one character less. So names are never compared with every query.
+    """
+    q, n = N.stripped(F.col("query")), N.stripped(F.col("name"))
+    read_q, read_n, low = N.syllables(q, readings or {})["full"], N.syllables(n, readings or {}), F.lower(q)
+    asked = F.concat(_tagged("p", F.array(q)), _tagged("f", F.array(low, read_q)), _tagged("i", F.array(low)), _tagged("d", _one_less(q)))
+    whole = F.sequence(F.lit(1), F.length(n))
+    held = F.concat(_tagged("p", _parts(n, whole)), _tagged("f", _prefixes(read_n["full"])), _tagged("i", _prefixes(read_n["initials"])), _tagged("d", _one_less(n)))
+    left = queries.where(q != "").withColumn("key", F.explode(F.array_distinct(asked))).select("query_id", q.alias("stripped"), "key").withColumnRenamed("stripped", "query")
+    right = persons.where(n != "").select("person_id", "name", F.explode(F.array_distinct(held)).alias("key"))
+    pairs = left.join(right, "key").select("query_id", "query", "person_id", "name").distinct()
+    fits = pairs.withColumn("score", N.match_score(F.col("query"), F.col("name"), readings)).where("score is not null")
+    return fits.groupBy("query_id").agg(F.min_by(F.struct("person_id", "name", "score"), F.struct("score", "person_id")).alias("p")).select("query_id", "p.*")
+
+
+def mentioned(questions: DataFrame, persons: DataFrame, noise: tuple[str, ...] = RELATION_WORDS, readings: dict[str, str] | None = None) -> DataFrame:
+    """(question_id, person_id, name): the longest name that stands in each question, else the one that fits what is left best.
+
+    Questions (question_id, question) are cut into all substrings of the lengths that names have and joined
+    with the names on equality, so names are never compared with every question. From questions without a
+    name words of noise are taken out, and best_matches() is asked about the rest. Of names alike the
+    smallest id counts.
+    """
+    lengths = [r[0] for r in persons.select(F.length("name")).distinct().orderBy(F.length("name")).collect() if r[0]]  # lengths of names: a few numbers
+    if not lengths:
         return questions.select("question_id", F.lit(None).cast("long").alias("person_id"), F.lit(None).cast("string").alias("name")).limit(0)
-    hits = parts.distinct().join(persons.select(N.tight(F.col("name")).alias("name"), "person_id"), "name")
-    return hits.groupBy("question_id").agg(F.max_by(F.struct("person_id", "name"), F.struct(F.length("name"), -F.col("person_id"))).alias("p")).select("question_id", "p.person_id", "p.name")
+    parts = questions.select("question_id", F.explode(F.array_distinct(_parts(F.coalesce("question", F.lit("")), F.array(*map(F.lit, lengths))))).alias("name"))
+    exact = parts.join(persons.select("name", "person_id"), "name").groupBy("question_id").agg(F.max_by(F.struct("person_id", "name"), F.struct(F.length("name"), -F.col("person_id"))).alias("p")).select("question_id", "p.person_id", "p.name")
+    rest = F.coalesce("question", F.lit(""))
+    for w in noise:
+        rest = F.replace(rest, F.lit(w), F.lit(" "))
+    left = questions.join(exact.select("question_id"), "question_id", "left_anti").select(F.col("question_id").alias("query_id"), rest.alias("query"))
+    return exact.unionByName(best_matches(left, persons, readings).select(F.col("query_id").alias("question_id"), "person_id", "name"))
 
 
 def matched(new: DataFrame, persons: DataFrame, fill: list[str]) -> DataFrame:
@@ -138,19 +212,39 @@ def chunked(pages: DataFrame, budget: int = 2000, overlap: int = 2) -> DataFrame
     volume is folded alone, over page numbers and sizes only.
     """
 
-    def fold(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        begin, chunk = 0, 0
-        while begin < len(rows):
-            end, total = begin, 0
-            while end < len(rows) and (end == begin or total + rows[end][2] <= budget):
-                total += rows[end][2]
-                end += 1
-            yield key[0], chunk, rows[begin][1], rows[end - 1][1]
-            if end == len(rows):
-                return
-            chunk, begin = chunk + 1, end - overlap if end - begin > overlap else end
-
-    return folded(pages.select("task_id", "page_no", "size"), ["task_id"], ["page_no"], "task_id long, chunk int, first long, last long", fold)
+    def begin(key: tuple):
+        held: list[tuple[int, int]] = []  # pages and sizes of the chunk so far
+        chunk, total = 0, 0
+
+        def close() -> tuple:
+            nonlocal chunk, total
+            out = (key[0], chunk, held[0][0], held[-1][0])
+            chunk += 1
+            del held[: len(held) - overlap if len(held) > overlap else len(held)]
+            total = sum(x[1] for x in held)
+            return out
+
+        def step(row: tuple) -> Iterator[tuple]:
+            nonlocal total
+            waiting = [(row[1], row[2])]
+            while waiting:
+                if not held or total + waiting[0][1] <= budget:
+                    held.append(waiting.pop(0))
+                    total += held[-1][1]
+                    continue
+                yield close()
+                # pages that the next chunk shares with this one are put again one by one: they may be too much together
+                waiting[:0] = held
+                held.clear()
+                total = 0
+
+        def end() -> Iterator[tuple]:
+            if held:
+                yield close()
+
+        return step, end
+
+    return folded(pages.select("task_id", "page_no", "size"), ["task_id"], ["page_no"], "task_id long, chunk int, first long, last long", begin)
 
 
 def consolidated_people(rows: DataFrame) -> DataFrame:
@@ -174,28 +268,92 @@ def consolidated_relations(rows: DataFrame) -> DataFrame:
 
 
 def accepted_merges(merges: DataFrame, least: float = 0.9) -> DataFrame:
-    """(task_id, drop, keep) of merges (task_id, ord, keep, drop, confidence) sure enough, in order and without chains.
+    """(task_id, drop, keep, place) of merges (task_id, ord, keep, drop, confidence) sure enough, in order and without chains.
 
-    A merge is skipped if its names are equal, if what it drops is dropped or kept already, or if what it keeps is dropped.
+    A merge is skipped if its names are equal or empty, or if either of them is dropped already; what has
+    taken others in may still be dropped itself.
     """
 
-    def fold(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        kept, dropped = set(), set()
-        for _, _, keep, drop in rows:
-            if keep != drop and drop not in dropped and drop not in kept and keep not in dropped:
-                kept.add(keep)
+    def begin(key: tuple):
+        dropped: set[str] = set()
+
+        def step(row: tuple) -> Iterator[tuple]:
+            _, _, keep, drop = row
+            if keep and drop and keep != drop and drop not in dropped and keep not in dropped:
                 dropped.add(drop)
-                yield key[0], drop, keep
+                yield key[0], drop, keep, len(dropped)
+
+        return step, tuple
 
     sure = merges.where(F.col("confidence") >= least).select("task_id", "ord", "keep", "drop")
-    return folded(sure, ["task_id"], ["ord"], "task_id long, drop string, keep string", fold)
+    return folded(sure, ["task_id"], ["ord"], "task_id long, drop string, keep string, place int", begin)
+
+
+def merged_persons(persons: DataFrame, merges: DataFrame) -> DataFrame:
+    """Consolidated people (task_id, name, gender, birth_year, death_year, birth_place, biography, confidence, pages) after accepted merges.
+
+    Who is kept takes what they lack from those merged into them, in order of the merges, with what these
+    have taken in themselves; all pages, the largest confidence, and a gender if theirs is unknown.
+    """
+
+    def begin(key: tuple):
+        into: dict[str, list[str]] = {}
+
+        def step(row: tuple) -> tuple:
+            into.setdefault(row[3], []).append(row[2])
+            return ()
+
+        def end() -> Iterator[tuple]:
+            gone = {x for v in into.values() for x in v}
+            for root in into:
+                if root in gone:
+                    continue
+                todo, place = [root], 0
+                while todo:  # whoever is taken in brings along at once whom they have taken in
+                    x = todo.pop()
+                    yield key[0], x, root, place
+                    place += 1
+                    todo += reversed(into.get(x, ()))
+
+        return step, end
+
+    order = folded(merges.select("task_id", "place", "drop", "keep"), ["task_id"], ["place"], "task_id long, name string, root string, place int", begin)
+    rows = persons.join(order, ["task_id", "name"], "left").withColumns({"root": F.coalesce("root", "name"), "place": F.coalesce("place", F.lit(0))})
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col("place"))).alias(c)
+    gender = F.coalesce(F.min_by("gender", F.when(F.col("gender").isin("male", "female"), F.col("place"))), F.lit("unknown"))
+    return rows.groupBy("task_id", "root").agg(gender.alias("gender"), *map(first, ("birth_year", "death_year", "birth_place", "biography")), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.max("confidence"), F.lit(0.0)))), 2).alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages")).withColumnRenamed("root", "name")
+
+
+def person_brief(number: Column, p: Column) -> Column:
+    """One line about a person for the question who is the same: number, name, gender, years, birth place (16), first page, biography (40)."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    years = F.regexp_replace(F.concat(text(F.nullif(p["birth_year"], F.lit(0))), F.lit("~"), text(F.nullif(p["death_year"], F.lit(0)))), "^~+|~+$", "")
+    gender = F.when(p["gender"] == "male", "男").when(p["gender"] == "female", "女").otherwise("")
+    page = F.when(F.size(p["pages"]) > 0, F.concat(F.lit("页"), F.array_min(p["pages"]).cast("string"))).otherwise("")
+    return F.concat_ws("|", text(number), text(p["name"]), gender, years, F.substring(text(p["birth_place"]), 1, 16), page, F.substring(F.replace(text(p["biography"]), F.lit("\n"), F.lit("")), 1, 40))
+
+
+def disambiguation_batches(people: DataFrame, least: int = 200, most_chars: int = 6000) -> DataFrame:
+    """(task_id, number, brief, batch) of people (task_id, number, brief): lines of a volume in batches of at most so many characters; volumes of fewer than `least` people are left out."""
+    large = people.groupBy("task_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("task_id")
+    rows = people.join(large, "task_id", "left_semi").select("task_id", "number", "brief", F.length("brief").cast("long").alias("chars"))
+    return packed(rows, ["task_id"], "number", "chars", None, most_chars).drop("chars")
+
+
+def sure_verdicts(verdicts: DataFrame, counts: DataFrame, least: float = 0.9) -> DataFrame:
+    """Verdicts (task_id, duplicate_index, keep_index, confidence) that are sure enough, on two different people that the volume (task_id, n) has."""
+    fine = verdicts.where(F.coalesce("confidence", F.lit(0.0)) >= least).where("duplicate_index <> keep_index and duplicate_index >= 0 and keep_index >= 0")
+    return fine.join(counts, "task_id").where("duplicate_index < n and keep_index < n").drop("n").withColumn("confidence", F.bround(F.least(F.lit(1.0), "confidence"), 2))
 
 
 def renamed_relations(relations: DataFrame, merges: DataFrame) -> DataFrame:
-    """Relations (task_id, type, from_name, to_name) after merges: ends renamed, loops dropped, each triple once."""
-    a, b = (merges.select("task_id", F.col("drop").alias(k), F.col("keep").alias(f"new_{k}")) for k in ("from_name", "to_name"))
-    out = relations.join(a, ["task_id", "from_name"], "left").join(b, ["task_id", "to_name"], "left")
-    return out.select("task_id", "type", F.coalesce("new_from_name", "from_name").alias("from_name"), F.coalesce("new_to_name", "to_name").alias("to_name")).where("from_name <> to_name").distinct()
+    """Relations (task_id, type, from_name, to_name) after merges: ends renamed once, loops and empty ends dropped, each triple once, all by tight names."""
+    tight = lambda c: N.tight(F.col(c))
+    a, b = (merges.select("task_id", tight("drop").alias(k), F.col("keep").alias(f"new_{k}")) for k in ("fk", "tk"))
+    out = relations.withColumns({"fk": tight("from_name"), "tk": tight("to_name")}).join(a, ["task_id", "fk"], "left").join(b, ["task_id", "tk"], "left")
+    out = out.select("task_id", "type", F.coalesce("new_fk", "from_name").alias("from_name"), F.coalesce("new_tk", "to_name").alias("to_name"))
+    keyed = out.withColumns({"fk": tight("from_name"), "tk": tight("to_name")}).where("fk <> '' and tk <> '' and fk <> tk")
+    return keyed.groupBy("task_id", "type", "fk", "tk").agg(F.min("from_name").alias("from_name"), F.min("to_name").alias("to_name")).drop("fk", "tk")
 
 
 def evidence_pages(people: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .graph import lineal, relatives
 
 # What a question asks for, by the first phrase that it has, in this order.
 INTENTS = {
@@ -33,11 +38,14 @@ INTENTS = {
 }
 
 
-def keyword_search(entries: DataFrame, tokens: list[str], limit: int = 12) -> DataFrame:
-    """Entries by words they have: 2 for each in title or type, else 1 for each in the text; then page, then newest id."""
+def keyword_search(entries: DataFrame, tokens: list[str], limit: int = 12, lineage_id: int | None = None) -> DataFrame:
+    """Active entries, of one lineage if it is given, by words they have: 2 for each in title or type, else 1 for each in the text; then page (unknown is 0), then newest id."""
+    rows = entries.where("status = 'active'")
+    if lineage_id is not None:
+        rows = rows.where(F.col("lineage_id") == lineage_id)
     hit = lambda t: F.when(F.contains(F.coalesce("title", F.lit("")), F.lit(t)) | F.contains(F.coalesce("type", F.lit("")), F.lit(t)), 2).when(F.contains(F.coalesce("text", F.lit("")), F.lit(t)), 1).otherwise(0)
     score = sum((hit(t) for t in tokens), F.lit(0))
-    return entries.withColumn("hits", score).where("hits > 0").orderBy(F.desc("hits"), F.col("page_no").asc_nulls_last(), F.desc("entry_id")).limit(limit)
+    return rows.withColumn("hits", score).where("hits > 0").orderBy(F.desc("hits"), F.coalesce("page_no", F.lit(0)), F.desc("entry_id")).limit(limit)
 
 
 def to_index(entries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -69,6 +77,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def rebuilt(entries: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A new vector table of all active entries, whatever there was, and one row with how many went in and out.
+
+    embed takes (entry_id, input) and gives (entry_id, vector).
+    """
+    fresh = embed(to_index(entries, vectors.limit(0)))
+    return fresh, fresh.agg(F.count("*").alias("synced")).crossJoin(vectors.agg(F.count("*").alias("deleted")))  # one row each
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int = 60) -> DataFrame:
     """The k entries (5 to 200) whose vectors are most alike to the query, empty ones aside, with sim."""
     norm = sum(x * x for x in query) ** 0.5 or 1.0
@@ -77,16 +94,57 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 60) -> DataFrame:
     return out.orderBy(F.desc("sim"), "entry_id").limit(max(5, min(200, k)))
 
 
-def reranked(hits: DataFrame, sim: str, score: str, limit: int) -> DataFrame:
-    """Hits by score where there is one, else by similarity, with place and a score of the place."""
-    top = hits.orderBy(F.desc_nulls_last(score), F.desc(sim), "entry_id").limit(limit)
-    place = F.row_number().over(W.orderBy(F.desc_nulls_last(score), F.desc(sim), "entry_id"))
-    return top.withColumn("place", place).withColumn("place_score", F.bround(1 - (F.col("place") - 1) / (limit + 1.0), 3))
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 60, block: int = 2000) -> DataFrame:
+    """(query_id, entry_id, sim, place): for each query (query_id, vector) the k entries (5 to 200) whose vectors are most alike.
+
+    Queries and vectors meet in blocks of about `block` of each, by matrix products; only a block's k best
+    for each query leave it. Vectors of another length than the query's are passed over.
+    """
+    k = max(5, min(200, k))
+    n, m = (df.agg(F.count("*")).first()[0] for df in (vectors, queries))
+    across, down = max(1, -(-n // block)), max(1, -(-m // block))
+    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    unit = lambda v: normalised(F.col(v)).alias("vector")
+    there = vectors.where(F.size("vector") > 0).select("entry_id", unit("vector"), F.size("vector").alias("width"), deal("entry_id", across).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("j"))
+    asked = queries.where(F.size("vector") > 0).select("query_id", unit("vector"), F.size("vector").alias("width"), deal("query_id", down).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("i"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "entry_id": [], "sim": []})
+        b = b.sort_values("entry_id", ignore_index=True)
+        sims = np.round(np.array(a["vector"].tolist()) @ np.array(b["vector"].tolist()).T, 9)  # equal vectors are equally near
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), top.shape[1]), "entry_id": b["entry_id"].to_numpy()[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+
+    found = asked.groupBy("i", "j", "width").cogroup(there.groupBy("i", "j", "width")).applyInPandas(best, "query_id long, entry_id long, sim double")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "entry_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def recall_report(hits: DataFrame, sim: str, score: str) -> DataFrame:
-    """Places before and after reranking of a bounded list of hits."""
-    return hits.select("entry_id", F.round(sim, 4).alias("sim"), F.round(score, 4).alias("rerank_score"), F.row_number().over(W.orderBy(F.desc(sim), "entry_id")).cast("long").alias("from_place"), F.row_number().over(W.orderBy(F.desc_nulls_last(score), F.desc(sim), "entry_id")).cast("long").alias("place"))
+def assembled(ranked: DataFrame, entries: DataFrame, lineages: DataFrame, branches: DataFrame, limit: int) -> DataFrame:
+    """Hits of a ranked list (entry_id, rank from 0): what there is to show of each entry, its rank as a score, and the names of its lineage and branch.
+
+    Entries that are gone are dropped without closing the ranks; unknown names are empty.
+    """
+    score = F.bround(1 - F.col("rank") / (limit + 1.0), 3) if limit else F.lit(0.0)
+    top = ranked.where(F.col("rank") < limit) if limit else ranked.limit(0)
+    hits = top.join(entries, "entry_id").withColumn("score", score).withColumn("title", F.coalesce("title", F.lit("")))
+    hits = hits.join(lineages.select("lineage_id", F.col("name").alias("lineage_name")), "lineage_id", "left").join(branches.select("branch_id", F.col("name").alias("branch_name")), "branch_id", "left")
+    return hits.select("entry_id", "type", "title", "text", "page_no", "lineage_id", "branch_id", "rank", "score", F.coalesce("lineage_name", F.lit("")).alias("lineage_name"), F.coalesce("branch_name", F.lit("")).alias("branch_name"))
+
+
+def reranked(hits: DataFrame, sim: str, score: str, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits by score where there is one, else by similarity, with place and a score of the place; the first `limit` of each question (by)."""
+    order = [F.desc_nulls_last(score), F.desc(sim), F.col("entry_id")]
+    top = hits if by else hits.orderBy(*order).limit(limit)  # of one question: a bounded list
+    ranked = top.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= limit)
+    return ranked.withColumn("place_score", F.bround(1 - (F.col("place") - 1) / (limit + 1.0), 3))
+
+
+def recall_report(hits: DataFrame, sim: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Places before and after reranking of a bounded list of hits for each question (by)."""
+    place = lambda *order: F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")
+    return hits.select(*by, "entry_id", F.round(sim, 4).alias("sim"), F.round(score, 4).alias("rerank_score"), place(F.desc(sim), F.col("entry_id")).alias("from_place"), place(F.desc_nulls_last(score), F.desc(sim), F.col("entry_id")).alias("place"))
 
 
 def hybrid(vector_hits: DataFrame, word_hits: DataFrame, ready: DataFrame) -> DataFrame:
@@ -139,3 +197,58 @@ def answer(people: Column, most: int = 20) -> Column:
     one = lambda p: F.concat(p["name"], F.when(p["birth_year"].isNotNull() | p["death_year"].isNotNull(), F.concat(F.lit("（"), F.coalesce(p["birth_year"].cast("string"), F.lit("?")), F.lit(" — "), F.coalesce(p["death_year"].cast("string"), F.lit("?")), F.lit("）"))).otherwise(""))
     shown = F.array_join(F.transform(F.slice(people, 1, most), one), "、")
     return F.concat(shown, F.when(F.size(people) > most, F.concat(F.lit(" … +"), (F.size(people) - most).cast("string"))).otherwise(""))
+
+
+def introduction(people: DataFrame, materials: DataFrame, found: DataFrame) -> DataFrame:
+    """(person_id, name, facts, context, sources): what an introduction of a person can be written from; people without material are left out.
+
+    people: (person_id, name, birth_year, death_year, birth_place, generation). materials and found:
+    (person_id, ord, scope, type, title, text); of those with a text the first eight materials count, and
+    the first six of found where there is no material. Texts are cut to 400 characters.
+    """
+    filled = lambda df, most: df.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("r", F.row_number().over(W.partitionBy("person_id").orderBy("ord"))).where(F.col("r") <= most)
+    own = filled(materials, 8).select("person_id", "r", "scope", "type", "title", "text")
+    other = filled(found, 6).select("person_id", "r", F.lit("lineage").alias("scope"), F.coalesce(F.nullif("type", F.lit("")), F.lit("谱书")).alias("type"), "title", "text").join(own.select("person_id").distinct(), "person_id", "left_anti")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat(F.lit("〔"), F.coalesce("scope", F.lit("谱书")), F.lit("·"), text(F.col("type")), F.lit("〕"), text(F.col("title")), F.lit("\n"), F.substring(text(F.col("text")), 1, 400))
+    context = own.unionByName(other).groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n\n").alias("context"), F.count("*").alias("sources"))
+    year = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)).cast("string"), F.lit("?"))
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    facts = F.concat_ws("；", F.when(known("birth_year") | known("death_year"), F.concat(F.lit("生卒 "), year("birth_year"), F.lit("—"), year("death_year"))), F.when(text(F.col("birth_place")) != "", F.concat(F.lit("籍贯 "), "birth_place")), F.when(F.col("generation").isNotNull(), F.concat(F.lit("第"), F.col("generation").cast("string"), F.lit("代"))))
+    return people.join(context, "person_id").select("person_id", "name", F.coalesce(F.nullif(facts, F.lit("")), F.lit("暂无额外结构化信息")).alias("facts"), "context", "sources")
+
+
+#: Intents that ask for a property of the person rather than for relatives.
+PROPERTIES = ("birthplace", "lifetime", "biography", "generation")
+
+
+def property_answer(person: Column, asked: Column) -> Column:
+    """The answer to a property intent; null where it is not known."""
+    year = lambda c: F.coalesce(F.nullif(person[c], F.lit(0)).cast("string"), F.lit("?"))
+    known = (F.coalesce(person["birth_year"], F.lit(0)) != 0) | (F.coalesce(person["death_year"], F.lit(0)) != 0)
+    return (
+        F.when(asked == "birthplace", F.nullif(person["birth_place"], F.lit("")))
+        .when(asked == "lifetime", F.when(known, F.concat(year("birth_year"), F.lit(" 年 — "), year("death_year"), F.lit(" 年"))))
+        .when(asked == "biography", F.nullif(person["biography"], F.lit("")))
+        .when(asked == "generation", F.when(person["generation"].isNotNull(), F.concat(F.lit("第 "), person["generation"].cast("string"), F.lit(" 代"))))
+    )
+
+
+def dispatched(asked: DataFrame, persons: DataFrame, parent_of: DataFrame, spouse_of: DataFrame) -> DataFrame:
+    """(question_id, intent, person_id, relative_id, answer) for questions (question_id, person_id, intent) of any of the twenty intents.
+
+    Intents of relatives give a row for each relative (as graph.relatives, or ancestors and descendants
+    up to ten steps away, 100 at most); those of properties a row with an answer if it is known. father
+    takes any parent, whose gender may be unknown.
+    """
+    out = asked.where(F.col("intent").isin(*PROPERTIES)).join(persons.select("person_id", F.struct(*(c for c in ("birth_year", "death_year", "birth_place", "biography", "generation"))).alias("p")), "person_id")
+    none = F.lit(None)
+    rows = out.select("question_id", "intent", "person_id", none.cast("long").alias("relative_id"), property_answer(F.col("p"), F.col("intent")).alias("answer")).where("answer is not null")
+    for intent_ in (x for x in INTENTS if x not in PROPERTIES):
+        mine = asked.where(F.col("intent") == intent_).select("question_id", "person_id")
+        if intent_ in ("ancestor", "descendant"):
+            found = lineal(mine.select("person_id").distinct(), parent_of, down=intent_ == "descendant").select(F.col("seed").alias("person_id"), F.col("node").alias("relative_id"))
+        else:
+            found = relatives(parent_of, spouse_of, persons, "parents" if intent_ == "father" else intent_)
+        rows = rows.unionByName(mine.join(found, "person_id").select("question_id", F.lit(intent_).alias("intent"), "person_id", "relative_id", none.cast("string").alias("answer")))
+    return rows

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 ENDINGS = ("pdf", "tif", "tiff", "png", "jpg", "jpeg", "bmp", "webp")
 
 
+def accepted(name: Column) -> Column:
+    """Whether a file's name ends as a scan's."""
+    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*ENDINGS)
+
+
 def scans(spark: SparkSession, path: str) -> DataFrame:
     """Scan files below a folder: path, name, file_size, modified, file_sha256; empty files and other endings are left out."""
-    ending = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(ending.isin(*ENDINGS) & (F.col("length") > 0))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(accepted(F.col("path")) & (F.col("length") > 0))
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_sha256"))
 
 
