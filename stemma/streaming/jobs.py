@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,22 +60,57 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
-def index_entries(entries: DataFrame, index_path: str, embed, checkpoint: str):
+def index_entries(entries: DataFrame, index_path: str, embed, checkpoint: str, parts: int = 16):
     """Keep a vector table in step with a stream of entries (entry_id, updated_at, status, title, text).
 
-    Each micro-batch takes the newest row of each entry, embeds the active ones and rewrites the index:
-    entries of the batch leave it, active ones come back. Versions alternate, so a batch that is run again
-    after a loss reads the version before it.
+    The index is dealt into `parts` folders by a hash of the id. Each micro-batch takes the newest row of each
+    entry, embeds the active ones, and writes anew only the parts that it touches: its entries leave, active
+    ones come back. A part has its versions by number of batch; the one before stays until the next batch,
+    so a batch that is run again after a loss finds what it read, and older ones are deleted.
     """
     from pyspark.sql import Window as W
 
+    part = F.pmod(F.xxhash64("entry_id"), F.lit(parts)).cast("int").alias("part")
+
     def put(batch: DataFrame, number: int) -> None:
+        newest = batch.withColumn("r", F.row_number().over(W.partitionBy("entry_id").orderBy(F.desc("updated_at"), "status"))).where("r = 1").drop("r").persist()
+        touched = [r[0] for r in newest.select(part).distinct().collect()]  # parts at most
+        fresh = embed(newest.where("status = 'active'")).select("*", part)
         spark = batch.sparkSession
-        newest = batch.withColumn("r", F.row_number().over(W.partitionBy("entry_id").orderBy(F.desc("updated_at"), "status"))).where("r = 1").drop("r")
-        fresh = embed(newest.where("status = 'active'"))
-        if number:
-            old = spark.read.parquet(f"{index_path}/v{number - 1}")
-            fresh = old.join(newest.select("entry_id"), "entry_id", "left_anti").unionByName(fresh.select(*old.columns))
-        fresh.write.mode("overwrite").parquet(f"{index_path}/v{number}")
+        versions = index_versions(spark, index_path)
+        before = {p: max(v for v in found if v < number) for p, found in versions.items() if p in touched and any(v < number for v in found)}
+        if before:
+            old = spark.read.schema(fresh.drop("part").schema).parquet(*(f"{index_path}/part={p}/v={v}" for p, v in before.items()))
+            fresh = old.select("*", part).join(newest.select("entry_id"), "entry_id", "left_anti").unionByName(fresh)
+        out = fresh.withColumn("v", F.lit(number)).repartition("part")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(index_path)
+        newest.unpersist()
+        fs = _folder(spark, index_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for p in touched:  # a part that has lost all its rows has a version too
+            fs.mkdirs(_folder(spark, f"{index_path}/part={p}/v={number}"))
+        for p, v in ((p, v) for p, found in versions.items() for v in found if p in before and v < before[p]):
+            fs.delete(_folder(spark, f"{index_path}/part={p}/v={v}"), True)
 
     return entries.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def index_versions(spark: SparkSession, index_path: str) -> dict[int, list[int]]:
+    """Versions of each part of an index, by the names of its folders."""
+    top = _folder(spark, index_path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for p in fs.listStatus(top) if fs.exists(top) else ():
+        name = p.getPath().getName()
+        if name.startswith("part="):
+            out[int(name[5:])] = sorted(int(v.getPath().getName()[2:]) for v in fs.listStatus(p.getPath()) if v.getPath().getName().startswith("v="))
+    return out
+
+
+def read_index(spark: SparkSession, index_path: str, schema) -> DataFrame:
+    """The newest version of every part; schema is that of its rows."""
+    paths = [f"{index_path}/part={p}/v={v[-1]}" for p, v in sorted(index_versions(spark, index_path).items()) if v]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

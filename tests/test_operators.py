@@ -27,9 +27,9 @@ def test_names(spark):
     assert one(spark, N.edit_distance(F.lit("abcdef"), F.lit("xyz"), 2)) == 3
 
 
-@pytest.mark.parametrize("query,name,score", [("三", "张三", 0), ("张山", "张珊", 10), ("zhangs", "张珊", 20), ("zs", "张珊", 20), ("李四海", "李四洋", 30), ("王", "张珊", None), ("", "张珊", None)])
+@pytest.mark.parametrize("query,name,score", [("三", "张三", 0), ("张山", "张珊", 10), ("zhangs", "张珊", 20), ("zs", "张珊", 20), ("李四海", "李四洋", 30), ("王", "张珊", None), ("", "张珊", None), ("张", "章珊", 5), ("张", "章", 10), ("zhang", "Zhangsan", None), ("Zhang", "zhang", None), ("山海", "山", None)])
 def test_match_score(spark, query, name, score):
-    readings = {"张": "zhang", "三": "san", "山": "shan", "珊": "shan"}
+    readings = {"章": "zhang", "张": "zhang", "三": "san", "山": "shan", "珊": "shan"}
     assert one(spark, N.match_score(F.lit(query), F.lit(name), readings)) == score
 
 
@@ -38,11 +38,13 @@ def test_lenient_json():
     assert R.repaired('{"a": 1 "b": 2}') == '{"a": 1, "b": 2}'
     assert R.repaired("{'a': 'x'}") == '{"a": "x"}'
     assert R.repaired('{"a": [1, 2,],}') == '{"a": [1, 2]}'
+    assert R.repaired('{"a": "it\'s, {so}" "b":[{"x":1}{"y":null}],,}') == '{"a": "it\'s, {so}", "b": [{"x": 1}, {"y": null}]}'
+    assert R.repaired("{'a': 'say \"x\"', }") == '{"a": "say \\"x\\""}'
     assert R.repaired("[1]") is None and R.repaired("{broken") is None and R.repaired(None) is None
 
 
 def test_audit_caps(spark):
-    p = F.array(F.struct(F.lit("张□").alias("name"), F.lit("male").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit("").alias("birth_place"), F.lit("x").alias("biography"), F.lit(0.9).alias("confidence")), F.struct(F.lit("李四").alias("name"), F.lit("?").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit("").alias("birth_place"), F.lit("生1900").alias("biography"), F.lit(1.0).alias("confidence")), F.struct(F.lit("王五").alias("name"), F.lit("male").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit("").alias("birth_place"), F.lit(None).cast("string").alias("biography"), F.lit(1.0).alias("confidence")))
+    p = F.array(F.struct(F.lit("张□").alias("name"), F.lit("male").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit(None).cast("int").alias("death_year"), F.lit("").alias("birth_place"), F.lit("x").alias("biography"), F.lit(0.9).alias("confidence")), F.struct(F.lit("李四").alias("name"), F.lit("?").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit(None).cast("int").alias("death_year"), F.lit("").alias("birth_place"), F.lit("生1900").alias("biography"), F.lit(1.0).alias("confidence")), F.struct(F.lit("王五").alias("name"), F.lit("male").alias("gender"), F.lit(None).cast("int").alias("birth_year"), F.lit(None).cast("int").alias("death_year"), F.lit("").alias("birth_place"), F.lit(None).cast("string").alias("biography"), F.lit(1.0).alias("confidence")))
     out = one(spark, R.audited(R.people(p), F.lit("王五 字迹模糊")))
     assert [x["confidence"] for x in out] == [0.6, 0.4, 0.6]
     assert out[1]["gender"] == "unknown" and out[0]["birth_place"] is None
@@ -80,9 +82,33 @@ def test_batches(spark):
 
 def test_merges_make_no_chains(spark):
     on_workers(spark)
-    rows = [(1, 0, "a", "b", 0.95), (1, 1, "b", "c", 0.99), (1, 2, "d", "a", 0.99), (1, 3, "e", "e", 0.99), (1, 4, "e", "f", 0.5), (1, 5, "a", "g", 0.9)]
+    # what has taken others in may be dropped itself; what is dropped takes part no more
+    rows = [(1, 0, "a", "b", 0.95), (1, 1, "b", "c", 0.99), (1, 2, "d", "a", 0.99), (1, 3, "e", "e", 0.99), (1, 4, "e", "f", 0.5), (1, 5, "a", "g", 0.9), (1, 6, "d", "", 0.9)]
     got = S.accepted_merges(spark.createDataFrame(rows, "task_id long, ord long, keep string, drop string, confidence double"))
-    assert {(r["drop"], r["keep"]) for r in got.collect()} == {("b", "a"), ("g", "a")}
+    assert {(r["drop"], r["keep"]) for r in got.collect()} == {("b", "a"), ("a", "d")}
+
+
+def test_merged_people_take_what_they_lack(spark):
+    on_workers(spark)
+    schema = "task_id long, name string, gender string, birth_year int, death_year int, birth_place string, biography string, confidence double, pages array<long>"
+    rows = [(1, "a", "unknown", None, None, "", None, 0.5, [3]), (1, "b", "male", 1900, None, None, "b's", 0.7, [1, 3]), (1, "d", "unknown", None, 1950, None, None, None, [9]), (1, "x", "female", 1, 2, "here", "x's", 0.9, [4]), (2, "a", "male", 5, None, None, None, 0.3, [1])]
+    merges = [(1, "b", "a", 1), (1, "a", "d", 2)]
+    out = S.merged_persons(spark.createDataFrame(rows, schema), spark.createDataFrame(merges, "task_id long, drop string, keep string, place int"))
+    got = {(r["task_id"], r["name"]): tuple(r)[2:] for r in out.collect()}
+    assert got == {(1, "d"): ("male", 1900, 1950, None, "b's", 0.7, [1, 3, 9]), (1, "x"): ("female", 1, 2, "here", "x's", 0.9, [4]), (2, "a"): ("male", 5, None, None, None, 0.3, [1])}
+
+
+def test_best_matches_against_all_pairs(spark):
+    r = random.Random(8)
+    readings = {c: w for c, w in zip("张章王汪三山珊丰风李", "zhang zhang wang wang san shan shan feng feng li".split(), strict=True)}
+    name = lambda a, b: "".join(r.choice("张章王汪三山珊丰风李") for _ in range(r.randint(a, b)))
+    people = [(i, name(1, 3) if i % 5 else r.choice(("zhangsan", "Li", "wang s"))) for i in range(60)]
+    asked = [(i, r.choice((name(1, 4), name(2, 3), "zs", "ws", "zhang", "li", "", " wang "))) for i in range(80)]
+    p, q = spark.createDataFrame(people, "person_id long, name string"), spark.createDataFrame(asked, "query_id long, query string")
+    pairs = q.crossJoin(p).withColumn("s", N.match_score(F.col("query"), F.col("name"), readings)).where("s is not null")
+    want = {(r["query_id"], r["s"], r["person_id"]) for r in pairs.groupBy("query_id").agg(F.min(F.struct("s", "person_id")).alias("m")).select("query_id", "m.*").collect()}
+    got = {(r["query_id"], r["score"], r["person_id"]) for r in S.best_matches(q, p, readings).collect()}
+    assert got == want
 
 
 def test_states_hold(spark):

@@ -44,14 +44,29 @@ def test_windows(spark, events):
 
 def test_index(spark, tmp_path):
     schema = "entry_id long, updated_at long, status string, title string, text string"
-    for n, rows in enumerate(([(1, 1, "active", "a", "x"), (2, 1, "active", "b", "y")], [(1, 2, "archived", "a", "x"), (3, 2, "active", "c", "z")])):
+    for n, rows in enumerate(([(1, 1, "active", "a", "x"), (2, 1, "active", "b", "y")], [(1, 2, "archived", "a", "x"), (3, 2, "active", "c", "z")], [(4, 3, "active", "d", "w"), (2, 3, "active", "b", "y")], [(2, 4, "archived", "b", "y")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         embed = lambda d: d.select("entry_id", F.length("text").alias("vector"))
         q = jobs.index_entries(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), embed, str(tmp_path / "cp")).start()
         q.processAllAvailable()
         q.stop()
-        got = {r[0] for r in spark.read.parquet(str(tmp_path / f"index/v{n}")).select("entry_id").collect()}
-        assert got == ({1, 2}, {2, 3})[n]
+        got = {r[0] for r in jobs.read_index(spark, str(tmp_path / "index"), "entry_id long, vector int").select("entry_id").collect()}
+        assert got == ({1, 2}, {2, 3}, {2, 3, 4}, {3, 4})[n]
+    assert all(len(v) <= 2 for v in jobs.index_versions(spark, str(tmp_path / "index")).values())
+
+
+def test_latest_states(spark, tmp_path):
+    events = [(1, 1, "start"), (1, 2, "pause"), (1, 3, "finish"), (2, 1, "start"), (2, 2, "finish"), (3, 1, "error")]
+    later = [(1, 4, "resume"), (1, 5, "finish"), (2, 3, "error"), (3, 2, "restart")]
+    schema = "task_id long, at long, event string"
+    for rows in (events, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.latest_states(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = sorted((r["task_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([(1, "paused"), (2, "done"), (3, "failed"), (1, "done"), (3, "running")])
 
 
 def test_scans(spark, tmp_path):
