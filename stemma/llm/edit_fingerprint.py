@@ -38,7 +38,7 @@ NEAR_LIKE = 0.75
 #: Buckets up to SMALL give all their pairs; in larger ones a text meets NEAR neighbours of its lot of about LOT.
 SMALL, NEAR, LOT = 4, 3, 256
 #: Texts of a block in which a bucket's main component meets the others.
-FEW = 512
+FEW = 2048
 NARROW = 48  # below so many texts in step, they are walked one by one
 
 _rng = np.random.default_rng(33)
@@ -286,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = id_text(df, id_col, text_col).where("doc_id is not null")
     on_workers(df.sparkSession)
     prints = cut(own.mapInArrow(sign, "doc_id long, node long, bands array<long>, pack binary"))
-    classes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("pack").alias("pack"))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("pack").alias("pack")))
     packs = classes.select("rep", "pack")
     members = met(classes.select("rep", F.lit(1).alias("n"), F.explode("bands").alias("value")))
     pairs = neighbours(members, SMALL, NEAR, LOT)

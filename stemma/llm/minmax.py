@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .buckets import between, met, neighbours
-from .common import batch, by_group, cut, id_text, on_workers, pieces
+from .common import batch, by_group, cut, id_text, join_anew, on_workers, pieces
 from .components import components
 from .words import mix as _mix
 from .words import window_hashes, word_hashes
@@ -46,6 +46,8 @@ AGREE = 74
 LOT = 256
 #: Sets, and shingles of theirs, that a task compares at once with another set or with as many others.
 FEW, BLOCK = 128, 1 << 18
+#: The same for blocks in which large buckets are finished.
+SIDE, SIDE_BLOCK = 1024, 1 << 20
 #: Characters whose words are hashed at once.
 PIECE = 400_000
 
@@ -118,9 +120,9 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "blocks", "sa", "sb").mapInArrow(run, "a long, b long, blocks int")
 
 
-def _blocks(rows: Column, shingles_: Column) -> Column:
-    """Blocks of about FEW sets, or fewer where they are large."""
-    return F.greatest(F.lit(1), F.ceil(rows / FEW), F.ceil(shingles_ / BLOCK)).cast("int")
+def _blocks(rows: Column, shingles_: Column, sets: int, most: int) -> Column:
+    """Blocks of about so many sets, or fewer where they are large."""
+    return F.greatest(F.lit(1), F.ceil(rows / sets), F.ceil(shingles_ / most)).cast("int")
 
 
 def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -128,7 +130,7 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataF
 
     Blocks are compared first by signatures, and where any set of another component agrees often enough, on full sets.
     """
-    both = between(members.where(F.col("m") > SMALL), found, _blocks).join(sigs.select("rep", "sig"), "rep")
+    both = between(members.where(F.col("m") > SMALL), found, lambda n, size: _blocks(n, size, SIDE, SIDE_BLOCK)).join(sigs.select("rep", "sig"), "rep")
     row = pa.schema([("first", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("few", pa.bool_()), ("doc_id", pa.int64()), ("label", pa.int64())])
 
     def agreeing(t: pa.Table) -> pa.Table:
@@ -198,20 +200,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = id_text(df, id_col, text_col)
     signed = cut(signatures(df, id_col, text_col, k))
     known = signed.where("doc_id is not null and n > 0")
-    classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = cut(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     sigs = classes.select("rep", "sig")
     buckets = classes.select("rep", "n", F.explode("bands").alias("value"))
     members = met(buckets)
-    pairs = neighbours(members, SMALL, NEAR, LOT, _blocks(F.col("m"), F.col("m") * F.col("most")))
+    pairs = neighbours(members, SMALL, NEAR, LOT, _blocks(F.col("m"), F.col("m") * F.col("most"), FEW, BLOCK))
     links = _confirmed(texts, cut(_alike(pairs, sigs)), percent, k)
     found = cut(components(links))
     more = cut(_between(members, found, sigs, texts, percent, k))
     if not more.isEmpty():
         found = cut(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
     reps = classes.select("h1", "h2", "n", "rep").join(found, classes["rep"] == found["id"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(reps, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    alone = signed.where("doc_id is null or n = 0").select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    out = join_anew(known.select("doc_id", "n", "h1", "h2"), reps, ["h1", "h2", "n"]).select("doc_id", "n", "component_id").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -175,6 +175,7 @@ def test_near_against_brute_force(spark, texts, monkeypatch, small):
         monkeypatch.setattr(minmax, "NEAR", 1)
         monkeypatch.setattr(minmax, "FEW", 2)
         monkeypatch.setattr(minmax, "LOT", 5)
+        monkeypatch.setattr(minmax, "SIDE", 3)
     got = {r["doc_id"]: r for r in OPERATORS["near"](table(spark, texts)).collect()}
     sets = {}
     for i, t in texts:
