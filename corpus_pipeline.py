@@ -3,17 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as
 Parquet in the cluster's shared folder and rereads it as the next one's docs. Toxic documents go, one
 document of each near-duplicate group stays, secrets are replaced by a mark, sources are mixed to
-their target weights (documents taken twice are repeated), and what is left is encoded.
+their target weights (documents taken twice are repeated under the same id), and what is left is
+encoded: a row for each copy, in no order.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm import minmax, mixing, piece_bpe, secrets, toxicity
-from stemma.llm.common import table
+from stemma.llm.common import cut, table
 from stemma.llm.queries import tokenizer_path
 
 
@@ -47,9 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     for name, stage in STAGES:
-        out = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = cut(stage(spark, docs, sf_dir), f"corpus-{name}")
     return docs

@@ -32,7 +32,7 @@ def on_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as a table below the reliable checkpoint folder and go on from there.
 
     Unlike a checkpoint, a table is compressed, and what follows reads only the columns it needs. The folder
@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder(sc.master))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, sc, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,9 @@ from .common import WORD, cut, on_workers
 
 GROUP = 2000
 FAN = 64
-ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, part double, grp long, decided boolean"
+ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, many long, sure long, part double, grp long, decided boolean"
+#: Rows alike are given back in runs of so many.
+RUN = 4096
 
 
 def word_count(text):
@@ -33,14 +35,14 @@ def word_count(text):
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, n, source_size, target for rows (source, size).
+    """source, n, source_size, target for rows (source, size, many): many rows alike.
 
     Sources in order of code points, null last, take the weights in turn. Their targets share
     share * all sizes by weight but stop at cap times their own size; what is cut off is shared again.
     Sources that stop are the first ones by size over weight, so one pass over the sources, one row
     each, finds them.
     """
-    s = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("many")).alias("source_size"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((rank - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("most", F.col("source_size") * cap)
@@ -95,16 +97,19 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     """doc_id, source, size, source_size, target, copies, taken; one row per row of df, the same at every run.
 
     Sizes are words; a null or empty text has none and is taken 0 times, a null source is a source of
-    its own. Repeated rows are rounded each on their own; which of them is taken more often is
-    undefined, as they are alike. An empty table gives none. Only the three named columns are read.
+    its own. Rows alike in id (or its absence), source and size are rounded together, as one row whose
+    copies are dealt out to them; which of them is taken once more than the others is undefined. So no
+    key makes a group large. An empty table gives none. Only the three named columns are read.
     """
     on_workers(df.sparkSession)
-    sized = cut(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
-    goal = targets(sized, weights, share, cap)
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    sized = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    alike = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("many")))
+    goal = targets(alike, weights, share, cap)
+    rows = alike.join(goal, alike["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     groups = F.ceil(F.col("n") / GROUP)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("part"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), groups).cast("long").alias("grp"), F.lit(False).alias("decided"))
+    rows = rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("all_parts", F.col("many") * (rate - F.col("whole"))).withColumn("sure", F.floor("all_parts").cast("long"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "many", "sure", (F.col("all_parts") - F.col("sure")).alias("part"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), groups).cast("long").alias("grp"), F.lit(False).alias("decided"))
     most = goal.agg(F.max("n")).first()[0] or 0
     levels = 1 + max(0, math.ceil(math.log(max(1, math.ceil(most / GROUP)), FAN) - 1e-9))
     done: list[DataFrame] = []
@@ -115,8 +120,11 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    copies = (F.col("whole") + F.col("part")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"), F.when(F.col("size") > 0, copies * F.col("size")).otherwise(0).cast("long").alias("taken"))
+    # one row for each of those alike, in two steps: no array grows with their number
+    out = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / RUN))))
+    out = out.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("many"), (F.col("run") + 1) * RUN) - 1)))
+    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("nth") < F.col("sure") + F.col("part").cast("long")).cast("long")).otherwise(0).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeat_rows(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

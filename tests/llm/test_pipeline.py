@@ -3,7 +3,6 @@
 import hashlib
 import random
 from collections import Counter
-from types import SimpleNamespace
 
 import corpus_pipeline
 from stemma.llm import mixing
@@ -25,9 +24,7 @@ def test_null_and_repeated_ids(spark, tmp_path):
     copies = [stay[5]] * 3 + [(60, stay[-1][1]), (61, stay[-1][1] + " more"), (62, stay[7][1]), (63, stay[7][1])]
     table(spark, stay + copies).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    # a session whose shared folder is the test's
-    session = SimpleNamespace(read=spark.read, sparkContext=spark.sparkContext, conf=SimpleNamespace(get=lambda *_: str(tmp_path)))
-    got = Counter((x["doc_id"], x["decoded_sha256"]) for x in corpus_pipeline.run(session, str(tmp_path)).collect())
+    got = Counter((x["doc_id"], x["decoded_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     want = {(i, hashlib.sha256(t.encode()).hexdigest()): len(t.split()) for i, t in stay}
     assert set(got) == set(want) and len(want) == len(stay)
     # one source: 1.5 times its words, each row once or twice
@@ -45,3 +42,18 @@ def test_copies_of_null_and_repeated_ids(spark):
     assert of((i, n) for (i, _), n in got.items()) == of((x["doc_id"], x["copies"]) for x in mixed.collect())
     assert all(1 <= n <= 2 for (i, t), n in got.items() if i != 4) and 9 <= got[4, "the same text"] <= 18
     assert got == Counter((x["doc_id"], x["text"]) for x in mixing.repeat_rows(df.repartition(5), mixing.mix(df.repartition(2))).collect())
+
+
+def test_many_rows_alike_are_one_group_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 100)
+    rows = [(None, "one two three")] * 5000 + [(i, prose(random.Random(i), 5)) for i in range(300)]
+    got = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == len(rows) and {x["copies"] for x in got if x["doc_id"] is None} == {1, 2}
+    total = 5000 * 3 + 300 * 5
+    assert abs(sum(x["taken"] for x in got) - 1.5 * total) <= 5 and all(x["source_size"] == total for x in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
