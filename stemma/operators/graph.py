@@ -50,7 +50,7 @@ def person_page(persons: DataFrame, parent_of: DataFrame, members: DataFrame | N
 
 def lineage_list(lineages: DataFrame, branches: DataFrame, members: DataFrame) -> DataFrame:
     """Every lineage with its number of people (0 if none) and its branches' names in order of id."""
-    n = members.groupBy("lineage_id").agg(F.count_distinct("person_id").alias("persons"))
+    n = members.select("lineage_id", "person_id").distinct().groupBy("lineage_id").agg(F.count("person_id").alias("persons"))
     b = branches.groupBy("lineage_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("branch_id", "name"))), lambda x: x["name"]).alias("branches"))
     out = lineages.join(n, "lineage_id", "left").join(b, "lineage_id", "left")
     return out.withColumns({"persons": F.coalesce("persons", F.lit(0).cast("long")), "branches": F.coalesce("branches", F.array().cast("array<string>"))})
@@ -93,26 +93,35 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, hops: int, symmetric: bool = False) -> DataFrame:
     """(seed, node, depth): nodes within hops of each seed (column person_id), with the fewest hops.
 
-    Breadth first: each round joins the newest nodes with the edges and drops what was seen. Rounds are
-    cut by checkpoints, so a plan never grows with the depth.
+    Breadth first: each round joins the newest nodes with the edges and drops what was seen. If every edge
+    goes both ways (symmetric), a round's nodes can only have been seen in the last two. Edges are
+    written once, and rounds are cut by checkpoints, so a plan never grows with the depth.
     """
+    edges = cut(edges.select("src", "dst"))
     start = seeds.select(F.col("person_id").alias("seed"), F.col("person_id").alias("node"), F.lit(0).alias("depth")).distinct()
-    seen = frontier = cut(start)
+    levels = [cut(start)]
     for depth in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = cut(step.join(seen, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
+        step = levels[-1].join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
+        seen = _stacked(levels[-2:] if symmetric else levels)
+        levels.append(cut(step.join(seen, ["seed", "node"], "left_anti")))
+        if levels[-1].isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return _stacked(levels)
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def ego_network(seeds: DataFrame, parent_of: DataFrame, spouse_of: DataFrame, hops: int) -> DataFrame:
     """reach() over parents, children and spouses; hops are held within 1 and 12."""
-    return reach(seeds, both_ways(parent_of.select("src", "dst").unionByName(spouse_of.select("src", "dst"))), max(1, min(12, hops)))
+    return reach(seeds, both_ways(parent_of.select("src", "dst").unionByName(spouse_of.select("src", "dst"))), max(1, min(12, hops)), symmetric=True)
 
 
 def relatives(parent_of: DataFrame, spouse_of: DataFrame, persons: DataFrame, kind: str) -> DataFrame:

@@ -67,8 +67,9 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, the first by order."""
-    return df.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("r = 1").drop("r")
+    """One row for each key, the first by order; tasks keep one row for each key before anything is shuffled."""
+    rows = F.struct(*df.columns)
+    return df.groupBy(key).agg(F.min_by(rows, order).alias("_first")).select(*(F.col("_first")[c].alias(c) for c in df.columns))
 
 
 def status_counts(tasks: DataFrame) -> DataFrame:
@@ -133,12 +134,21 @@ def task_list(tasks: DataFrame, pages: DataFrame, users: DataFrame) -> DataFrame
     return out.select("task_id", "status", "created_name", zero("pages").alias("pages"), zero("failed").alias("failed"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"), percent(zero("pages") - zero("failed"), zero("pages")).alias("progress"), F.col("archived_at").isNotNull().alias("archived"), ((F.col("status") != "done") & (zero("failed") > 0)).alias("can_resume"))
 
 
-def rates(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Change of a counter per second since the sample before, 0 where it fell, null for the first."""
-    w = W.partitionBy(key).orderBy(at, "id")
-    before, when = F.lag(value).over(w), F.lag(at).over(w)
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(when.cast("timestamp"))
-    return samples.select(key, "id", at, F.when(seconds > 0, F.greatest(F.lit(0.0), F.col(value) - before) / (seconds / 1e6)).alias("rate"))
+def rates(samples: DataFrame, key: str, at: str, value: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """Change of a counter per second since the sample before, 0 where it fell, null for the first.
+
+    Samples are ordered within buckets of time, so few keys with very many samples are no few tasks' work;
+    a bucket's first sample meets the last one of the key's bucket before, of which there is one row each.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    sample = F.struct(micros.alias("us"), F.col("id").alias("id"), F.col(value).alias("v"))
+    rows = samples.select(key, "id", at, sample.alias("_s"), F.coalesce(F.floor(micros / (bucket_seconds * 1_000_000)), F.lit(-(2**40))).alias("_b"))
+    last = rows.groupBy(key, "_b").agg(F.max("_s").alias("_last"))
+    before = last.select(key, "_b", F.lag("_last").over(W.partitionBy(key).orderBy("_b")).alias("_before"))
+    joined = rows.join(before.withColumnsRenamed({key: "_key", "_b": "_at"}), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_at")), "left")
+    previous = F.coalesce(F.lag("_s").over(W.partitionBy(key, "_b").orderBy("_s")), "_before")
+    seconds = F.col("_s.us") - F.col("_p.us")
+    return joined.withColumn("_p", previous).select(key, "id", at, F.when(seconds > 0, F.greatest(F.lit(0.0), F.col("_s.v") - F.col("_p.v")) / (seconds / 1e6)).alias("rate"))
 
 
 def last_samples(samples: DataFrame, key: str, at: str, n: int = 60) -> DataFrame:
