@@ -1,5 +1,7 @@
 """A stream over files gives what the batch gives."""
 
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,21 @@ def test_scans(spark, tmp_path):
     assert {r["name"] for r in files.scans(spark, str(tmp_path)).collect()} == {"page_001.png", "page_012.png"}
     pages = files.recovered_pages(files.listing(spark, f"file:{tmp_path}", "scans/"))
     assert {(r["task_id"], r["page_no"]) for r in pages.collect()} == {("7", 1), ("7", 12)}  # the reader passes over empty objects
+
+
+def tiff(pages, order="<"):
+    out = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 if pages else 0)
+    for k in range(pages):
+        at = len(out) + 2 + 12 + 4
+        out += struct.pack(order + "H", 1) + bytes(12) + struct.pack(order + "I", at if k < pages - 1 else 0)
+    return out
+
+
+def test_page_counts(spark, tmp_path):
+    on_workers(spark)
+    pdf = b"%PDF-1.4 1 0 obj << /Type /Pages /Kids [2 0 R 3 0 R] /Count 2 >> endobj << /Type /Page >> << /Type/Page >>"
+    content = {"a.tif": tiff(3), "b.TIFF": tiff(1, ">"), "c.pdf": pdf, "d.pdf": b"%PDF-1.4 << /Type /Page >>", "e.png": b"x", "f.tif": tiff(2)[:20], "g.txt": b"no"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: r["total"] for r in files.page_counts(spark, str(tmp_path)).collect()}
+    assert got == {"a.tif": 3, "b.TIFF": 1, "c.pdf": 2, "d.pdf": 1, "e.png": 1, "f.tif": 0}
