@@ -32,7 +32,7 @@ SAMPLES = 192
 PERIOD = 4096
 CLASSES = 64
 #: Samples of a band, and bands of each of a fingerprint's two classes.
-BAND, BANDS = 8, 6
+BAND, BANDS = 6, 4
 #: Likeness from which texts are near.
 NEAR_LIKE = 0.75
 #: Buckets up to SMALL give all their pairs; in larger ones a text meets NEAR neighbours of its lot of about LOT.
@@ -232,19 +232,28 @@ def against_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.groupBy("chunk").cogroup(beside.groupBy("chunk")).applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("pack", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("pack", pa.binary())])
 
 
-def _signed(fingerprint: str) -> tuple[int, list[int], bytes]:
-    """A fingerprint's digest, the keys of its bands (none where all samples are beyond the end), and its samples in bytes."""
-    level, samples, keys = int(fingerprint[:2], 16), fingerprint[2:], []
+def _signed(fingerprint: str) -> tuple[int, bytes]:
+    """A fingerprint's digest, and its class and samples in bytes."""
+    pack = bytes([int(fingerprint[:2], 16)]) + bytes.fromhex(fingerprint[2:])
+    return int.from_bytes(hashlib.blake2b(pack, digest_size=8).digest(), "little", signed=True), pack
+
+
+def _keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of packed fingerprints, and which fingerprint each is of; a band whose samples are all beyond the end has none."""
+    samples = np.empty((len(x), 2 * SAMPLES), np.int64)
+    samples[:, ::2], samples[:, 1::2] = x[:, 1:] >> 4, x[:, 1:] & 15
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2):
         for b in range(BANDS):
             at = SAMPLES * k + b * (SAMPLES // BANDS)
-            if (bits := samples[at : at + BAND]) != "0" * BAND:
-                keys.append(int(bits, 16) | b << 32 | level + k << 40)
-    pack = bytes([level]) + bytes.fromhex(samples)
-    return int.from_bytes(hashlib.blake2b(pack, digest_size=8).digest(), "little", signed=True), keys, pack
+            bits = (samples[:, at : at + BAND] << (4 * np.arange(BAND))).sum(1)
+            some = np.flatnonzero(bits)
+            rows.append(some)
+            keys.append(bits[some] | b << 32 | (x[some, 0].astype(np.int64) + k) << 40)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -281,14 +290,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sign(batches):
         for b in batches:
             signed = [_signed(f) for some in pieces((t.as_py() for t in b.column(1)), 1_000_000) for f in embed(some)[0]]
-            yield batch(_SIGNED, b.column(0), *([x[k] for x in signed] for k in range(3)))
+            yield batch(_SIGNED, b.column(0), [x[0] for x in signed], [x[1] for x in signed])
+
+    def banded(batches):
+        for b in batches:
+            rows, keys = _keys(_packs(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(keys)], names=["rep", "value"])
 
     own = id_text(df, id_col, text_col).where("doc_id is not null")
     on_workers(df.sparkSession)
-    prints = cut(own.mapInArrow(sign, "doc_id long, node long, bands array<long>, pack binary"))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("pack").alias("pack")))
+    prints = cut(own.mapInArrow(sign, "doc_id long, node long, pack binary"))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("pack").alias("pack")))
     packs = classes.select("rep", "pack")
-    members = met(classes.select("rep", F.lit(1).alias("n"), F.explode("bands").alias("value")))
+    members = met(packs.mapInArrow(banded, "rep long, value long").select("rep", F.lit(1).alias("n"), "value"))
     pairs = neighbours(members, SMALL, NEAR, LOT)
     left, right = (packs.select(F.col("rep").alias(k), F.col("pack").alias(f"p{k}")) for k in ("a", "b"))
 
