@@ -165,7 +165,8 @@ def _between(members: DataFrame, found: DataFrame, sigs: DataFrame, texts: DataF
         pairs = sorted(x for x in hits if x[0] != x[1])
         return pa.table([[x[0] for x in pairs], [x[1] for x in pairs]], schema=schema)
 
-    sent = need.join(texts, "doc_id").select("first", "i", "j", "few", "label", "text")
+    # the same plan at every size: whether few or many sets are left, texts are dealt out to them
+    sent = need.hint("merge").join(texts, "doc_id").select("first", "i", "j", "few", "label", "text")
     return by_group(sent, ["first", "i", "j"], compare, "a long, b long").distinct()
 
 
@@ -173,7 +174,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> Data
     """The pairs (a, b, blocks) whose full sets are that similar. Pairs meet at a, their hub, in as many blocks."""
     hub = pairs.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "blocks", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
     own = hub.select("hub", F.col("hub").alias("doc_id"), "blocks", "block").distinct()
-    sent = hub.unionByName(own).join(texts, "doc_id").select("hub", "blocks", "block", "doc_id", "text")
+    sent = hub.unionByName(own).hint("merge").join(texts, "doc_id").select("hub", "blocks", "block", "doc_id", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(t: pa.Table) -> pa.Table:
