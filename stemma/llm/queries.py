@@ -90,4 +90,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Plain restatements by grouping all windows, strings or shingles; the others have no SQL form.
+ORACLE_SQL: dict[str, str] = {
+    "op6_window_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT win.doc_id, i + j AS p FROM win JOIN first ON first.k = win.k AND m < win.doc_id, range(13) r(j)),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+left_ AS (SELECT words.doc_id, count(gone.p) AS n, string_agg(w, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS kept FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ ON left_.doc_id = d.doc_id""",
+    "op9_minmax_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON b.k = a.k AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT c.doc_id, l.y FROM c JOIN l ON l.x = c.r),
+m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY 1)
+SELECT m.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = m.doc_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id""",
+    "op10_suffix_dedup": """
+WITH h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2 * (1000 + 49)) AS h FROM (SELECT doc_id, h, unnest(range(0, n, 1000)) AS p FROM h)),
+win AS (SELECT doc_id, p + i AS i, md5_number(substring(h, 2 * i - 1, 100)) AS k FROM (SELECT *, unnest(range(1, least(1001, length(h) // 2 - 48))) AS i FROM part)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+starts AS (SELECT win.doc_id, i FROM win JOIN first ON first.k = win.k AND m < win.doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM starts)) GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+left_ AS (SELECT gaps.doc_id, count(*) AS spans, sum(b - a + 1) AS gone, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS kept FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY 1)
+SELECT h.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE concat(kept, substring(h, 2 * last + 1)) END)) AS kept_sha256 FROM h LEFT JOIN left_ ON left_.doc_id = h.doc_id""",
+}
