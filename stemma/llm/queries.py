@@ -83,6 +83,12 @@ def op11_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    return periodic.detect(table(spark, sf_dir, "documents"), digests=True, change=periodic.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -95,12 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_two_fit_packing": op11_two_fit_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Plain restatements by grouping all windows, strings or shingles; the others have no SQL form.
+#: Plain restatements by grouping all windows, strings, shingles or equal words; the others have no SQL form.
 ORACLE_SQL: dict[str, str] = {
     "op6_window_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -128,4 +135,16 @@ runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM (SELECT *, sum(new) O
 gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
 left_ AS (SELECT gaps.doc_id, count(*) AS spans, sum(b - a + 1) AS gone, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS kept FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY 1)
 SELECT h.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE concat(kept, substring(h, 2 * last + 1)) END)) AS kept_sha256 FROM h LEFT JOIN left_ ON left_.doc_id = h.doc_id""",
+    "op13_periodic_runs": f"""
+WITH d AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b: list_reduce(list_concat([xor(x, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) AS h FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents)),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) ELSE 1 END AS q FROM d),
+w AS (SELECT doc_id, i, ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i),
+runs AS (SELECT doc_id, s, n, min(p) AS p FROM (SELECT doc_id, min(i) AS s, count(*) + p AS n, p FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM same) GROUP BY doc_id, p, g HAVING count(*) >= p AND count(*) + p >= 12) GROUP BY doc_id, s, n),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, p) = 1),
+listed AS (SELECT doc_id, count(*) AS k, string_agg(concat(s, ',', n, ',', p, chr(10)), '' ORDER BY s, p) AS t FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + n)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY 1)
+SELECT d.doc_id, coalesce(k, 0) AS n_runs, s AS start, best.n AS length, p AS period, 1000 * best.n // p AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN listed ON listed.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
 }
