@@ -83,6 +83,13 @@ def op11_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turns
+
+    rows = table(spark, sf_dir, "conversations")
+    return turns.audit(turns.damaged(rows), ids=rows)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import periodic
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_two_fit_packing": op11_two_fit_packing,
+    "op12_turn_repair": op12_turn_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
