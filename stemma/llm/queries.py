@@ -115,7 +115,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Plain restatements by grouping all windows, strings, shingles or equal words; the others have no SQL form.
+_CRC32 = "xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b: list_reduce(list_concat([xor(x, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)))"
+
+
+def _turn_steps() -> str:
+    """b0 to b3: the cheapest (cost, edits, text) from a row on, by the state before it, made of those behind it."""
+    due, name = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    made = lambda cost, edit, text, then: f"struct_pack(c := b{then}.c + {cost}, e := '{edit}' || b{then}.e, t := {text}b{then}.t)"
+
+    def own(k: int) -> list[str]:
+        kept = " ".join(f"WHEN keeps = '{initial}' THEN {made('more', 'K', 'body || ', then)}" for initial, then in keeps[k].items())
+        return [made(4, "D", "", k), f"CASE WHEN NOT gone THEN {made('3 + more', 'R', f"'{name[due[k]]}:' || text || chr(10) || ", due[k])} END", f"CASE WHEN gone THEN NULL {kept} END"]
+
+    best = [f"list_min([{', '.join(own(k))}])" for k in range(4)]
+    put = lambda k, cost, edits, text: f"struct_pack(c := g{k}.c + {cost}, e := '{edits}' || g{k}.e, t := {text} || g{k}.t)"
+    line = {k: f"'{name[due[k]]}:' || chr(10)" for k in range(4)}
+    full = [f"list_min([g{k}, {put(due[k], 3, 'I', line[k])}, {put(due[due[k]], 6, 'II', f'{line[k]} || {line[due[k]]}')}]) AS b{k}" for k in range(4)]
+    return f"SELECT conv_id, k - 1 AS k, {', '.join(full)} FROM (SELECT conv_id, k, {', '.join(f'{b} AS g{k}' for k, b in enumerate(best))} FROM (SELECT b.*, gone, more, keeps, text, body FROM b JOIN f ON f.conv_id = b.conv_id AND f.k = b.k))"
+
+
+#: Plain restatements by grouping all windows, strings, shingles or equal words, and row by row from the last; the others have no SQL form.
 ORACLE_SQL: dict[str, str] = {
     "op6_window_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -143,8 +163,17 @@ runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM (SELECT *, sum(new) O
 gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
 left_ AS (SELECT gaps.doc_id, count(*) AS spans, sum(b - a + 1) AS gone, max(b) AS last, string_agg(substring(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS kept FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY 1)
 SELECT h.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE concat(kept, substring(h, 2 * last + 1)) END)) AS kept_sha256 FROM h LEFT JOIN left_ ON left_.doc_id = h.doc_id""",
+    "op12_turn_repair": f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM c WHERE h <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, again) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen, right(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) AS last FROM d),
+f AS (SELECT *, last = '' OR seen AS gone, CASE WHEN last IN ('.', '!', '?') THEN 0 ELSE 3 END AS more, role[1] AS keeps, concat(role, ':', text, chr(10)) AS body, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] AS pair FROM r),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (last = '') AS blank, count(*) FILTER (last <> '' AND seen) AS duplicate, count(*) FILTER (NOT gone AND more > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS k FROM f GROUP BY 1),
+b AS (SELECT conv_id, k, struct_pack(c := 0, e := '', t := '') AS b0, struct_pack(c := 6, e := 'II', t := concat('user:', chr(10), 'assistant:', chr(10))) AS b1, struct_pack(c := 3, e := 'I', t := concat('assistant:', chr(10))) AS b2, struct_pack(c := 0, e := '', t := '') AS b3 FROM s UNION ALL {_turn_steps()})
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b0.c, 0) AS BIGINT) AS cost, coalesce(b0.e, '') AS audit, sha256(coalesce(left(b0.t, length(b0.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id = o.conv_id LEFT JOIN b ON b.conv_id = o.conv_id AND b.k = 0""",
     "op13_periodic_runs": f"""
-WITH d AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b: list_reduce(list_concat([xor(x, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) AS h FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents)),
+WITH d AS (SELECT doc_id, ws, len(ws) AS n, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents)),
 a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) ELSE 1 END AS q FROM d),
 w AS (SELECT doc_id, i, ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM a)),
 same AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i),
