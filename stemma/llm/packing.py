@@ -146,7 +146,8 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = SIZE, end: int | None =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *found], names=[*kept, "sequence_id", "offset"])
 
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(counted.select("length", "block", before.cast("long").alias("before")), ["length", "block"])
+    offsets = counted.select("length", "block", before.cast("long").alias("before"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "block"])  # never broadcast: offsets grow with the tasks
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
     out = ", ".join(k for k in kinds.split(", ") if k.split()[0] in kept)
     return ranked.select(*kept, (F.col("before") + F.col("nth")).alias("rank")).mapInArrow(place, f"{out}, sequence_id long, offset long")
