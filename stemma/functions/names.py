@@ -32,14 +32,6 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
     return F.when(d < 0, most + 1).otherwise(d)
 
 
-def syllables(name: Column, readings: dict[str, str]) -> Column:
-    """(full, initials): readings of the characters joined, and their first letters; other characters stand for themselves."""
-    table = F.create_map(*(F.lit(x) for kv in sorted(readings.items()) for x in kv)) if readings else None
-    chars = F.filter(F.split(tight(name), ""), lambda c: c != "")
-    read = F.transform(chars, lambda c: F.coalesce(table[c], F.lower(c)) if table is not None else F.lower(c))
-    return F.struct(F.array_join(read, "").alias("full"), F.array_join(F.transform(read, lambda r: F.substring(r, 1, 1)), "").alias("initials"))
-
-
 def stripped(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -49,28 +41,6 @@ def plain_letters(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$")
 
 
-def match_score(query: Column, name: Column, readings: dict[str, str] | None = None) -> Column:
-    """How well a name fits a query, lower is better, null for no fit.
-
-    0: the name contains it as it stands. 20: a query in plain letters begins the reading or the initials
-    of a name that is not in plain letters. Of two that are not in plain letters, 10: they read alike; 5:
-    the name's reading begins with that of a query of one character; 30: at most one edit apart, two
-    characters or more each.
-    """
-    q, n = stripped(query), stripped(name)
-    plain_q, plain_n = plain_letters(q), plain_letters(n)
-    rq, rn, low = syllables(q, readings or {})["full"], syllables(n, readings or {}), F.lower(q)
-    return (
-        F.when((q == "") | (n == ""), F.lit(None).cast("int"))
-        .when(F.contains(n, q), 0)
-        .when(plain_n, F.lit(None).cast("int"))
-        .when(plain_q, F.when(F.startswith(rn["initials"], low) | F.startswith(rn["full"], low), 20))
-        .when(rn["full"] == rq, 10)
-        .when(F.length(q) == 1, F.when(F.startswith(rn["full"], rq), 5))
-        .when((F.length(n) >= 2) & (edit_distance(q, n, 1) <= 1), 30)
-    )
-
-
 # Words that carry no search.
 STOP_WORDS = (
     "请问", "帮我", "搜索", "检索", "一下", "介绍", "如何", "怎样", "怎么样", "何处",

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..plans.cut import cut
+from .dictionary import occurrences
+from .readings import fitted, no_readings, readings_of
 
 
 def duplicate_clusters(persons: DataFrame) -> DataFrame:
@@ -72,12 +75,12 @@ def adjudicated(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumns({"same": F.coalesce("same", F.lit(True)), "keep_index": F.coalesce(index, F.lit(0)), "confidence": F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))), 2)})
 
 
-def fuzzy_search(persons: DataFrame, query: str, limit: int = 20, readings: dict[str, str] | None = None) -> DataFrame:
+def fuzzy_search(persons: DataFrame, query: str, limit: int = 20, readings: DataFrame | None = None) -> DataFrame:
     """The people whose names fit best, by score, then id; the first ones for an empty query."""
     if not query.strip():
         return persons.withColumn("score", F.lit(0)).orderBy("person_id").limit(limit)
-    scored = persons.withColumn("score", N.match_score(F.lit(query), F.col("name"), readings)).where("score is not null")
-    return scored.orderBy("score", "person_id").limit(limit)
+    fits = fitted(persons.select(F.lit(query).alias("query"), "name").distinct(), readings).where("score is not null").select("name", "score")
+    return persons.join(fits, "name").select(*persons.columns, "score").orderBy("score", "person_id").limit(limit)
 
 
 # Words of relationship and asking, taken out of a question, in this order, before names are guessed.
@@ -113,67 +116,73 @@ RELATION_WORDS = (
 )
 
 
-def _parts(text: Column, lengths: Column) -> Column:
-    """All parts of a text of such lengths."""
-    places = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(lengths, places))
-
-
 def _one_less(text: Column) -> Column:
     """A text, and what is left of it without one of its characters."""
-    return F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
-
-
-def _tagged(tag: str, texts: Column) -> Column:
-    return F.transform(F.filter(texts, lambda t: t != ""), lambda t: F.concat(F.lit(tag), t))
-
-
-def _prefixes(text: Column) -> Column:
-    return F.when(text != "", F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.substring(text, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))))
 
 
 def containing(texts: DataFrame, id_col: str, text_col: str, persons: DataFrame) -> DataFrame:
-    """(id_col, person_id) for every text and every person whose name stands in it: a join on equality with the texts' parts."""
-    lengths = [r[0] for r in persons.select(F.length("name")).distinct().orderBy(F.length("name")).collect() if r[0]]  # lengths of names: a few numbers
-    parts = texts.select(id_col, F.explode(F.array_distinct(_parts(F.coalesce(text_col, F.lit("")), F.array(*map(F.lit, lengths or [1]))))).alias("name"))
-    return parts.join(persons.select("name", "person_id"), "name").select(id_col, "person_id")
+    """(id_col, person_id) for every text and every person whose name stands in it, whole texts, each pair once."""
+    found = occurrences(texts, persons, id_col, text_col, "name").select(id_col, F.col("word").alias("name")).distinct()
+    return found.join(persons.select("name", "person_id"), "name").select(id_col, "person_id")
 
 
-def best_matches(queries: DataFrame, persons: DataFrame, readings: dict[str, str] | None = None) -> DataFrame:
-    """(query_id, person_id, name, score): of each query (query_id, query) the person whose name fits best, by score, then id.
+def best_matches(queries: DataFrame, persons: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """(query_id, person_id, name, score): of each query (query_id, query) the person whose name fits best by fitted(), by score, then id.
 
-    Whatever match_score accepts shares a key: the query is a part of the name, or begins its reading or
-    initials, or both are alike after one character less. So names are never compared with every query.
+    Each way to fit has its own join. Queries as parts of names and as beginnings of readings are found by
+    automata of the queries, which go once over each name; names read alike meet by their readings, those
+    one edit apart by what is left without one character. Nothing is expanded that no query can use, and
+    names are never compared with every query.
     """
-    q, n = N.stripped(F.col("query")), N.stripped(F.col("name"))
-    read_q, read_n, low = N.syllables(q, readings or {})["full"], N.syllables(n, readings or {}), F.lower(q)
-    asked = F.concat(_tagged("p", F.array(q)), _tagged("f", F.array(low, read_q)), _tagged("i", F.array(low)), _tagged("d", _one_less(q)))
-    whole = F.sequence(F.lit(1), F.length(n))
-    held = F.concat(_tagged("p", _parts(n, whole)), _tagged("f", _prefixes(read_n["full"])), _tagged("i", _prefixes(read_n["initials"])), _tagged("d", _one_less(n)))
-    left = queries.where(q != "").withColumn("key", F.explode(F.array_distinct(asked))).select("query_id", q.alias("stripped"), "key").withColumnRenamed("stripped", "query")
-    right = persons.where(n != "").select("person_id", "name", F.explode(F.array_distinct(held)).alias("key"))
-    pairs = left.join(right, "key").select("query_id", "query", "person_id", "name").distinct()
-    fits = pairs.withColumn("score", N.match_score(F.col("query"), F.col("name"), readings)).where("score is not null")
-    return fits.groupBy("query_id").agg(F.min_by(F.struct("person_id", "name", "score"), F.struct("score", "person_id")).alias("p")).select("query_id", "p.*")
-
-
-def mentioned(questions: DataFrame, persons: DataFrame, noise: tuple[str, ...] = RELATION_WORDS, readings: dict[str, str] | None = None) -> DataFrame:
+    asked = queries.select("query_id", N.stripped(F.col("query")).alias("q")).where("q <> ''")
+    known = persons.select("person_id", N.stripped(F.col("name")).alias("n")).where("n <> ''")
+    table = readings if readings is not None else no_readings(persons)
+    plain_q, plain_n = N.plain_letters(F.col("q")), N.plain_letters(F.col("n"))
+    words, other = asked.select("q").distinct(), known.where(~plain_n)
+    odd = words.where(~plain_q)
+    # what several ways need is made once
+    read_n = cut(other.join(readings_of(other, table, "n").withColumnRenamed("text", "n"), "n"))
+    read_q = cut(readings_of(odd, table, "q").select(F.col("text").alias("q"), F.explode("full").alias("reading")))
+    full = read_n.select("person_id", F.explode("full").alias("reading"))
+    all_ = full.unionByName(read_n.select("person_id", F.explode("initials").alias("reading")))
+    tier = lambda df, score: df.select("q", "person_id", F.lit(score).alias("score"))
+
+    inside = occurrences(known, words, "person_id", "n", "q").withColumnRenamed("word", "q")
+    low = words.where(plain_q).withColumn("low", F.lower("q"))
+    typed = occurrences(all_, low, "person_id", "reading", "low").where("first = 0").join(low.withColumnRenamed("low", "word"), "word")
+    first = read_q.where(F.length("q") == 1).withColumnRenamed("reading", "word")
+    begun = occurrences(full, first, "person_id", "reading", "word").where("first = 0").join(first, "word")
+    alike = read_q.join(full, "reading")
+    less_q = odd.where(F.length("q") >= 2).select("q", F.explode(_one_less(F.col("q"))).alias("less"))
+    less_n = other.where(F.length("n") >= 2).select("person_id", "n", F.explode(_one_less(F.col("n"))).alias("less"))
+    near = less_q.join(less_n, "less").where(N.edit_distance(F.col("q"), F.col("n"), 1) <= 1)
+
+    pairs = tier(inside, 0).unionByName(tier(typed, 20)).unionByName(tier(begun, 5)).unionByName(tier(alike, 10)).unionByName(tier(near, 30))
+    # a name that reads as a query of one character does is no mere beginning
+    pairs = pairs.groupBy("q", "person_id").agg(F.min("score").alias("low"), F.max((F.col("score") == 10).cast("int")).alias("alike"))
+    pairs = pairs.select("q", "person_id", F.when((F.col("low") == 5) & (F.col("alike") == 1), 10).otherwise(F.col("low")).alias("score"))
+    best = pairs.groupBy("q").agg(F.min(F.struct("score", "person_id")).alias("p")).select("q", "p.person_id", "p.score")
+    whose = persons.select("person_id", "name").dropDuplicates(["person_id"])
+    return asked.join(best, "q").join(whose, "person_id").select("query_id", "person_id", "name", "score")
+
+
+def mentioned(questions: DataFrame, persons: DataFrame, noise: tuple[str, ...] = RELATION_WORDS, readings: DataFrame | None = None) -> DataFrame:
     """(question_id, person_id, name): the longest name that stands in each question, else the one that fits what is left best.
 
-    Questions (question_id, question) are cut into all substrings of the lengths that names have and joined
-    with the names on equality, so names are never compared with every question. From questions without a
-    name words of noise are taken out, and best_matches() is asked about the rest. Of names alike the
-    smallest id counts.
+    An automaton of all names goes once over each question (question_id, question). From questions without
+    a name words of noise are taken out, and best_matches() is asked about the rest. Of names alike the
+    smallest id counts, of names as long the one of the smallest id.
     """
-    lengths = [r[0] for r in persons.select(F.length("name")).distinct().orderBy(F.length("name")).collect() if r[0]]  # lengths of names: a few numbers
-    if not lengths:
-        return questions.select("question_id", F.lit(None).cast("long").alias("person_id"), F.lit(None).cast("string").alias("name")).limit(0)
-    parts = questions.select("question_id", F.explode(F.array_distinct(_parts(F.coalesce("question", F.lit("")), F.array(*map(F.lit, lengths))))).alias("name"))
-    exact = parts.join(persons.select("name", "person_id"), "name").groupBy("question_id").agg(F.max_by(F.struct("person_id", "name"), F.struct(F.length("name"), -F.col("person_id"))).alias("p")).select("question_id", "p.person_id", "p.name")
+    named = persons.groupBy("name").agg(F.min("person_id").alias("person_id"))
+    found = occurrences(questions, named, "question_id", "question", "name").select("question_id", F.col("word").alias("name")).join(named, "name")
+    exact = cut(found.groupBy("question_id").agg(F.max_by(F.struct("person_id", "name"), F.struct(F.length("name"), -F.col("person_id"))).alias("p")).select("question_id", "p.person_id", "p.name"))
     rest = F.coalesce("question", F.lit(""))
     for w in noise:
         rest = F.replace(rest, F.lit(w), F.lit(" "))
-    left = questions.join(exact.select("question_id"), "question_id", "left_anti").select(F.col("question_id").alias("query_id"), rest.alias("query"))
+    left = cut(questions.join(exact.select("question_id"), "question_id", "left_anti").select(F.col("question_id").alias("query_id"), rest.alias("query")).where(N.stripped(F.col("query")) != ""))
+    if left.isEmpty():
+        return exact
     return exact.unionByName(best_matches(left, persons, readings).select(F.col("query_id").alias("question_id"), "person_id", "name"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .dictionary import occurrences
 from .graph import lineal, relatives
 
 # What a question asks for, by the first phrase that it has, in this order.
@@ -181,6 +182,22 @@ def person_materials(entries: DataFrame, name: str, lineage_id: int, branch_id:
     return out
 
 
+def materials_of(entries: DataFrame, people: DataFrame, most: int = 40) -> DataFrame:
+    """(person_id, r, entry_id) for all people (person_id, name) at once: the first active entries that have the name in title or text, by page, then id.
+
+    Names and texts are compared without white space and in lower case; an automaton of all names goes
+    once over each entry. A name without a letter finds nothing.
+    """
+    active = entries.where("status = 'active'")
+    keys = people.select("person_id", N.text_key(F.col("name")).alias("key")).where("key <> ''")
+    # a title is no beginning of a text: a line end, which is in no name, stands between them
+    both = active.select("entry_id", F.concat(N.text_key(F.col("title")), F.lit("\n"), N.text_key(F.col("text"))).alias("both"))
+    found = occurrences(both, keys, "entry_id", "both", "key").select("entry_id", F.col("word").alias("key")).distinct().join(keys, "key")
+    placed = found.join(active.select(F.col("entry_id").cast("long").alias("entry_id"), "page_no"), "entry_id")
+    rank = F.row_number().over(W.partitionBy("person_id").orderBy(F.col("page_no").asc_nulls_last(), "entry_id"))
+    return placed.withColumn("r", rank).where(F.col("r") <= most).select("person_id", "r", "entry_id")
+
+
 def intent(question: Column, table: dict[str, list[str]] = INTENTS) -> Column:
     """The first intent any of whose phrases the question has; null if none."""
     out = F.lit(None).cast("string")

@@ -17,9 +17,16 @@ def on_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
 
 
+def _own_folder(master: str) -> str:
+    """A temporary folder of this machine, which is only good where the driver runs all tasks itself."""
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="stemma-checkpoint-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df from the reliable checkpoint folder: the cluster's, or one of our own where none is set."""
+    """df from the reliable checkpoint folder: the cluster's, or in a local session one of our own where none is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stemma-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _own_folder(sc.master))
     return df.checkpoint()

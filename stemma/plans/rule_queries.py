@@ -111,42 +111,6 @@ def geo07_grid(m):
     return m.pages.select("task_id", F.col("page_no").cast("long").alias("page_no"), R.grid_page(F.col("page_no"), F.col("task_id") % 6, F.col("part_id") % 20).alias("grid"))
 
 
-READINGS = {"张": "zhang", "章": "zhang", "三": "san", "山": "shan", "珊": "shan", "王": "wang", "汪": "wang", "丰": "feng", "风": "feng"}
-QUERIES = ["张", "张山", "zs", "ZhangS", "王三丰", "汪珊", "三", "Zhang", "", "章"]
-WHOM = ["张三", "章珊", "张三丰", "王山", "汪", "Zhang San", "zhangsan", "王三风", ""]
-# scores by rule: a part of the name, begins its reading or initials in plain letters, reads alike, one character that the reading begins with, one edit
-_FITS = {
-    ("张", "张三"): 0, ("张", "章珊"): 5, ("张", "张三丰"): 0, ("张山", "张三"): 30, ("张山", "章珊"): 10, ("张山", "王山"): 30, ("zs", "张三"): 20, ("zs", "章珊"): 20, ("zs", "张三丰"): 20, ("ZhangS", "张三"): 20, ("ZhangS", "章珊"): 20, ("ZhangS", "张三丰"): 20,
-    ("王三丰", "张三丰"): 30, ("王三丰", "王三风"): 10, ("汪珊", "章珊"): 30, ("汪珊", "王山"): 10, ("三", "张三"): 0, ("三", "张三丰"): 0, ("三", "王三风"): 0, ("Zhang", "张三"): 20, ("Zhang", "章珊"): 20, ("Zhang", "张三丰"): 20, ("Zhang", "Zhang San"): 0, ("章", "张三"): 5, ("章", "章珊"): 0, ("章", "张三丰"): 5,
-}
-_FITS_SQL = "CASE concat(q, '|', n) " + " ".join(f"WHEN '{q}|{n}' THEN {s}" for (q, n), s in _FITS.items()) + " END"
-
-
-@query("res08_match_scores", f"WITH p AS (SELECT id, {_sql_list(QUERIES)}[CAST(id % {len(QUERIES)} + 1 AS BIGINT)] AS q, {_sql_list(WHOM)}[CAST(user_id % {len(WHOM)} + 1 AS BIGINT)] AS n FROM v_audit) SELECT id, {_FITS_SQL} AS score FROM p")
-def res08(m):
-    return m.audit.select("id", N.match_score(_pick(QUERIES, F.col("id")), _pick(WHOM, F.col("user_id")), READINGS).alias("score"))
-
-
-_FULL = {"张三": ("zhangsan", "zs"), "章珊": ("zhangshan", "zs"), "张三丰": ("zhangsanfeng", "zsf"), "王山": ("wangshan", "ws"), "汪": ("wang", "w"), "Zhang San": ("zhangsan", "zhangsan"), "zhangsan": ("zhangsan", "zhangsan"), "王三风": ("wangsanfeng", "wsf"), "": ("", "")}
-
-
-@query("res10_readings", "WITH p AS (SELECT id, " + _sql_list(WHOM) + f"[CAST(user_id % {len(WHOM)} + 1 AS BIGINT)] AS n FROM v_audit) SELECT id, CASE n " + " ".join(f"WHEN '{k}' THEN '{v[0]}|{v[1]}'" for k, v in _FULL.items()) + " END AS reading FROM p")
-def res10(m):
-    s = N.syllables(_pick(WHOM, F.col("user_id")), READINGS)
-    return m.audit.select("id", F.concat(s["full"], F.lit("|"), s["initials"]).alias("reading"))
-
-
-ASKED = ["张三丰的父亲是谁", "章山的母亲是谁", "zsf 的简介", "汪珊的女儿", "請問天氣"]
-# the people are 1 张三, 2 张三丰, 3 章珊, 4 王山: the longest name in the question, else the best fit of what is left of it
-_WHO = [2, 3, 2, 4, None]
-
-
-@query("res12_fuzzy_mentions", "SELECT id AS question_id, CASE id % 5 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(_WHO) if w) + " END AS person_id FROM v_audit WHERE id % 5 < 4")
-def res12(m):
-    persons = m.spark.createDataFrame([(1, "张三"), (2, "张三丰"), (3, "章珊"), (4, "王山")], "person_id long, name string")
-    return S.mentioned(m.audit.select(F.col("id").alias("question_id"), _pick(ASKED, F.col("id")).alias("question")), persons, readings=READINGS).select("question_id", "person_id")
-
-
 @query("con03_block_results", """SELECT task_id, page_no, 'person' AS kind, concat('P', CAST(person_id AS VARCHAR)) AS name, CASE person_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'unknown' ELSE 'female' END AS what, CASE WHEN page_no % 3 = 0 THEN 0.5 ELSE least(1.0, round(confidence * 2, 2)) END AS confidence FROM v_pages WHERE person_id % 5 <> 0
 UNION ALL SELECT task_id, page_no, 'relation', concat('P', CAST(person_id AS VARCHAR)), CASE part_id % 3 WHEN 0 THEN 'spouse' ELSE 'parent_child' END, CASE WHEN page_no % 3 = 0 THEN 0.5 ELSE least(1.0, round(confidence * 2, 2)) END FROM v_pages WHERE part_id % 3 < 2 AND person_id % 4 <> 0""")
 def con03(m):
@@ -273,12 +237,6 @@ def src03(m):
     return m.audit.select(name.alias("file_name")).withColumn("accepted", files.accepted(F.col("file_name")))
 
 
-@query("jon09_contained_names", "SELECT e.entry_id, count(*) AS n FROM v_entries e JOIN v_dup_persons p ON contains(e.title, split_part(p.name, ' ', 1)) GROUP BY 1")
-def jon09(m):
-    people = m.dup_persons.select("person_id", F.split_part("name", F.lit(" "), F.lit(1)).alias("name"))
-    return S.containing(m.entries.select("entry_id", "title"), "entry_id", "title", people).groupBy("entry_id").agg(F.count("*").alias("n"))
-
-
 @query("agg07_distinct_maps", """WITH d AS (SELECT DISTINCT b.lineage_id, i.person_id, b.branch_id, b.name FROM v_in_branch i JOIN v_branches b USING (branch_id)) SELECT lineage_id, count(DISTINCT person_id) AS persons, string_agg(DISTINCT concat(CAST(branch_id AS VARCHAR), ':', name), ',' ORDER BY concat(CAST(branch_id AS VARCHAR), ':', name)) AS branches FROM d GROUP BY 1""")
 def agg07(m):
     rows = m.in_branch.join(m.branches, "branch_id")

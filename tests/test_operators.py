@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stemma.functions import names as N
 from stemma.operators import graph as G
 from stemma.operators import maintenance as M
+from stemma.operators import readings as L
 from stemma.operators import records as R
 from stemma.operators import resolve as S
 from stemma.operators import retrieve as T
@@ -29,8 +30,12 @@ def test_names(spark):
 
 @pytest.mark.parametrize("query,name,score", [("三", "张三", 0), ("张山", "张珊", 10), ("zhangs", "张珊", 20), ("zs", "张珊", 20), ("李四海", "李四洋", 30), ("王", "张珊", None), ("", "张珊", None), ("张", "章珊", 5), ("张", "章", 10), ("zhang", "Zhangsan", None), ("Zhang", "zhang", None), ("山海", "山", None)])
 def test_match_score(spark, query, name, score):
-    readings = {"章": "zhang", "张": "zhang", "三": "san", "山": "shan", "珊": "shan"}
-    assert one(spark, N.match_score(F.lit(query), F.lit(name), readings)) == score
+    readings = spark.createDataFrame([("章", "zhang"), ("张", "zhang"), ("三", "san"), ("山", "shan"), ("珊", "shan")], "char string, reading string")
+    pairs = spark.createDataFrame([(query, name, 1)], "query string, name string, text int")
+    assert [tuple(r) for r in L.fitted(pairs, readings).collect()] == [(query, name, 1, score)]
+    people = spark.createDataFrame([(7, name)], "person_id long, name string")
+    found = S.best_matches(spark.createDataFrame([(1, query)], "query_id long, query string"), people, readings).collect()
+    assert [tuple(r) for r in found] == ([] if score is None else [(1, 7, name, score)])
 
 
 def test_lenient_json():
@@ -100,12 +105,13 @@ def test_merged_people_take_what_they_lack(spark):
 
 def test_best_matches_against_all_pairs(spark):
     r = random.Random(8)
-    readings = {c: w for c, w in zip("张章王汪三山珊丰风李", "zhang zhang wang wang san shan shan feng feng li".split(), strict=True)}
+    both = list(zip("张章王汪三山珊丰风李", "zhang zhang wang wang san shan shan feng feng li".split(), strict=True)) + [("山", "san"), ("李", "Wang"), ("丰", "")]
+    readings = spark.createDataFrame(both, "char string, reading string")
     name = lambda a, b: "".join(r.choice("张章王汪三山珊丰风李") for _ in range(r.randint(a, b)))
     people = [(i, name(1, 3) if i % 5 else r.choice(("zhangsan", "Li", "wang s"))) for i in range(60)]
     asked = [(i, r.choice((name(1, 4), name(2, 3), "zs", "ws", "zhang", "li", "", " wang "))) for i in range(80)]
     p, q = spark.createDataFrame(people, "person_id long, name string"), spark.createDataFrame(asked, "query_id long, query string")
-    pairs = q.crossJoin(p).withColumn("s", N.match_score(F.col("query"), F.col("name"), readings)).where("s is not null")
+    pairs = L.fitted(q.crossJoin(p), readings).withColumnRenamed("score", "s").where("s is not null")
     want = {(r["query_id"], r["s"], r["person_id"]) for r in pairs.groupBy("query_id").agg(F.min(F.struct("s", "person_id")).alias("m")).select("query_id", "m.*").collect()}
     got = {(r["query_id"], r["score"], r["person_id"]) for r in S.best_matches(q, p, readings).collect()}
     assert got == want
