@@ -198,14 +198,6 @@ def matched(new: DataFrame, persons: DataFrame, fill: list[str]) -> DataFrame:
     return out.select(F.col("k.person_id").alias("person_id"), "name", F.when(F.col("k").isNull(), "created").otherwise("matched").alias("state"), *(F.coalesce(F.col(f"k.{c}"), F.col(c)).alias(c) for c in fill))
 
 
-def applied_relations(relations: DataFrame, people: DataFrame) -> DataFrame:
-    """Confirmed relations (type, from_name, to_name, confirmed) with both ends' ids; unknown types and loops go, each once."""
-    a, b = (people.select(N.graph_key(F.col("name")).alias(k), F.col("person_id").alias(v)) for k, v in (("fk", "src"), ("tk", "dst")))
-    rows = relations.where(F.coalesce("confirmed", F.lit(True)) & F.col("type").isin("parent_child", "spouse"))
-    rows = rows.withColumns({"fk": N.graph_key(F.col("from_name")), "tk": N.graph_key(F.col("to_name"))})
-    return rows.join(a, "fk").join(b, "tk").where("src <> dst").select("type", "src", "dst").distinct()
-
-
 def rendered(persons: Column, content: Column, notes: Column) -> Column:
     """A page as text: 40 people at most, 8 paragraphs of 300 characters, 80 of the notes."""
     who = F.array_join(F.transform(F.slice(persons, 1, 40), lambda p: F.concat_ws(" ", p["name"], F.nullif(p["gender"], F.lit("unknown")), p["biography"])), "\n")

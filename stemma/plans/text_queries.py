@@ -240,14 +240,6 @@ def res13(m):
     return S.matched(new, m.persons.withColumn("created_at", F.col("person_id")), ["birth_place"]).select("person_id", "name", "state")
 
 
-@query("res14_applied_relations", "SELECT CASE WHEN dst % 3 = 1 THEN 'spouse' ELSE 'parent_child' END AS type, src, dst FROM v_parent_of WHERE dst % 3 <> 2 AND src IN (SELECT person_id FROM v_persons) GROUP BY ALL")
-def res14(m):
-    names = G.named_edges(m.parent_of, m.persons, "x")
-    kind = F.when(F.col("dst") % 3 == 1, "spouse").when(F.col("dst") % 3 == 2, "uncle").otherwise("parent_child")
-    rel = names.select(kind.alias("type"), "from_name", "to_name", F.lit(None).cast("boolean").alias("confirmed"))
-    return S.applied_relations(rel, m.persons)
-
-
 @query("con01_rendered", f"WITH {_PEOPLE} SELECT task_id, page_no, concat(name, CASE person_id % 3 WHEN 0 THEN ' male' WHEN 1 THEN '' ELSE ' female' END, CASE WHEN digits THEN concat(' born ', CAST(birth_year AS VARCHAR)) ELSE '' END, chr(10), 'abc', chr(10), 'note') AS text FROM p")
 def con01(m):
     rows = _people(m).withColumn("persons", R.people(F.col("persons")))

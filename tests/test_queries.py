@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stemma.plans import graph_queries, name_queries, registry, rule_queries, table_queries, text_queries  # noqa: F401
+from stemma.plans import apply_queries, graph_queries, name_queries, registry, rule_queries, table_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
