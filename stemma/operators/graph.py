@@ -184,23 +184,6 @@ def delete_nodes(nodes: DataFrame, edges: dict[str, DataFrame], ids: DataFrame,
     return nodes.join(ids, key, "left_anti"), out
 
 
-def merge_nodes(persons: DataFrame, edges: DataFrame, mapping: DataFrame, undirected: bool = False) -> tuple[DataFrame, DataFrame]:
-    """People and (src, dst) edges after merging: mapping has (secondary, primary, ord).
-
-    A primary's null attributes are filled from its secondaries, smallest ord first. Ends of edges
-    move to the primary; loops go; an edge of the same ends stays once, whichever way round if undirected.
-    """
-    to = mapping.select("secondary", "primary")
-    columns = [c for c in persons.columns if c != "person_id"]
-    ranked = persons.join(mapping, persons["person_id"] == mapping["secondary"], "left").withColumn("ord", F.coalesce("ord", F.lit(-1))).withColumn("person_id", F.coalesce("primary", "person_id"))
-    merged = ranked.groupBy("person_id").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in columns))
-    a, b = (to.select(F.col("secondary").alias(c), F.col("primary").alias(f"to_{c}")) for c in ("src", "dst"))
-    moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst")).where("src <> dst")
-    if undirected:
-        moved = moved.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    return merged, moved.distinct()
-
-
 def without_isolated(nodes: DataFrame, edges: DataFrame, noise: list[str], focus: int | None = None) -> DataFrame:
     """Nodes with an edge and no noise name, and the focus; all nodes if that leaves none."""
     ends = edges.select(F.col("src").alias("person_id")).unionByName(edges.select(F.col("dst").alias("person_id"))).distinct()

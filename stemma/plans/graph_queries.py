@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import merge
+from ..operators.apply import Graph
 from .registry import query
 
 MEMBERS = "SELECT person_id, lineage_id FROM v_belongs_to UNION SELECT i.person_id, b.lineage_id FROM v_in_branch i JOIN v_branches b USING (branch_id)"
@@ -141,18 +143,45 @@ def grf21(m):
     return only_from(seen, 7)
 
 
-@query("grf22_merge_persons", """WITH t AS (SELECT person_id AS secondary, person_id - 1 AS primary_ FROM v_persons WHERE person_id % 50 = 7), e AS (SELECT coalesce(a.primary_, e.src) AS src, coalesce(b.primary_, e.dst) AS dst FROM v_parent_of e LEFT JOIN t a ON a.secondary = e.src LEFT JOIN t b ON b.secondary = e.dst) SELECT DISTINCT src, dst FROM e WHERE src <> dst""")
-def grf22(m):
-    return G.merge_nodes(m.persons, m.parent_of, _mapping(m))[1]
+# of fifty people each, a chain (9 into 8 into 7 into 6) and a star (20 to 24 into 19, the last one first)
+_MERGED = """g AS (SELECT person_id, CASE WHEN person_id % 4 = 0 THEN '' ELSE name END AS name, CASE WHEN person_id % 5 = 0 THEN NULL WHEN person_id % 3 <> 1 THEN 'unknown' ELSE gender END AS gender, birth_year, CASE WHEN person_id % 2 = 0 THEN generation END AS generation FROM v_persons),
+t AS (SELECT person_id, person_id - person_id % 50 + CASE WHEN person_id % 50 < 10 THEN 6 ELSE 19 END AS root, CASE WHEN person_id % 50 < 10 THEN person_id % 50 ELSE 30 - person_id % 50 END AS place, CASE person_id % 50 WHEN 8 THEN n7 WHEN 9 THEN n7 OR n8 ELSE false END AS blocked FROM (SELECT person_id, (SELECT gender IS NULL FROM g x WHERE x.person_id = g.person_id - g.person_id % 50 + 7) AS n7, (SELECT gender IS NULL FROM g x WHERE x.person_id = g.person_id - g.person_id % 50 + 8) AS n8 FROM g) WHERE person_id % 50 BETWEEN 7 AND 9 OR person_id % 50 BETWEEN 20 AND 24),
+r AS (SELECT g.*, coalesce(root, g.person_id) AS root, coalesce(place, -1) AS place, coalesce(blocked, false) AS blocked FROM g LEFT JOIN t USING (person_id))"""
+_EDGES = """e AS (SELECT 'parent_child' AS type, src, dst, concat('p', CAST(dst AS VARCHAR)) AS rel_id, CASE WHEN dst % 3 = 0 THEN concat('day ', CAST(dst AS VARCHAR)) END AS marriage_date FROM v_parent_of WHERE src <> dst UNION ALL SELECT 'spouse', src, dst, concat('s', CAST(src AS VARCHAR)), CASE WHEN src % 3 = 1 THEN concat('day ', CAST(src AS VARCHAR)) END FROM v_spouse_of)"""
 
 
-@query("grf22_merge_attributes", """SELECT p.person_id, p.name, coalesce(p.gender, s.gender) AS gender, coalesce(p.birth_year, s.birth_year) AS birth_year FROM v_persons p LEFT JOIN v_persons s ON s.person_id = p.person_id + 1 AND s.person_id % 50 = 7 WHERE p.person_id % 50 <> 7""")
-def grf22_attributes(m):
-    return G.merge_nodes(m.persons.select("person_id", "name", "gender", "birth_year"), m.parent_of, _mapping(m))[0]
+@query("grf22_merge_persons", f"""WITH {_MERGED}, {_EDGES},
+m AS (SELECT e.*, coalesce(a.root, src) AS s, coalesce(b.root, dst) AS d, a.root IS NOT NULL OR b.root IS NOT NULL AS moved, type = 'spouse' AND a.root IS NULL AND b.root IS NOT NULL AS turned, coalesce(a.place, b.place) AS place FROM e LEFT JOIN t a ON a.person_id = src LEFT JOIN t b ON b.person_id = dst),
+o AS (SELECT type, CASE WHEN turned THEN d ELSE s END AS s, CASE WHEN turned THEN s ELSE d END AS d, rel_id, marriage_date, moved, place, src, dst FROM m WHERE s <> d),
+x AS (SELECT *, row_number() OVER w AS r, first_value(marriage_date IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS day FROM o WINDOW w AS (PARTITION BY type, CASE WHEN type = 'spouse' THEN least(s, d) ELSE s END, CASE WHEN type = 'spouse' THEN greatest(s, d) ELSE d END ORDER BY moved, place, rel_id, src, dst))
+SELECT type, s AS src, d AS dst, CASE WHEN moved THEN left(sha256(concat_ws('|', type, CAST(s AS VARCHAR), CAST(d AS VARCHAR))), 24) ELSE rel_id END AS rel_id, day AS marriage_date FROM x WHERE r = 1""")
+def grf22(m):
+    return _merged(m).edges
 
 
-def _mapping(m):
-    return m.persons.where("person_id % 50 = 7").select(F.col("person_id").alias("secondary"), (F.col("person_id") - 1).alias("primary"), F.lit(0).alias("ord"))
+@query("grf22_merge_attributes", f"""WITH {_MERGED} SELECT root AS person_id, coalesce(first(name ORDER BY place) FILTER (name <> ''), last(name ORDER BY place)) AS name, CASE WHEN max(gender) FILTER (place = -1) = 'unknown' THEN coalesce(first(gender ORDER BY place) FILTER (place >= 0 AND NOT blocked AND gender <> 'unknown'), 'unknown') ELSE max(gender) FILTER (place = -1) END AS gender, first(birth_year ORDER BY place) FILTER (birth_year IS NOT NULL) AS birth_year, first(generation ORDER BY place) FILTER (generation IS NOT NULL) AS generation FROM r GROUP BY root""")
+def grf22_attributes(m):
+    return _merged(m).persons
+
+
+@query("grf22_merge_members", f"""WITH {_MERGED} SELECT DISTINCT 'lineage' AS kind, r.root AS person_id, b.lineage_id AS id FROM v_belongs_to b JOIN r USING (person_id) UNION ALL SELECT DISTINCT 'branch', r.root, b.branch_id FROM v_in_branch b JOIN r USING (person_id)""")
+def grf22_members(m):
+    after = _merged(m)
+    rows = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), "person_id", F.col(c).alias("id"))
+    return rows(after.belongs_to, "lineage", "lineage_id").unionByName(rows(after.in_branch, "branch", "branch_id"))
+
+
+def _merged(m):
+    k, at = F.col("person_id").cast("long"), F.col("person_id") % 50
+    gender = F.when(k % 5 == 0, None).when(k % 3 != 1, "unknown").otherwise(F.col("gender"))
+    persons = m.persons.select(k.alias("person_id"), F.when(k % 4 == 0, "").otherwise(F.col("name")).alias("name"), gender.alias("gender"), "birth_year", F.when(k % 2 == 0, F.col("generation")).alias("generation"))
+    chain = persons.where(at.between(7, 9)).select(k.alias("secondary"), (k - 1).alias("primary"), F.lit(0).alias("ord"))
+    star = persons.where(at.between(20, 24)).select(k.alias("secondary"), (k - at + 19).alias("primary"), (-at).cast("int").alias("ord"))
+    text = lambda letter, n: F.concat(F.lit(letter), F.col(n).cast("string"))
+    parents = m.parent_of.where("src <> dst").select(F.lit("parent_child").alias("type"), "src", "dst", text("p", "dst").alias("rel_id"), F.when(F.col("dst") % 3 == 0, text("day ", "dst")).alias("marriage_date"))
+    spouses = m.spouse_of.select(F.lit("spouse").alias("type"), "src", "dst", text("s", "src").alias("rel_id"), F.when(F.col("src") % 3 == 1, text("day ", "src")).alias("marriage_date"))
+    none = m.spark.createDataFrame([], "person_id long, doc_id long")
+    return merge.merge_people(Graph(persons, parents.unionByName(spouses), m.belongs_to, m.in_branch, none), chain.unionByName(star))
 
 
 @query("grf23_without_isolated", """SELECT person_id, name FROM v_persons WHERE (person_id IN (SELECT src FROM v_spouse_of UNION SELECT dst FROM v_spouse_of) AND name NOT IN ('Customer#000000001', 'Customer#1')) OR person_id = 3""")
