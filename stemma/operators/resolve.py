@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..plans.cut import cut
 from .dictionary import occurrences
+from .greedy import batched
 from .readings import fitted, no_readings, readings_of
 
 
@@ -46,28 +47,6 @@ def folded(df: DataFrame, keys: list[str], order: list[str], schema: str, begin:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def packed(items: DataFrame, keys: list[str], order: str, cost: str, most_items: int | None, most_cost: int) -> DataFrame:
-    """items with the number of the batch they fall into: in order, a batch ends before it has too many items or costs too much.
-
-    Where a batch ends depends on all before it, so each group of keys is folded in order, by itself.
-    """
-    at = items.columns.index(cost)
-
-    def begin(key: tuple):
-        batch, n, size = 0, 0, 0
-
-        def step(row: tuple) -> Iterator[tuple]:
-            nonlocal batch, n, size
-            if n and (most_items is not None and n + 1 > most_items or size + row[at] > most_cost):
-                batch, n, size = batch + 1, 0, 0
-            n, size = n + 1, size + row[at]
-            yield (*row, batch)
-
-        return step, tuple
-
-    return folded(items, keys, [order], ", ".join(f"{c} {t}" for c, t in items.dtypes) + ", batch int", begin)
-
-
 def adjudicated(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Clusters (key, n) with verdicts (key, same, keep_index, confidence): missing ones default to the same person, index 0, confidence 0."""
     out = clusters.join(verdicts, "key", "left")
@@ -205,49 +184,6 @@ def rendered(persons: Column, content: Column, notes: Column) -> Column:
     return F.concat_ws("\n", F.nullif(who, F.lit("")), F.nullif(body, F.lit("")), F.nullif(F.substring(F.coalesce(notes, F.lit("")), 1, 80), F.lit("")))
 
 
-def chunked(pages: DataFrame, budget: int = 2000, overlap: int = 2) -> DataFrame:
-    """(task_id, chunk, first, last): pages (task_id, page_no, size) in chunks of at most budget characters.
-
-    A chunk begins `overlap` pages before the last one's end, unless that chunk had no more pages than
-    that: every chunk begins after the one before it. A page over the budget is a chunk by itself. Each
-    volume is folded alone, over page numbers and sizes only.
-    """
-
-    def begin(key: tuple):
-        held: list[tuple[int, int]] = []  # pages and sizes of the chunk so far
-        chunk, total = 0, 0
-
-        def close() -> tuple:
-            nonlocal chunk, total
-            out = (key[0], chunk, held[0][0], held[-1][0])
-            chunk += 1
-            del held[: len(held) - overlap if len(held) > overlap else len(held)]
-            total = sum(x[1] for x in held)
-            return out
-
-        def step(row: tuple) -> Iterator[tuple]:
-            nonlocal total
-            waiting = [(row[1], row[2])]
-            while waiting:
-                if not held or total + waiting[0][1] <= budget:
-                    held.append(waiting.pop(0))
-                    total += held[-1][1]
-                    continue
-                yield close()
-                # pages that the next chunk shares with this one are put again one by one: they may be too much together
-                waiting[:0] = held
-                held.clear()
-                total = 0
-
-        def end() -> Iterator[tuple]:
-            if held:
-                yield close()
-
-        return step, end
-
-    return folded(pages.select("task_id", "page_no", "size"), ["task_id"], ["page_no"], "task_id long, chunk int, first long, last long", begin)
-
-
 def consolidated_people(rows: DataFrame) -> DataFrame:
     """One row for each name of a task, from (task_id, page_no, name, gender, birth_year, birth_place, confidence).
 
@@ -338,7 +274,7 @@ def disambiguation_batches(people: DataFrame, least: int = 200, most_chars: int
     """(task_id, number, brief, batch) of people (task_id, number, brief): lines of a volume in batches of at most so many characters; volumes of fewer than `least` people are left out."""
     large = people.groupBy("task_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("task_id")
     rows = people.join(large, "task_id", "left_semi").select("task_id", "number", "brief", F.length("brief").cast("long").alias("chars"))
-    return packed(rows, ["task_id"], "number", "chars", None, most_chars).drop("chars")
+    return batched(rows, ["task_id"], ["number"], "chars", None, most_chars).drop("chars")
 
 
 def sure_verdicts(verdicts: DataFrame, counts: DataFrame, least: float = 0.9) -> DataFrame:

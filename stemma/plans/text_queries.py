@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import graph as G
+from ..operators import greedy as Y
 from ..operators import records as R
 from ..operators import resolve as S
 from ..operators import retrieve as T
@@ -207,7 +208,7 @@ SELECT branch_id, key, batch FROM f WHERE r > 0""")
 def res06(m):
     """Clusters of a branch, the keeper's, are batched together."""
     c = S.duplicate_clusters(m.dup_persons).select((F.col("keeper") % 25).alias("branch_id"), "key", "keeper", (F.length("key") * F.col("n")).cast("long").alias("cost"))
-    return S.packed(c, ["branch_id"], "keeper", "cost", 12, 6000).select("branch_id", "key", F.col("batch").cast("long").alias("batch"))
+    return Y.batched(c, ["branch_id"], ["keeper"], "cost", 12, 6000).select("branch_id", "key", F.col("batch").cast("long").alias("batch"))
 
 
 @query("res07_adjudication", "WITH c AS (SELECT lower(replace(name, ' ', '')) AS key, min(person_id) AS keeper, count(*) AS n FROM v_dup_persons GROUP BY 1 HAVING count(*) >= 2) SELECT key, keeper % 2 = 0 OR keeper % 3 = 0 AS same, CASE WHEN keeper % 2 = 0 OR keeper % 7 >= n THEN 0 ELSE keeper % 7 END AS keep_index FROM c")
@@ -251,7 +252,7 @@ e AS (SELECT a.task_id, a.r AS b, greatest(a.r, coalesce(max(z.r) FILTER (z.tota
 f AS (SELECT task_id, CAST(0 AS BIGINT) AS chunk, b, e, n FROM e WHERE b = 1 UNION ALL SELECT e.task_id, chunk + 1, e.b, e.e, e.n FROM f JOIN e ON e.task_id = f.task_id AND e.b = CASE WHEN f.e - f.b + 1 > 2 THEN f.e - 1 ELSE f.e + 1 END WHERE f.e < f.n)
 SELECT f.task_id, chunk, x.page_no AS first, y.page_no AS last FROM f JOIN c x ON x.task_id = f.task_id AND x.r = f.b JOIN c y ON y.task_id = f.task_id AND y.r = f.e""")
 def con02(m):
-    return S.chunked(m.pages.select("task_id", F.col("page_no").cast("long").alias("page_no"), F.col("part_id").alias("size")), budget=2500).withColumn("chunk", F.col("chunk").cast("long"))
+    return Y.chunked(m.pages.select("task_id", F.col("page_no").cast("long").alias("page_no"), F.col("part_id").alias("size")), budget=2500).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 @query("con04_consolidated", f"WITH {_PEOPLE} SELECT task_id, replace(name, ' ', '') AS key, coalesce(arg_min(CASE person_id % 3 WHEN 0 THEN 'male' ELSE 'female' END, page_no) FILTER (person_id % 3 <> 1), 'unknown') AS gender, max(conf) AS confidence, count(*) AS n FROM p GROUP BY ALL")

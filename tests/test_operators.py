@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions import names as N
 from stemma.operators import graph as G
+from stemma.operators import greedy as Y
 from stemma.operators import maintenance as M
 from stemma.operators import readings as L
 from stemma.operators import records as R
@@ -66,7 +67,7 @@ def test_chunks_cover_and_move_on(spark):
     on_workers(spark)
     r = random.Random(5)
     rows = [(t, p, r.choice((10, 300, 900, 2500))) for t in range(12) for p in range(1, r.randint(2, 40))]
-    got = S.chunked(spark.createDataFrame(rows, "task_id long, page_no long, size long")).toPandas()
+    got = Y.chunked(spark.createDataFrame(rows, "task_id long, page_no long, size long")).toPandas()
     for t, g in got.groupby("task_id"):
         pages = {p: s for k, p, s in rows if k == t}
         g = g.sort_values("chunk")
@@ -80,7 +81,7 @@ def test_chunks_cover_and_move_on(spark):
 def test_batches(spark):
     on_workers(spark)
     rows = [(1, i, c) for i, c in enumerate([5000, 2000, 1, 1, 7000, 3])] + [(2, i, 1) for i in range(30)]
-    got = S.packed(spark.createDataFrame(rows, "job long, ord long, cost long"), ["job"], "ord", "cost", 12, 6000).toPandas().sort_values(["job", "ord"])
+    got = Y.batched(spark.createDataFrame(rows, "job long, ord long, cost long"), ["job"], ["ord"], "cost", 12, 6000).toPandas().sort_values(["job", "ord"])
     assert got[got.job == 1]["batch"].tolist() == [0, 1, 1, 1, 2, 3]
     assert got[got.job == 2]["batch"].tolist() == [i // 12 for i in range(30)]
 
