@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..plans.cut import cut
 from .dictionary import occurrences
-from .greedy import batched
+from .greedy import batched, folded
 from .readings import fitted, no_readings, readings_of
 
 
@@ -21,32 +21,6 @@ def duplicate_clusters(persons: DataFrame) -> DataFrame:
     return persons.withColumn("key", key).where("key <> ''").groupBy("key").agg(F.min("person_id").alias("keeper"), F.array_sort(F.collect_list("person_id")).alias("members"), F.count("*").alias("n")).where("n >= 2")
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], schema: str, begin: Callable[[tuple], tuple[Callable[[tuple], Iterable[tuple]], Callable[[], Iterable[tuple]]]]) -> DataFrame:
-    """What a fold makes of each group's rows in order: begin(key) gives step(row) and end(), which yield rows of schema.
-
-    Groups are dealt out by key and read in order, many to a batch; rows pass by one at a time.
-    """
-    names = df.columns
-    at = [names.index(k) for k in keys]
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, step, end = None, None, tuple
-        for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(b[c].tolist() for c in names), strict=True):
-                k = tuple(row[i] for i in at)
-                if k != key:
-                    out += end()
-                    key = k
-                    step, end = begin(k)
-                out += step(row)
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(list(end()), columns=columns)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 def adjudicated(clusters: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Clusters (key, n) with verdicts (key, same, keep_index, confidence): missing ones default to the same person, index 0, confidence 0."""
     out = clusters.join(verdicts, "key", "left")

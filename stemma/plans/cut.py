@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,24 @@ def _own_folder(master: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from the reliable checkpoint folder: the cluster's, or in a local session one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
+    """df written as a table below the reliable checkpoint folder and read again: a plan that begins anew.
+
+    Unlike a checkpoint, which makes its rows twice, a table is written once, and what follows reads only
+    the columns it needs. The folder is the cluster's (`spark.checkpoint.dir`), or in a local session one
+    of our own where none is set. Tables are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or _own_folder(sc.master))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, sc, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(sc, path: str) -> None:
+    if sc._jsc is not None:  # else the session has ended before, and its folders are the cluster's to clear
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -37,8 +37,9 @@ def groups():
     return out | {100: [r.choice((0, 50, 400, 1999)) for _ in range(3000)], 101: [0] * 40, 102: [5000], 103: [700] * 30}
 
 
-@pytest.mark.parametrize("most_items,most_cost", [(12, 6000), (None, 2000), (1, 100), (3, 1)])
-def test_batches(spark, groups, most_items, most_cost):
+@pytest.mark.parametrize("most_items,most_cost,small", [(12, 6000, 0), (None, 2000, 45), (3, 1, 0), (12, 6000, 10**6)])
+def test_batches(spark, groups, most_items, most_cost, small, monkeypatch):
+    monkeypatch.setattr(Y, "SMALL", small)
     rows = [(t, i, None if c == 0 and i % 2 else c, "x") for t, v in groups.items() for i, c in enumerate(v)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "job long, ord long, cost long, end string").repartition(5)
@@ -49,8 +50,9 @@ def test_batches(spark, groups, most_items, most_cost):
     assert {t: [b for _, b in sorted(v.items())] for t, v in got.items()} == {t: batches(v, most_items, most_cost) for t, v in groups.items()}
 
 
-@pytest.mark.parametrize("budget,overlap", [(2000, 2), (2500, 0), (300, 5)])
-def test_chunks(spark, groups, budget, overlap):
+@pytest.mark.parametrize("budget,overlap,small", [(2000, 2, 0), (300, 5, 45), (2000, 2, 10**6)])
+def test_chunks(spark, groups, budget, overlap, small, monkeypatch):
+    monkeypatch.setattr(Y, "SMALL", small)
     df = spark.createDataFrame([(t, 3 * i, c, 1) for t, v in groups.items() for i, c in enumerate(v)], "task_id long, page_no long, size long, n int").repartition(5)
     got = {}
     for r in Y.chunked(df, budget, overlap).collect():
