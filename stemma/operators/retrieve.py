@@ -209,11 +209,53 @@ def intent(question: Column, table: dict[str, list[str]] = INTENTS) -> Column:
     return out
 
 
-def answer(people: Column, most: int = 20) -> Column:
-    """Names with years, `most` at most, and how many more there are."""
-    one = lambda p: F.concat(p["name"], F.when(p["birth_year"].isNotNull() | p["death_year"].isNotNull(), F.concat(F.lit("（"), F.coalesce(p["birth_year"].cast("string"), F.lit("?")), F.lit(" — "), F.coalesce(p["death_year"].cast("string"), F.lit("?")), F.lit("）"))).otherwise(""))
-    shown = F.array_join(F.transform(F.slice(people, 1, most), one), "、")
-    return F.concat(shown, F.when(F.size(people) > most, F.concat(F.lit(" … +"), (F.size(people) - most).cast("string"))).otherwise(""))
+# What is asked for, by intent, and how answers are worded.
+LABELS = {
+    "father": "父亲", "mother": "母亲", "parents": "父母", "grandfather": "祖父", "grandmother": "祖母", "son": "儿子", "daughter": "女儿", "children": "子女", "brother": "兄弟", "sister": "姐妹", "sibling": "兄弟姐妹",
+    "spouse": "配偶", "husband": "丈夫", "wife": "妻子", "ancestor": "祖先", "descendant": "后代", "birthplace": "出生地", "lifetime": "生卒年", "biography": "简介", "generation": "世代",
+}
+OTHER_LABEL = "相关人物"
+NOT_RECORDED = "暂未记录该信息。"
+NOT_FOUND = "抱歉，未查询到 {} 的{}信息。"
+FOUND = "{}的{}：{}"
+MORE = " 等 {} 人"
+
+
+def _worded(pattern: str, *values: Column) -> Column:
+    parts = pattern.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))))
+
+
+def answer(asked: Column, name: Column, people: Column, told: Column | None = None, most: int = 20) -> Column:
+    """The answer to a question of an intent about a person: people with their years (unknown or 0: ?), `most` at most and how many there are.
+
+    Intents that ask for an attribute get what is told, or that it is not recorded; nobody found is said too.
+    """
+    label = F.lit(OTHER_LABEL)
+    for k, v in LABELS.items():
+        label = F.when(asked == k, v).otherwise(label)
+    year = lambda c: F.coalesce(F.nullif(c, F.lit(0)).cast("string"), F.lit("?"))
+    one = lambda p: F.concat(p["name"], F.lit("（"), year(p["birth_year"]), F.lit(" — "), year(p["death_year"]), F.lit("）"))
+    n = F.coalesce(F.array_size(people), F.lit(0))
+    shown = F.concat(F.array_join(F.transform(F.slice(people, 1, most), one), "、"), F.when(n > most, _worded(MORE, n.cast("string"))).otherwise(""))
+    related = F.when(n == 0, _worded(NOT_FOUND, name, label)).otherwise(_worded(FOUND, name, label, shown))
+    attribute = F.coalesce(told, F.lit(NOT_RECORDED)) if told is not None else F.lit(NOT_RECORDED)
+    return F.when(F.coalesce(asked.isin("birthplace", "lifetime", "biography", "generation"), F.lit(False)), attribute).otherwise(related)
+
+
+def question_trees(found: DataFrame, edges: dict[str, DataFrame]) -> DataFrame:
+    """(question_id, type, src, dst): of each question the edges between the person asked for and the people found.
+
+    found has (question_id, person_id, relative_id); questions that found nobody have no edges. All
+    questions are answered by two joins with each edge table.
+    """
+    nodes = found.select("question_id", F.col("person_id").alias("node")).unionByName(found.select("question_id", F.col("relative_id").alias("node"))).where("node is not null").distinct()
+    out = None
+    for kind, e in edges.items():
+        own = e.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src")
+        own = own.join(nodes.withColumnRenamed("node", "dst"), ["question_id", "dst"], "left_semi").select("question_id", F.lit(kind).alias("type"), "src", "dst")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def introduction(people: DataFrame, materials: DataFrame, found: DataFrame) -> DataFrame:

@@ -61,11 +61,18 @@ def nrm07_kept(m):
     return rows.select("user_id", F.size(R.without_fragments(F.col("p"))).cast("long").alias("n"))
 
 
-@query("nrm09_notes", """WITH d AS (SELECT user_id, name, min(id) AS first FROM (SELECT user_id, id, concat('n', CAST(id % 9 AS VARCHAR)) AS name FROM v_audit) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS r FROM d)
-SELECT user_id, concat(CASE WHEN user_id % 2 = 0 THEN 'seen；' ELSE '' END, string_agg(name, '、' ORDER BY first) FILTER (r <= 6)) AS notes FROM r GROUP BY 1""")
+@query("nrm09_notes", """WITH d AS (SELECT user_id, name, min(id) AS first FROM (SELECT user_id, id, concat('n', CAST(id % 9 AS VARCHAR)) AS name FROM v_audit WHERE user_id % 5 <> 4) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS r FROM d),
+f AS (SELECT user_id, concat('残句照录：', string_agg(name, '；' ORDER BY first)) AS mark FROM r WHERE r <= 6 GROUP BY 1),
+u AS (SELECT DISTINCT v.user_id, mark, CASE v.user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' seen ' WHEN 2 THEN 'x 疑为补位' ELSE concat('y', coalesce(mark, '')) END AS old FROM v_audit v LEFT JOIN f ON f.user_id = v.user_id),
+m AS (SELECT user_id, coalesce(old, '') AS old, list_filter([CASE WHEN user_id % 3 = 0 THEN '疑为补位' END, mark], lambda x: x IS NOT NULL AND NOT contains(coalesce(old, ''), x)) AS marks FROM u)
+SELECT user_id, CASE WHEN len(marks) = 0 THEN old ELSE concat(old, CASE WHEN old <> '' THEN '；' ELSE '' END, array_to_string(marks, '；')) END AS notes FROM m""")
 def nrm09(m):
-    rows = m.audit.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("id")), lambda i: F.concat(F.lit("n"), (i % 9).cast("string"))).alias("names"))
-    return rows.select("user_id", R.noted(F.when(F.col("user_id") % 2 == 0, " seen "), F.col("names")).alias("notes"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("user_id") % 5 != 4, F.col("id")))), lambda i: F.concat(F.lit("n"), (i % 9).cast("string")))
+    rows = m.audit.groupBy("user_id").agg(names.alias("names"))
+    user = F.col("user_id")
+    mark = F.concat(F.lit(R.VERBATIM), F.array_join(F.slice(F.array_distinct("names"), 1, 6), "；"))
+    old = F.when(user % 4 == 0, None).when(user % 4 == 1, " seen ").when(user % 4 == 2, "x " + R.FILLED_IN).otherwise(F.concat(F.lit("y"), F.when(F.size("names") > 0, mark).otherwise("")))
+    return rows.select("user_id", R.noted(old, F.col("names"), user % 3 == 0).alias("notes"))
 
 
 @query("geo02_columns_in_band", """WITH i AS (SELECT l_orderkey % 500 AS band, l_partkey % 400 AS x, max(l_tax * 2) AS cover FROM lineitem GROUP BY 1, 2 HAVING max(l_tax * 2) > 0.10), g AS (SELECT *, sum(CASE WHEN x - b > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY band ORDER BY x) AS part FROM (SELECT *, lag(x) OVER (PARTITION BY band ORDER BY x) AS b FROM i))

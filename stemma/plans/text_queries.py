@@ -61,9 +61,16 @@ def nrm06(m):
     return rows.select("task_id", "page_no", F.col("a")[0]["confidence"].alias("confidence"))
 
 
-@query("nrm08_paragraphs", "SELECT entry_id, array_to_string(list_transform(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 3), lambda x: substring(x, 1, 50)), '|') AS paragraphs FROM v_entries")
+_ENDS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(12288)"
+
+
+@query("nrm08_paragraphs", f"""WITH t AS (SELECT entry_id, list_transform(string_split(text, chr(10)), lambda x: CASE entry_id % 3 WHEN 0 THEN concat(chr(12288), x, ' ', chr(13)) WHEN 1 THEN concat(chr(9), chr(160), x) ELSE x END) AS parts FROM v_entries)
+SELECT entry_id, array_to_string(list_transform(list_slice(list_filter(list_transform(list_append(list_prepend(concat(chr(13), chr(12288)), parts), ' '), lambda x: trim(x, {_ENDS})), lambda x: x <> ''), 1, 30), lambda x: substring(x, 1, 50)), '|') AS paragraphs FROM t""")
 def nrm08(m):
-    return m.entries.select("entry_id", F.array_join(R.paragraphs(F.split("text", "\n"), 3, 50), "|").alias("paragraphs"))
+    wide, k = chr(0x3000), F.col("entry_id") % 3
+    dressed = F.transform(F.split("text", "\n"), lambda x: F.when(k == 0, F.concat(F.lit(wide), x, F.lit(" \r"))).when(k == 1, F.concat(F.lit("\t" + chr(160)), x)).otherwise(x))
+    parts = F.concat(F.array(F.lit("\r" + wide)), dressed, F.array(F.lit(" ")))
+    return m.entries.select("entry_id", F.array_join(R.paragraphs(parts, 30, 50), "|").alias("paragraphs"))
 
 
 @query("nrm10_page_kind", "SELECT entry_id, CASE WHEN contains(substring(text, 1, 20), 'the') THEN 'the-page' WHEN contains(substring(text, 1, 20), 'of') THEN 'of-page' ELSE 'other' END AS kind FROM v_entries")
@@ -116,16 +123,29 @@ def nrm17(m):
     return m.pages.where(R.illustration_candidate(F.col("part_id"), F.col("failed"), F.col("person_id") % 2 == 0, F.lit(None).cast("boolean"))).select("task_id", F.col("page_no").cast("long").alias("page_no"))
 
 
-@query("nrm18_illustrations", "SELECT entry_id, least(4, entry_id % 7) AS n FROM v_entries")
+@query("nrm18_illustrations", f"""WITH i AS (SELECT entry_id, title, text, unnest(range(entry_id % 7)) AS k FROM v_entries),
+c AS (SELECT entry_id, k, left(trim(CASE WHEN k % 2 = 0 THEN concat(chr(12288), title, chr(10)) ELSE ' ' END, {_ENDS}), 40) AS title, left(trim(CASE WHEN k % 3 = 1 THEN chr(13) ELSE concat(' ', text, chr(12288)) END, {_ENDS}), 500) AS body FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY k) AS r FROM c WHERE title <> '' OR body <> '')
+SELECT e.entry_id, coalesce(string_agg(concat(r.title, '/', r.body), '|' ORDER BY r.k) FILTER (r.r <= 4), '') AS shown FROM v_entries e LEFT JOIN r ON r.entry_id = e.entry_id GROUP BY 1""")
 def nrm18(m):
-    items = F.concat(F.array_repeat(F.struct(F.lit(" a ").alias("title"), F.col("text")), (F.col("entry_id") % 7).cast("int")), F.array(F.struct(F.lit("  ").alias("title"), F.lit(None).cast("string").alias("text"))))
-    return m.entries.select("entry_id", F.size(R.illustrations(items)).cast("long").alias("n"))
-
-
-@query("nrm19_blank_cells", "SELECT id, id % 4 IN (0, 3) AS blank FROM v_audit")
+    wide = chr(0x3000)
+    item = lambda k: F.struct(F.when(k % 2 == 0, F.concat(F.lit(wide), "title", F.lit("\n"))).otherwise(" ").alias("title"), F.when(k % 3 == 1, "\r").otherwise(F.concat(F.lit(" "), "text", F.lit(wide))).alias("text"))
+    n = (F.col("entry_id") % 7).cast("int")
+    items = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), item))
+    shown = F.array_join(F.transform(R.illustrations(items), lambda x: F.concat(x["title"], F.lit("/"), x["text"])), "|")
+    return m.entries.select("entry_id", F.coalesce(shown, F.lit("")).alias("shown"))
+
+
+@query("nrm19_blank_cells", f"""WITH t AS (SELECT entry_id, left(text, 1 + entry_id % 40) AS s, entry_id % 8 AS k FROM v_entries),
+c AS (SELECT entry_id, CASE k WHEN 0 THEN concat(' ', repeat('□', CAST(entry_id % 60 AS INT)), s) WHEN 1 THEN concat(repeat('□ ', CAST(entry_id % 50 AS INT)), s) WHEN 2 THEN concat('[', s) WHEN 3 THEN concat('```', s) WHEN 4 THEN concat(chr(12288), '{{', s) WHEN 5 THEN NULL ELSE concat(s, chr(12288)) END AS raw, CASE WHEN k = 7 THEN concat(' ', s) WHEN k = 4 AND entry_id % 3 = 0 THEN '□ □' END AS parsed FROM t),
+r AS (SELECT entry_id, coalesce(trim(parsed, {_ENDS}), CASE WHEN starts_with(trim(raw, {_ENDS}), '```') OR left(trim(raw, {_ENDS}), 1) IN ('[', '{{') THEN '' ELSE trim(coalesce(raw, ''), {_ENDS}) END) AS x FROM c)
+SELECT entry_id, CASE WHEN trim(replace(x, '□', ''), {_ENDS}) = '' OR length(x) - length(replace(x, '□', '')) > 0.6 * length(x) THEN '' ELSE x END AS cell FROM r""")
 def nrm19(m):
-    text = F.when(F.col("id") % 4 == 0, " □ ").when(F.col("id") % 4 == 1, "□abc").when(F.col("id") % 4 == 2, "□□□ab").otherwise('{"cell": "')
-    return m.audit.select("id", R.blank_cell(text).alias("blank"))
+    k, i, s, wide = F.col("entry_id") % 8, F.col("entry_id"), F.expr("left(text, 1 + entry_id % 40)"), F.lit(chr(0x3000))
+    many = lambda mark, n: F.repeat(F.lit(mark), (i % n).cast("int"))
+    raw = F.when(k == 0, F.concat(F.lit(" "), many(R.BLANK, 60), s)).when(k == 1, F.concat(many(R.BLANK + " ", 50), s)).when(k == 2, F.concat(F.lit("["), s)).when(k == 3, F.concat(F.lit("```"), s)).when(k == 4, F.concat(wide, F.lit("{"), s)).when(k == 5, None).otherwise(F.concat(s, wide))
+    parsed = F.when(k == 7, F.concat(F.lit(" "), s)).when((k == 4) & (i % 3 == 0), f"{R.BLANK} {R.BLANK}")
+    return m.entries.select("entry_id", R.cell_text(raw, parsed).alias("cell"))
 
 
 @query("nrm20_stale_pages", "SELECT task_id, page_no FROM v_pages WHERE person_id % 2 = 0")
@@ -241,10 +261,15 @@ def res13(m):
     return S.matched(new, m.persons.withColumn("created_at", F.col("person_id")), ["birth_place"]).select("person_id", "name", "state")
 
 
-@query("con01_rendered", f"WITH {_PEOPLE} SELECT task_id, page_no, concat(name, CASE person_id % 3 WHEN 0 THEN ' male' WHEN 1 THEN '' ELSE ' female' END, CASE WHEN digits THEN concat(' born ', CAST(birth_year AS VARCHAR)) ELSE '' END, chr(10), 'abc', chr(10), 'note') AS text FROM p")
+@query("con01_rendered", f"""WITH {_PEOPLE}, b AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 8) AS parts FROM documents),
+c AS (SELECT doc_id, coalesce(string_agg(concat('谱文(', CAST(k AS VARCHAR), '):', left(t, 300)), chr(10) ORDER BY k), '') AS body FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, trim(unnest(parts), {_ENDS}) AS t, generate_subscripts(parts, 1) AS i FROM b) WHERE t <> '') GROUP BY 1)
+SELECT task_id, page_no, concat_ws(chr(10), concat('第', CAST(page_no AS VARCHAR), '页'), concat('人物:', concat_ws('、', name, CASE person_id % 3 WHEN 0 THEN '男' WHEN 2 THEN '女' END, concat('生', CAST(birth_year AS VARCHAR)), concat('卒', CAST(birth_year + 60 AS VARCHAR)), CASE WHEN page_no % 2 = 0 THEN '籍here' END, CASE WHEN digits THEN concat('迹:born ', CAST(birth_year AS VARCHAR)) END)),
+ nullif(c.body, ''), CASE WHEN task_id % 3 <> 0 THEN concat('备注:', left(repeat('note ', 20), 80)) END) AS text FROM p LEFT JOIN c ON c.doc_id = task_id % 100""")
 def con01(m):
-    rows = _people(m).withColumn("persons", R.people(F.col("persons")))
-    return rows.select("task_id", "page_no", S.rendered(F.col("persons"), F.array(F.lit("abc")), F.lit("note")).alias("text"))
+    docs = m.table("documents").select((F.col("doc_id")).alias("doc"), F.split("text", "\n").alias("content"))
+    rows = _people(m).withColumn("persons", R.people(F.col("persons"))).withColumn("doc", F.col("task_id") % 100).join(docs, "doc", "left")
+    notes = F.when(F.col("task_id") % 3 != 0, F.repeat(F.lit("note "), F.lit(20))).otherwise("")
+    return rows.select("task_id", "page_no", S.rendered(F.col("page_no"), F.col("persons"), F.col("content"), notes).alias("text"))
 
 
 @query("con02_chunks", """WITH RECURSIVE c AS (SELECT task_id, page_no, part_id AS size, row_number() OVER w AS r, sum(part_id) OVER w AS total, count(*) OVER (PARTITION BY task_id) AS n FROM v_pages WINDOW w AS (PARTITION BY task_id ORDER BY page_no)),
@@ -420,11 +445,21 @@ def qa01(m):
     return m.audit.select("id", T.intent(q, {"who": ["who"], "where": ["where", "place"]}).alias("intent"))
 
 
-@query("qa03_answers", """WITH r AS (SELECT branch_name, name, birth_year, row_number() OVER (PARTITION BY branch_name ORDER BY name, birth_year) AS r, count(*) OVER (PARTITION BY branch_name) AS n FROM v_dup_persons)
-SELECT branch_name, concat(string_agg(concat(name, '（', CAST(birth_year AS VARCHAR), ' — ?）'), '、' ORDER BY r) FILTER (r <= 20), CASE WHEN any_value(n) > 20 THEN concat(' … +', CAST(any_value(n) - 20 AS VARCHAR)) ELSE '' END) AS answer FROM r GROUP BY 1""")
+_ASKED_FOR = ["father", "children", "ancestor", "lifetime", "other"]
+
+
+@query("qa03_answers", f"""WITH b AS (SELECT DISTINCT branch_name, CAST(substring(branch_name, 7) AS BIGINT) % 5 AS k FROM v_dup_persons),
+r AS (SELECT branch_name, name, CASE WHEN person_id % 3 = 0 THEN NULL WHEN person_id % 3 = 1 THEN 0 ELSE birth_year END AS y, person_id, row_number() OVER (PARTITION BY branch_name ORDER BY person_id) AS r, count(*) OVER (PARTITION BY branch_name) AS n FROM v_dup_persons WHERE person_id % 20 <> 3 AND substring(branch_name, 7, 1) <> '2'),
+t AS (SELECT branch_name, concat(string_agg(concat(name, '（', CASE WHEN coalesce(y, 0) = 0 THEN '?' ELSE CAST(y AS VARCHAR) END, ' — ', CAST(person_id + 1 AS VARCHAR), '）'), '、' ORDER BY r) FILTER (r <= 20), CASE WHEN any_value(n) > 20 THEN concat(' 等 ', CAST(any_value(n) AS VARCHAR), ' 人') ELSE '' END) AS names FROM r GROUP BY 1)
+SELECT b.branch_name, CASE WHEN k = 3 THEN coalesce(CASE WHEN length(b.branch_name) % 2 = 0 THEN 'told' END, '暂未记录该信息。') WHEN names IS NULL THEN concat('抱歉，未查询到 ', b.branch_name, ' 的', ['父亲', '子女', '祖先', '', '相关人物'][CAST(k + 1 AS BIGINT)], '信息。') ELSE concat(b.branch_name, '的', ['父亲', '子女', '祖先', '', '相关人物'][CAST(k + 1 AS BIGINT)], '：', names) END AS answer FROM b LEFT JOIN t ON t.branch_name = b.branch_name""")
 def qa03(m):
-    p = m.dup_persons.groupBy("branch_name").agg(F.array_sort(F.collect_list(F.struct("name", "birth_year", F.lit(None).cast("int").alias("death_year")))).alias("p"))
-    return p.select("branch_name", T.answer(F.col("p")).alias("answer"))
+    p = m.dup_persons.withColumn("shown", (F.col("person_id") % 20 != 3) & (F.substring("branch_name", 7, 1) != "2"))
+    year = F.when(F.col("person_id") % 3 == 0, None).when(F.col("person_id") % 3 == 1, 0).otherwise(F.col("birth_year")).cast("int")
+    one = F.when(F.col("shown"), F.struct("person_id", "name", year.alias("birth_year"), (F.col("person_id") + 1).cast("int").alias("death_year")))
+    rows = p.groupBy("branch_name").agg(F.array_sort(F.collect_list(one)).alias("people"))
+    k = F.expr("substring(branch_name, 7)").cast("long") % 5
+    asked = F.element_at(F.array(*map(F.lit, _ASKED_FOR)), (k + 1).cast("int"))
+    return rows.select("branch_name", T.answer(asked, F.col("branch_name"), F.col("people"), F.when(F.length("branch_name") % 2 == 0, "told")).alias("answer"))
 
 
 @query("qa04_question_to_people", "SELECT DISTINCT p.person_id AS question_id, e.src AS relative_id FROM v_persons p JOIN v_parent_of e ON e.dst = p.person_id JOIN v_persons f ON f.person_id = e.src WHERE f.gender = 'male'")
@@ -432,3 +467,15 @@ def qa04(m):
     q = m.persons.select(F.col("person_id").alias("question_id"), F.concat("name", F.lit(" 的父亲是谁")).alias("question"))
     asked = S.mentioned(q.where(T.intent(F.col("question")) == "father"), m.persons)
     return asked.join(G.relatives(m.parent_of, m.spouse_of, m.persons, "father"), "person_id").select("question_id", "relative_id")
+
+
+@query("qa04_trees", """WITH f AS (SELECT DISTINCT p.person_id AS question_id, e.dst AS relative_id FROM v_persons p JOIN v_parent_of e ON e.src = p.person_id JOIN v_persons c ON c.person_id = e.dst WHERE p.person_id % 2 = 0),
+n AS (SELECT question_id, question_id AS node FROM f UNION SELECT question_id, relative_id FROM f)
+SELECT DISTINCT a.question_id, 'parent_of' AS type, e.src, e.dst FROM v_parent_of e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst AND b.question_id = a.question_id
+UNION ALL SELECT DISTINCT a.question_id, 'spouse_of', e.src, e.dst FROM v_spouse_of e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst AND b.question_id = a.question_id""")
+def qa04_trees(m):
+    """Every second person asks for the children; one mention of the name in each question."""
+    q = m.persons.where("person_id % 2 = 0").select(F.col("person_id").alias("question_id"), F.concat(F.lit("请问 "), "name", F.lit(" 的子女")).alias("question"))
+    asked = S.mentioned(q.where(T.intent(F.col("question")) == "children"), m.persons).select("question_id", "person_id")
+    found = asked.join(G.relatives(m.parent_of, m.spouse_of, m.persons, "children"), "person_id")
+    return T.question_trees(found, {"parent_of": m.parent_of, "spouse_of": m.spouse_of})
