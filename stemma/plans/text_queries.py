@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import graph as G
 from ..operators import greedy as Y
+from ..operators import postings as P
 from ..operators import records as R
 from ..operators import resolve as S
 from ..operators import retrieve as T
@@ -479,3 +480,14 @@ def qa04_trees(m):
     asked = S.mentioned(q.where(T.intent(F.col("question")) == "children"), m.persons).select("question_id", "person_id")
     found = asked.join(G.relatives(m.parent_of, m.spouse_of, m.persons, "children"), "person_id")
     return T.question_trees(found, {"parent_of": m.parent_of, "spouse_of": m.spouse_of})
+
+
+@query("ret02_many_questions", """WITH q AS (SELECT branch_id AS question_id, list_filter([split_part(d.text, ' ', 4), split_part(d.text, ' ', 6), left(split_part(d.text, ' ', 8), 4), 'src1'], lambda x: x <> '') AS tokens FROM v_branches JOIN documents d ON d.doc_id = branch_id * 3),
+h AS (SELECT question_id, entry_id, page_no, CAST(list_sum(list_transform(tokens, lambda t: CASE WHEN contains(title, t) OR contains(type, t) THEN 2 WHEN contains(text, t) THEN 1 ELSE 0 END)) AS BIGINT) AS hits FROM q CROSS JOIN v_entries WHERE status = 'active')
+SELECT question_id, r, entry_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hits DESC, coalesce(page_no, 0), entry_id DESC) AS r FROM h WHERE hits > 0) WHERE r <= 12""")
+def ret02_many(m):
+    part = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    docs = m.table("documents").select(F.col("doc_id"), F.array(part(4), part(6), F.substring(part(8), 1, 4), F.lit("src1")).alias("tokens"))
+    q = m.branches.select(F.col("branch_id").alias("question_id"), (F.col("branch_id") * 3).alias("doc_id")).join(docs, "doc_id").select("question_id", "tokens")
+    found = P.search(m.entries, P.build(m.entries), q)
+    return found.select("question_id", "r", "entry_id", F.col("hits").cast("long").alias("hits"))
