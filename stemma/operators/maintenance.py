@@ -7,10 +7,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def only_from(contributed: DataFrame, task_id: int) -> DataFrame:
-    """person_id of people that task contributed and no other did; contributed has (person_id, task_id)."""
-    mine, others = contributed.where(F.col("task_id") == task_id), contributed.where(F.col("task_id") != task_id)
-    return mine.select("person_id").distinct().join(others.select("person_id"), "person_id", "left_anti")
+def purged(purge: DataFrame, tasks: DataFrame, contributed: DataFrame, entries: DataFrame, vectors: DataFrame, lineages: DataFrame, branches: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """What goes with tasks (task_id) whose results are taken back, all at once: ids of people, entries, vectors, lineages and branches.
+
+    People go if no document of another task contributed them (contributed: person_id, task_id), entries
+    if they are of such a task, vectors with their entry. A lineage that such a task refers to goes, with
+    its branches, if no other task does, none of its entries is left, and nobody who is left is a member
+    (members: person_id, lineage_id, through branches too).
+    """
+    gone = purge.select("task_id").distinct()
+    kept = contributed.join(gone, "task_id", "left_anti").select("person_id").distinct()
+    people = contributed.join(gone, "task_id", "left_semi").select("person_id").distinct().join(kept, "person_id", "left_anti")
+    own = entries.join(gone, "task_id", "left_semi").select("entry_id").distinct()
+    left = entries.join(gone, "task_id", "left_anti")
+    named = tasks.join(gone, "task_id", "left_semi").where("lineage_id is not null").select("lineage_id").distinct()
+    named = named.join(tasks.join(gone, "task_id", "left_anti").select("lineage_id"), "lineage_id", "left_anti")
+    named = named.join(left.select("lineage_id"), "lineage_id", "left_anti")
+    named = named.join(members.join(people, "person_id", "left_anti").select("lineage_id"), "lineage_id", "left_anti")
+    empty = named.join(lineages.select("lineage_id"), "lineage_id", "left_semi")
+    return {
+        "persons": people,
+        "entries": own,
+        "vectors": vectors.join(own, "entry_id", "left_semi").select("entry_id"),
+        "lineages": empty,
+        "branches": branches.join(empty, "lineage_id", "left_semi").select("branch_id"),
+    }
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -28,12 +49,6 @@ def put_settings(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("key", "value").join(last, "key", "full").select("key", F.when(F.col("n").isNotNull(), F.col("n.value")).otherwise(F.col("value")).alias("value"))
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
-    """Edges (src, dst, rel_id) of a kind after adding new ones; ids are made from kind and ends, so reruns agree."""
-    rel = F.substring(F.sha2(F.concat_ws("|", F.lit(kind), F.col("src").cast("string"), F.col("dst").cast("string")), 256), 1, 24)
-    return old.select("src", "dst").unionByName(new.select("src", "dst")).distinct().withColumn("rel_id", rel)
-
-
 def replace_tasks(mirror: DataFrame, fresh: DataFrame) -> DataFrame:
     """Page mirror after rebuilding fresh's tasks: all their old rows go, fresh's come, one for each page."""
     return mirror.join(fresh.select("task_id").distinct(), "task_id", "left_anti").unionByName(fresh.select(*mirror.columns).dropDuplicates(["task_id", "page_no"]))

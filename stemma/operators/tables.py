@@ -52,20 +52,6 @@ def valid_at(as_of: str, revoked: Column, expires_at: Column) -> Column:
     return ~F.coalesce(revoked, F.lit(False)) & (expires_at.isNull() | (expires_at >= F.lit(as_of).cast("timestamp_ntz")))
 
 
-def in_networks(ip: Column, networks: list[str]) -> Column:
-    """Whether an IPv4 address is in one of the networks (a.b.c.d/n); no networks allow all."""
-    if not networks:
-        return F.lit(True)
-    number = lambda c: sum((F.element_at(F.split(c, r"\."), i + 1).cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
-    any_ = F.lit(False)
-    for n in networks:
-        base, _, bits = n.partition("/")
-        a = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(base.split(".")))
-        size = 2 ** (32 - int(bits or 32))
-        any_ = any_ | (number(ip) >= a // size * size) & (number(ip) < a // size * size + size)
-    return F.coalesce(any_, F.lit(False))
-
-
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, the first by order; tasks keep one row for each key before anything is shuffled."""
     rows = F.struct(*df.columns)

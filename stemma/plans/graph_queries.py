@@ -83,6 +83,20 @@ def grf10(m):
     return G.ego_network(m.persons.where("person_id = 5"), m.parent_of, m.spouse_of, 3).select("node", F.col("depth").cast("long").alias("depth"))
 
 
+@query("grf10_all_networks", """WITH RECURSIVE e AS (SELECT src, dst FROM v_parent_of UNION SELECT dst, src FROM v_parent_of UNION SELECT src, dst FROM v_spouse_of UNION SELECT dst, src FROM v_spouse_of),
+r AS (SELECT person_id AS seed, person_id AS node, 0 AS depth FROM v_persons UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT seed, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY seed, node""")
+def grf10_all(m):
+    edges = G.both_ways(m.parent_of.select("src", "dst").unionByName(m.spouse_of.select("src", "dst")))
+    return G.reach_all(m.persons, edges, 3, symmetric=True).select("seed", "node", F.col("depth").cast("long").alias("depth"))
+
+
+@query("grf16_all_descendants", """WITH RECURSIVE r AS (SELECT person_id AS seed, person_id AS node, 0 AS depth FROM v_persons UNION SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN v_parent_of e ON e.src = r.node WHERE r.depth < 10)
+SELECT seed, node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY seed, node HAVING min(depth) > 0""")
+def grf16_all(m):
+    found = G.reach_all(m.persons, m.parent_of.select("src", "dst").distinct(), 10)
+    return found.where("depth > 0").select("seed", "node", F.col("depth").cast("long").alias("depth"))
+
+
 _UP = "SELECT DISTINCT e.dst AS person_id, e.src AS relative_id FROM v_parent_of e WHERE e.dst IN (SELECT person_id FROM v_persons)"
 _SIB = "SELECT DISTINCT a.dst AS person_id, b.dst AS relative_id FROM v_parent_of a JOIN v_parent_of b ON a.src = b.src AND a.dst <> b.dst"
 _WED = "SELECT src AS person_id, dst AS relative_id FROM v_spouse_of UNION SELECT dst, src FROM v_spouse_of"
@@ -135,12 +149,30 @@ def grf20(m):
     return count(scope, "removed").crossJoin(count(nodes, "kept")).crossJoin(count(edges["spouse_of"], "edges")).crossJoin(count(m.entries.where("lineage_id <> 3"), "entries"))
 
 
-@query("grf21_purge_task", """WITH d AS (SELECT DISTINCT part_id + 100000 * (task_id % 50) AS person_id, task_id FROM v_pages) SELECT person_id FROM d WHERE task_id = 7 AND NOT EXISTS (SELECT 1 FROM d o WHERE o.person_id = d.person_id AND o.task_id <> 7)""")
+@query("grf21_purge_tasks", """WITH t AS (SELECT task_id, CASE WHEN task_id % 11 <> 0 THEN task_id % 400 END AS lineage_id FROM v_tasks), g AS (SELECT task_id FROM t WHERE task_id % 400 < 40 OR task_id % 13 = 0),
+c AS (SELECT DISTINCT part_id + 100000 * (task_id % 50) AS person_id, task_id FROM v_pages), e AS (SELECT entry_id, entry_id * 7 AS task_id, entry_id * 7 % 400 AS lineage_id FROM v_entries),
+l AS (SELECT DISTINCT lineage_id FROM t WHERE lineage_id IS NOT NULL AND lineage_id % 9 <> 0), m AS (SELECT person_id, person_id % 17 * 23 AS lineage_id FROM c),
+p AS (SELECT DISTINCT person_id FROM c WHERE task_id IN (SELECT task_id FROM g) AND person_id NOT IN (SELECT person_id FROM c WHERE task_id NOT IN (SELECT task_id FROM g))),
+x AS (SELECT entry_id FROM e WHERE task_id IN (SELECT task_id FROM g)),
+z AS (SELECT lineage_id FROM l WHERE lineage_id IN (SELECT lineage_id FROM t WHERE task_id IN (SELECT task_id FROM g)) AND lineage_id NOT IN (SELECT lineage_id FROM t WHERE lineage_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM g)) AND lineage_id NOT IN (SELECT lineage_id FROM e WHERE task_id NOT IN (SELECT task_id FROM g)) AND lineage_id NOT IN (SELECT lineage_id FROM m WHERE person_id NOT IN (SELECT person_id FROM p)))
+SELECT 'persons' AS kind, person_id AS id FROM p UNION ALL SELECT 'entries', entry_id FROM x UNION ALL SELECT 'vectors', entry_id FROM v_vectors WHERE entry_id IN (SELECT entry_id FROM x) UNION ALL SELECT 'lineages', lineage_id FROM z UNION ALL SELECT 'branches', lineage_id * 10 + k FROM z, range(2) r(k)""")
 def grf21(m):
-    from ..operators.maintenance import only_from
-
-    seen = m.pages.select((F.col("part_id") + 100000 * (F.col("task_id") % 50)).alias("person_id"), "task_id").distinct()
-    return only_from(seen, 7)
+    from ..operators.maintenance import purged
+
+    t = F.col("task_id")
+    tasks = m.tasks.select("task_id", F.when(t % 11 != 0, t % 400).alias("lineage_id"))
+    purge = tasks.where("task_id % 400 < 40 or task_id % 13 = 0")
+    seen = m.pages.select((F.col("part_id") + 100000 * (t % 50)).alias("person_id"), "task_id").distinct()
+    entries = m.entries.select("entry_id", (F.col("entry_id") * 7).alias("task_id"), (F.col("entry_id") * 7 % 400).alias("lineage_id"))
+    lineages = tasks.where("lineage_id % 9 <> 0").select("lineage_id").distinct()
+    branches = lineages.select("lineage_id", F.explode(F.array(F.col("lineage_id") * 10, F.col("lineage_id") * 10 + 1)).alias("branch_id"))
+    members = seen.select("person_id", (F.col("person_id") % 17 * 23).alias("lineage_id"))
+    gone = purged(purge, tasks, seen, entries, m.vectors, lineages, branches, members)
+    rows = [df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("long").alias("id")) for kind, df in gone.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # of fifty people each, a chain (9 into 8 into 7 into 6) and a star (20 to 24 into 19, the last one first)

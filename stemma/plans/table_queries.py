@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators import tables as T
+from ..operators.apply import merged_edges
+from ..operators.networks import in_networks
 from .registry import query
 
 
@@ -90,10 +92,17 @@ def rel14(m):
     return m.tasks.where(T.valid_at("1997-06-01", F.col("status") == "running", F.col("archived_at"))).select("task_id")
 
 
-@query("rel15_networks", "SELECT id FROM v_users WHERE (id % 256) >= 64 AND (id % 256) < 96 OR id % 256 = 7")
+@query("rel15_networks", """WITH n AS (SELECT person_id AS k FROM v_persons), four AS (SELECT 10 * 16777216 + (k % 256) * 65536 + (k * 7 % 256) * 256 + k * 13 % 256 AS a, 16 + k % 17 AS bits FROM n WHERE k % 2 = 0), six AS (SELECT k % 4096 AS x, k % 32 AS lo, 44 + k % 85 AS bits FROM n WHERE k % 2 = 1),
+e AS (SELECT id, id % 2 AS six, 10 * 16777216 + (id % 256) * 65536 + (id * 7 % 256) * 256 + id * 3 % 256 AS a, id % 4096 AS x, id % 16 AS lo FROM v_audit)
+SELECT id FROM e WHERE CASE WHEN six = 0 THEN EXISTS (SELECT 1 FROM four f WHERE (e.a >> (32 - f.bits)) = (f.a >> (32 - f.bits))) ELSE EXISTS (SELECT 1 FROM six s WHERE CASE WHEN s.bits <= 48 THEN (e.x >> (48 - s.bits)) = (s.x >> (48 - s.bits)) ELSE e.x = s.x AND (e.lo >> least(63, 128 - s.bits)) = (s.lo >> least(63, 128 - s.bits)) END) END""")
 def rel15(m):
-    ip = F.concat(F.lit("10.1.2."), (F.col("id") % 256).cast("string"))
-    return m.users.where(T.in_networks(ip, ["10.1.2.64/27", "10.1.2.7"])).select("id")
+    text = lambda c: c.cast("string")
+    k, i = F.col("person_id").cast("long"), F.col("id").cast("long")
+    four = F.concat(F.lit("10."), text(k % 256), F.lit("."), text(k * 7 % 256), F.lit("."), text(k * 13 % 256), F.lit("/"), text(k % 17 + 16))
+    six = F.concat(F.lit("2001:db8:"), F.hex(k % 4096), F.lit("::"), F.hex(k % 32), F.lit("/"), text(k % 85 + 44))
+    networks = m.persons.select(F.when(k % 2 == 0, four).otherwise(six).alias("cidr"))
+    ip = F.when(i % 2 == 0, F.concat(F.lit("10."), text(i % 256), F.lit("."), text(i * 7 % 256), F.lit("."), text(i * 3 % 256))).otherwise(F.concat(F.lit("2001:DB8:"), F.hex(i % 4096), F.lit("::"), F.hex(i % 16)))
+    return in_networks(m.audit.select("id", ip.alias("ip")), "ip", networks).select("id")
 
 
 @query("jon01_entry_names", "SELECT e.entry_id, coalesce(l.name, '') AS lineage, coalesce(b.name, '') AS branch FROM v_entries e LEFT JOIN v_lineages l USING (lineage_id) LEFT JOIN v_branches b ON b.branch_id = e.branch_id")
@@ -377,9 +386,16 @@ def str12(m):
     return M.pages_to_do(m.pages, m.pages.where("not failed and reviewed")).withColumn("page_no", F.col("page_no").cast("long"))
 
 
-@query("snk02_upsert_edges", "SELECT src, dst FROM v_parent_of UNION SELECT src, dst FROM v_spouse_of")
+@query("snk02_upsert_edges", """WITH o AS (SELECT CASE WHEN dst % 2 = 0 THEN 'spouse' ELSE 'parent_child' END AS type, src, dst, CASE WHEN dst % 3 <> 0 THEN concat('r', CAST(dst AS VARCHAR), '-', CAST(src AS VARCHAR)) END AS rel_id, CASE WHEN dst % 5 = 0 THEN 'old day' END AS marriage_date FROM (SELECT DISTINCT src, dst FROM v_parent_of)),
+n AS (SELECT type, src, dst, CASE WHEN dst % 4 = 0 THEN 'new day' END AS marriage_date FROM o WHERE dst % 7 < 3 UNION ALL SELECT 'spouse', src, dst + 100000, 'first day' FROM v_spouse_of)
+SELECT coalesce(n.type, o.type) AS type, coalesce(n.src, o.src) AS src, coalesce(n.dst, o.dst) AS dst, CASE WHEN n.type IS NULL THEN o.rel_id ELSE coalesce(o.rel_id, left(sha256(concat_ws('|', n.type, CAST(n.src AS VARCHAR), CAST(n.dst AS VARCHAR))), 24)) END AS rel_id, CASE WHEN n.type IS NULL THEN o.marriage_date ELSE n.marriage_date END AS marriage_date FROM n FULL JOIN o ON o.type = n.type AND o.src = n.src AND o.dst = n.dst""")
 def snk02(m):
-    return M.upsert_edges(m.parent_of, m.spouse_of, "related").select("src", "dst")
+    d = F.col("dst")
+    rel = F.concat(F.lit("r"), d.cast("string"), F.lit("-"), F.col("src").cast("string"))
+    old = m.parent_of.select("src", "dst").distinct().select(F.when(d % 2 == 0, "spouse").otherwise("parent_child").alias("type"), "src", "dst", F.when(d % 3 != 0, rel).alias("rel_id"), F.when(d % 5 == 0, "old day").alias("marriage_date"))
+    again = old.where("dst % 7 < 3").select("type", "src", "dst", F.when(d % 4 == 0, "new day").alias("marriage_date"))
+    first = m.spouse_of.select(F.lit("spouse").alias("type"), "src", (d + 100000).alias("dst"), F.lit("first day").alias("marriage_date"))
+    return merged_edges(old, again.unionByName(first))
 
 
 @query("snk03_upsert_entries", """SELECT coalesce(o.entry_id, n.entry_id) AS entry_id, coalesce(n.title, o.title) AS title, CASE WHEN n.entry_id IS NULL THEN 'kept' WHEN o.entry_id IS NULL THEN 'inserted' ELSE 'updated' END AS state
