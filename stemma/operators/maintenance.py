@@ -72,11 +72,34 @@ def tasks_by_name(names: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.join(names.select("file_name").distinct(), "file_name", "left_semi").groupBy("file_name").agg(F.count("*").alias("n"), F.max_by("task_id", F.struct("created_at", "task_id")).alias("newest"))
 
 
-def orphans(objects: DataFrame, tasks: DataFrame, entries: DataFrame, lineages: DataFrame) -> DataFrame:
-    """(kind, id, bytes): stored objects (task_id, bytes) of unknown tasks, and entries of lineages that are gone."""
-    loose = objects.join(tasks.select("task_id"), "task_id", "left_anti").groupBy(F.col("task_id").cast("long").alias("id")).agg(F.sum("bytes").cast("long").alias("bytes")).select(F.lit("object").alias("kind"), "id", "bytes")
-    content = entries.join(lineages.select("lineage_id"), "lineage_id", "left_anti").select(F.lit("content").alias("kind"), F.col("entry_id").cast("long").alias("id"), F.length("text").cast("long").alias("bytes"))
-    return loose.unionByName(content)
+def orphans(files: DataFrame, objects: DataFrame, tasks: DataFrame, entries: DataFrame, lineages: DataFrame) -> DataFrame:
+    """(key, kind, name, path, size, files, mtime) of what nothing refers to any more.
+
+    files and objects are listings (path, bytes, mtime), of the upload folder and of the store.
+    local_dir: a folder below tasks/ of a task that there is not; minio_prefix: the same below scans/ in
+    the store, with the time of the last object by name; loose_file: a file in the upload folder itself;
+    orphan_content: entries of a lineage that there is not, whose number counts as files and which take no
+    bytes. Entries without a lineage are no orphans.
+    """
+    known = tasks.select(F.col("task_id").cast("string").alias("name")).distinct()
+    parts = F.split("path", "/")
+
+    def folders(listing: DataFrame, top: str, kind: str, mark: str, mtime: Column) -> DataFrame:
+        own = listing.withColumn("name", parts[1]).where((parts[0] == top) & (F.size(parts) > 2) & (F.col("name") != ""))
+        own = own.groupBy("name").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("size"), F.count("*").alias("files"), mtime.cast("string").alias("mtime")).join(known, "name", "left_anti")
+        return own.select(F.concat(F.lit(mark), "name").alias("key"), F.lit(kind).alias("kind"), "name", F.concat(F.lit(f"{top}/"), "name", F.lit("/" if kind == "minio_prefix" else "")).alias("path"), "size", "files", "mtime")
+
+    local = folders(files, "tasks", "local_dir", "local:", F.max("mtime"))
+    stored = folders(objects, "scans", "minio_prefix", "minio:", F.max_by("mtime", F.when(F.col("mtime").isNotNull(), F.col("path"))))
+    loose = files.where(~F.contains("path", F.lit("/"))).select(F.concat(F.lit("file:"), "path").alias("key"), F.lit("loose_file").alias("kind"), F.col("path").alias("name"), "path", F.col("bytes").cast("long").alias("size"), F.lit(1).cast("long").alias("files"), F.col("mtime").cast("string").alias("mtime"))
+    gone = entries.where(F.col("lineage_id").isNotNull()).withColumn("name", F.col("lineage_id").cast("string")).where("name <> ''").groupBy("name", "lineage_id").agg(F.count("*").alias("files")).join(lineages.select("lineage_id"), "lineage_id", "left_anti")
+    content = gone.select(F.concat(F.lit("content:"), "name").alias("key"), F.lit("orphan_content").alias("kind"), "name", F.concat(F.lit("lineage_id="), "name").alias("path"), F.lit(0).cast("long").alias("size"), "files", F.lit("").alias("mtime"))
+    return local.unionByName(stored).unionByName(loose).unionByName(content)
+
+
+def orphan_totals(found: DataFrame) -> DataFrame:
+    """total_items and total_size of orphans(), one row."""
+    return found.agg(F.count("*").alias("total_items"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_size"))
 
 
 def cleaned(wanted: DataFrame, found: DataFrame) -> DataFrame:

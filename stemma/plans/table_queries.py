@@ -250,19 +250,41 @@ def gov02(m):
     return M.tasks_by_name(m.tasks.where(F.col("file_name").isin("1-URGENT", "5-LOW")), m.tasks)
 
 
-@query("gov03_orphans", """SELECT 'object' AS kind, CAST(task_id AS BIGINT) AS id, CAST(sum(part_id) AS BIGINT) AS bytes FROM v_pages WHERE task_id NOT IN (SELECT task_id FROM v_tasks WHERE task_id % 5 <> 1) GROUP BY 2
-UNION ALL SELECT 'content', entry_id, length(text) FROM v_entries WHERE lineage_id NOT IN (SELECT lineage_id FROM v_lineages WHERE lineage_id < 3)""")
+_LISTED = """f AS (SELECT concat('tasks/', CAST(task_id AS VARCHAR), '/page_', CAST(page_no AS VARCHAR), '.png') AS path, part_id AS bytes, page_no AS mtime FROM v_pages UNION ALL SELECT concat('other/', CAST(id AS VARCHAR), '/x'), 5, 1 FROM v_users UNION ALL SELECT concat(username, '.pdf'), id, 7 FROM v_users),
+s AS (SELECT concat('scans/', CAST(task_id AS VARCHAR), '/', CAST(page_no AS VARCHAR)) AS path, part_id * 2 AS bytes, CASE WHEN page_no % 3 <> 0 THEN 100 - page_no END AS mtime FROM v_pages WHERE task_id % 2 = 0 UNION ALL SELECT concat('scans/', CAST(id AS VARCHAR)), 1, 1 FROM v_users),
+k AS (SELECT CAST(task_id AS VARCHAR) AS name FROM v_tasks WHERE task_id % 5 <> 1),
+o AS (SELECT concat('local:', name) AS key, 'local_dir' AS kind, name, concat('tasks/', name) AS path, CAST(sum(bytes) AS BIGINT) AS size, count(*) AS files, CAST(max(mtime) AS VARCHAR) AS mtime FROM (SELECT split_part(path, '/', 2) AS name, bytes, mtime FROM f WHERE starts_with(path, 'tasks/')) WHERE name NOT IN (SELECT name FROM k) GROUP BY name
+UNION ALL SELECT concat('minio:', name), 'minio_prefix', name, concat('scans/', name, '/'), CAST(sum(bytes) AS BIGINT), count(*), CAST(arg_max(mtime, path) FILTER (mtime IS NOT NULL) AS VARCHAR) FROM (SELECT split_part(path, '/', 2) AS name, path, bytes, mtime FROM s WHERE split_part(path, '/', 3) <> '') WHERE name NOT IN (SELECT name FROM k) GROUP BY name
+UNION ALL SELECT concat('file:', path), 'loose_file', path, path, bytes, 1, CAST(mtime AS VARCHAR) FROM f WHERE NOT contains(path, '/')
+UNION ALL SELECT concat('content:', CAST(lineage_id AS VARCHAR)), 'orphan_content', CAST(lineage_id AS VARCHAR), concat('lineage_id=', CAST(lineage_id AS VARCHAR)), 0, count(*), '' FROM v_entries WHERE lineage_id NOT IN (SELECT lineage_id FROM v_lineages WHERE lineage_id < 3) GROUP BY lineage_id)"""
+
+
+@query("gov03_orphans", f"WITH {_LISTED} SELECT * FROM o")
 def gov03(m):
     return _orphans(m)
 
 
+@query("gov03_totals", f"WITH {_LISTED} SELECT count(*) AS total_items, CAST(sum(size) AS BIGINT) AS total_size FROM o")
+def gov03_totals(m):
+    return M.orphan_totals(_orphans(m))
+
+
 def _orphans(m):
-    return M.orphans(m.pages.select("task_id", F.col("part_id").alias("bytes")), m.tasks.where("task_id % 5 <> 1"), m.entries, m.lineages.where("lineage_id < 3"))
+    text = lambda c: F.col(c).cast("string")
+    pages = m.pages.select(F.concat(F.lit("tasks/"), text("task_id"), F.lit("/page_"), text("page_no"), F.lit(".png")).alias("path"), F.col("part_id").alias("bytes"), F.col("page_no").cast("long").alias("mtime"))
+    other = m.users.select(F.concat(F.lit("other/"), text("id"), F.lit("/x")).alias("path"), F.lit(5).alias("bytes"), F.lit(1).cast("long").alias("mtime"))
+    loose = m.users.select(F.concat("username", F.lit(".pdf")).alias("path"), F.col("id").alias("bytes"), F.lit(7).cast("long").alias("mtime"))
+    stored = m.pages.where("task_id % 2 = 0").select(F.concat(F.lit("scans/"), text("task_id"), F.lit("/"), text("page_no")).alias("path"), (F.col("part_id") * 2).alias("bytes"), F.when(F.col("page_no") % 3 != 0, 100 - F.col("page_no")).cast("long").alias("mtime"))
+    bare = m.users.select(F.concat(F.lit("scans/"), text("id")).alias("path"), F.lit(1).alias("bytes"), F.lit(1).cast("long").alias("mtime"))
+    return M.orphans(pages.unionByName(other).unionByName(loose), stored.unionByName(bare), m.tasks.where("task_id % 5 <> 1"), m.entries, m.lineages.where("lineage_id < 3"))
 
 
-@query("gov04_cleanup", """WITH o AS (SELECT entry_id AS id, length(text) AS bytes FROM v_entries WHERE lineage_id >= 3) SELECT 'content' AS kind, e.entry_id AS id, CASE WHEN o.id IS NULL THEN 'skipped' ELSE 'removed' END AS outcome, coalesce(o.bytes, 0) AS freed FROM v_entries e LEFT JOIN o ON o.id = e.entry_id WHERE e.entry_id % 2 = 0""")
+@query("gov04_cleanup", f"""WITH {_LISTED}, w AS (SELECT 'local_dir' AS kind, CAST(task_id AS VARCHAR) AS id FROM v_tasks WHERE task_id % 10 < 3 UNION ALL SELECT 'loose_file', concat(username, '.pdf') FROM v_users WHERE id % 2 = 0 UNION ALL SELECT 'orphan_content', CAST(lineage_id AS VARCHAR) FROM v_lineages)
+SELECT w.kind, w.id, CASE WHEN o.name IS NULL THEN 'skipped' ELSE 'removed' END AS outcome, coalesce(o.size, 0) AS freed FROM w LEFT JOIN o ON o.kind = w.kind AND o.name = w.id""")
 def gov04(m):
-    return M.cleaned(m.entries.where("entry_id % 2 = 0").select(F.lit("content").alias("kind"), F.col("entry_id").alias("id")), _orphans(m))
+    text = lambda c: F.col(c).cast("string").alias("id")
+    wanted = m.tasks.where("task_id % 10 < 3").select(F.lit("local_dir").alias("kind"), text("task_id")).unionByName(m.users.where("id % 2 = 0").select(F.lit("loose_file").alias("kind"), F.concat("username", F.lit(".pdf")).alias("id"))).unionByName(m.lineages.select(F.lit("orphan_content").alias("kind"), text("lineage_id")))
+    return M.cleaned(wanted, _orphans(m).select("kind", F.col("name").alias("id"), F.col("size").alias("bytes")))
 
 
 @query("gov05_delete_requests", """WITH r AS (SELECT id AS request_id, CASE WHEN id % 2 = 0 THEN 'lineage' ELSE 'task' END AS target_type, user_id AS target_id, CASE WHEN id % 7 = 0 THEN 'approved' ELSE 'pending' END AS status, concat(CAST(user_id % 9 AS VARCHAR), CASE WHEN id % 5 = 0 THEN 'x' ELSE '' END) AS snapshot, id % 11 <> 0 AS approve, id % 3 = 0 AS force FROM v_audit),
