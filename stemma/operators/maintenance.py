@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import clean_file_name
+
 
 def purged(purge: DataFrame, tasks: DataFrame, contributed: DataFrame, entries: DataFrame, vectors: DataFrame, lineages: DataFrame, branches: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
     """What goes with tasks (task_id) whose results are taken back, all at once: ids of people, entries, vectors, lineages and branches.
@@ -68,8 +70,16 @@ def duplicate_files(tasks: DataFrame) -> DataFrame:
 
 
 def tasks_by_name(names: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Number of tasks of each given file name, and the newest of them; names without tasks are absent."""
-    return tasks.join(names.select("file_name").distinct(), "file_name", "left_semi").groupBy("file_name").agg(F.count("*").alias("n"), F.max_by("task_id", F.struct("created_at", "task_id")).alias("newest"))
+    """(name, r, task_id, status, file_size, created_at): tasks that have a file of each given name, newest first, failed ones aside.
+
+    Names (file_name) are cleaned as those of files are, and each is asked once; one without a task has a
+    row of nulls. tasks has (task_id, status, file_path, file_size, created_at).
+    """
+    asked = names.select(clean_file_name(F.col("file_name")).alias("name")).where("name <> ''").distinct()
+    live = tasks.where(F.col("status").isin("pending", "running", "done", "paused"))
+    own = live.select(F.element_at(F.split("file_path", "/"), -1).alias("name"), "task_id", "status", "file_size", "created_at").join(asked, "name", "left_semi")
+    ranked = own.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy(F.desc("created_at"), F.desc("task_id"))))
+    return asked.join(ranked, "name", "left").select("name", "r", "task_id", "status", "file_size", "created_at")
 
 
 def orphans(files: DataFrame, objects: DataFrame, tasks: DataFrame, entries: DataFrame, lineages: DataFrame) -> DataFrame:

@@ -111,13 +111,42 @@ def review_state(pages: DataFrame) -> DataFrame:
     return out.withColumn("reviewed", (F.col("good") > 0) & (F.col("good") == F.col("good_reviewed"))).drop("good", "good_reviewed")
 
 
-def task_list(tasks: DataFrame, pages: DataFrame, users: DataFrame) -> DataFrame:
-    """Tasks with page counts, review state, progress, who made them and what can be done with them."""
-    state = review_state(pages)
-    who = users.select(F.col("id").alias("created_by"), F.coalesce(F.nullif("full_name", F.lit("")), "username").alias("created_name"))
-    out = tasks.join(state, "task_id", "left").join(who, "created_by", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return out.select("task_id", "status", "created_name", zero("pages").alias("pages"), zero("failed").alias("failed"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"), percent(zero("pages") - zero("failed"), zero("pages")).alias("progress"), F.col("archived_at").isNotNull().alias("archived"), ((F.col("status") != "done") & (zero("failed") > 0)).alias("can_resume"))
+#: What task_list() passes on as it is.
+AS_IS = ("task_id", "file_type", "file_size", "status", "pause_reason", "error_msg", "lineage_id", "branch_id", "applied_at", "archived_at", "archived_by", "created_at", "updated_at")
+
+
+def task_list(tasks: DataFrame, pages: DataFrame, lineages: DataFrame, branches: DataFrame, users: DataFrame, documents: DataFrame, ready: DataFrame) -> DataFrame:
+    """Tasks as they are listed, 29 columns: their own, names for ids, and what follows from their pages and results.
+
+    tasks has AS_IS, file_path, total_pages, done_pages, stage, failed_listed (how many failed pages its
+    result lists, null without a list), consolidated (whether there is a result of the whole volume),
+    volume_reviewed, volume_reviewed_at, volume_reviewed_by and stale; pages (task_id, failed, reviewed,
+    relations: how many), users (id, username), documents and ready (task_id) in the graph and with page
+    images. applied: it says so or is in the graph. reviewed: the volume is, or without one every page that
+    did not fail is, one at least. needs_reconsolidate: it is stale, or done with pages of which none has
+    relations and without a volume. can_resume: there are pages or page images.
+    """
+    n = pages.groupBy("task_id").agg(
+        F.count("*").alias("_pages"), F.count_if("failed").alias("_failed"), F.count_if("reviewed").alias("_reviewed"), F.count_if(~F.coalesce("failed", F.lit(False))).alias("_good"),
+        F.count_if(~F.coalesce("failed", F.lit(False)) & F.col("reviewed")).alias("_good_reviewed"), F.coalesce(F.sum("relations"), F.lit(0)).alias("_relations"),
+    )
+    flag = lambda df, name: df.select("task_id").distinct().withColumn(name, F.lit(True))
+    out = tasks.join(n, "task_id", "left").join(flag(documents, "_graph"), "task_id", "left").join(flag(ready, "_ready"), "task_id", "left")
+    out = out.join(lineages.select("lineage_id", F.col("name").alias("lineage_name")), "lineage_id", "left").join(branches.select("branch_id", F.col("name").alias("branch_name")), "branch_id", "left")
+    out = out.join(users.select(F.col("id").alias("archived_by"), F.col("username").alias("archived_by_name")), "archived_by", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    volume = yes("consolidated")
+    return out.select(
+        *AS_IS, "lineage_name", "branch_name", "archived_by_name",
+        F.element_at(F.split(F.coalesce("file_path", F.lit("")), "/"), -1).alias("file_path"), zero("total_pages").alias("total_pages"), zero("done_pages").alias("done_pages"), F.coalesce("stage", F.lit("")).alias("stage"),
+        F.coalesce(F.col("failed_listed").cast("long"), zero("_failed")).alias("failed_pages"), (F.col("applied_at").isNotNull() | yes("_graph")).alias("applied"),
+        F.when(volume, yes("volume_reviewed")).otherwise((zero("_good") > 0) & (zero("_good") == zero("_good_reviewed"))).alias("reviewed"),
+        F.when(volume, F.col("volume_reviewed_at")).alias("reviewed_at"), F.when(volume, F.col("volume_reviewed_by")).alias("reviewed_by_name"),
+        zero("_reviewed").alias("reviewed_pages"), zero("_pages").alias("review_total_pages"),
+        (yes("stale") | (~volume & (zero("_pages") > 0) & (zero("_relations") == 0) & F.coalesce(F.col("status") == "done", F.lit(False)))).alias("needs_reconsolidate"),
+        ((zero("_pages") > 0) | yes("_ready")).alias("can_resume"), F.col("archived_at").isNotNull().alias("archived"),
+    )
 
 
 def rates(samples: DataFrame, key: str, at: str, value: str, bucket_seconds: int = 86_400) -> DataFrame:

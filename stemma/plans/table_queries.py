@@ -245,9 +245,15 @@ def gov01(m):
     return M.duplicate_files(rows)
 
 
-@query("gov02_tasks_by_name", "SELECT file_name, count(*) AS n, arg_max(task_id, (created_at, task_id)) AS newest FROM v_tasks WHERE file_name IN ('1-URGENT', '5-LOW') GROUP BY 1")
+@query("gov02_tasks_by_name", """WITH n AS (SELECT DISTINCT replace(replace(file_name, '/', ''), '-', '_') AS name FROM v_tasks UNION SELECT concat('none', CAST(id % 5 AS VARCHAR)) FROM v_users),
+k AS (SELECT task_id, CASE WHEN task_id % 7 = 3 THEN 'failed' ELSE status END AS status, replace(file_name, '-', '_') AS name, file_size, created_at FROM v_tasks),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, task_id DESC) AS r FROM k WHERE status <> 'failed') SELECT n.name, r, task_id, status, file_size, created_at FROM n LEFT JOIN r ON r.name = n.name""")
 def gov02(m):
-    return M.tasks_by_name(m.tasks.where(F.col("file_name").isin("1-URGENT", "5-LOW")), m.tasks)
+    odd = m.tasks.select(F.concat(F.lit("up\\load/"), F.replace("file_name", F.lit("-"), F.lit("?"))).alias("file_name"))
+    none = m.users.select(F.concat(F.lit("a/b/none"), (F.col("id") % 5).cast("string")).alias("file_name"))
+    path = F.concat(F.lit("tasks/"), F.col("task_id").cast("string"), F.lit("/"), F.replace("file_name", F.lit("-"), F.lit("_")))
+    tasks = m.tasks.withColumn("file_path", path).withColumn("status", F.when(F.col("task_id") % 7 == 3, "failed").otherwise(F.col("status")))
+    return M.tasks_by_name(odd.unionByName(none), tasks)
 
 
 _LISTED = """f AS (SELECT concat('tasks/', CAST(task_id AS VARCHAR), '/page_', CAST(page_no AS VARCHAR), '.png') AS path, part_id AS bytes, page_no AS mtime FROM v_pages UNION ALL SELECT concat('other/', CAST(id AS VARCHAR), '/x'), 5, 1 FROM v_users UNION ALL SELECT concat(username, '.pdf'), id, 7 FROM v_users),
@@ -333,11 +339,19 @@ def gov08_back(m):
     return out.select("task_id", "outcome", F.col("archived_at").isNotNull().alias("archived"), "purge")
 
 
-@query("gov09_task_list", """WITH s AS (SELECT task_id, count(*) AS pages, count_if(failed) AS failed, count_if(NOT failed) > 0 AND count_if(NOT failed) = count_if(NOT failed AND reviewed) AS reviewed FROM v_pages GROUP BY 1)
-SELECT t.task_id, t.status, coalesce(nullif(u.full_name, ''), u.username) AS created_name, coalesce(s.pages, 0) AS pages, coalesce(s.failed, 0) AS failed, coalesce(s.reviewed, false) AS reviewed, CAST(CASE WHEN coalesce(s.pages, 0) = 0 THEN 0 ELSE floor((s.pages - s.failed) * 100 / s.pages + 0.5) END AS BIGINT) AS progress, archived_at IS NOT NULL AS archived, status <> 'done' AND coalesce(s.failed, 0) > 0 AS can_resume
-FROM v_tasks t LEFT JOIN s USING (task_id) LEFT JOIN v_users u ON u.id = t.created_by""")
+_TASKS = """k AS (SELECT task_id, CASE WHEN task_id % 9 = 1 THEN NULL ELSE concat('tasks/', CAST(task_id AS VARCHAR), '/', file_name, '.pdf') END AS file_path, 'pdf' AS file_type, file_size, CASE WHEN task_id % 4 = 0 THEN NULL ELSE task_id % 30 END AS total_pages, task_id % 20 AS done_pages, status, CASE WHEN task_id % 3 = 0 THEN 'extracting' END AS stage, CASE WHEN task_id % 8 = 0 THEN 'user' END AS pause_reason, CASE WHEN task_id % 10 = 0 THEN 'error' END AS error_msg, CASE WHEN task_id % 5 <> 0 THEN task_id % 7 END AS lineage_id, task_id % 30 AS branch_id,
+CASE WHEN task_id % 6 = 5 THEN created_at END AS applied_at, archived_at, CASE WHEN archived_at IS NOT NULL THEN created_by % 200 END AS archived_by, created_at, created_at AS updated_at, CASE WHEN task_id % 11 = 0 THEN task_id % 3 END AS failed_listed, task_id % 3 = 1 AS consolidated, CASE WHEN task_id % 2 = 0 THEN true WHEN task_id % 5 = 1 THEN false END AS volume_reviewed, 'then' AS volume_reviewed_at, 'someone' AS volume_reviewed_by, CASE WHEN task_id % 13 = 0 THEN true WHEN task_id % 13 = 1 THEN false END AS stale FROM v_tasks)"""
+
+
+@query("gov09_task_list", f"""WITH {_TASKS}, s AS (SELECT task_id, count(*) AS pages, count_if(failed) AS failed, count_if(reviewed) AS reviewed, count_if(NOT failed) AS good, count_if(NOT failed AND reviewed) AS fine, sum(CASE WHEN task_id % 4 = 1 THEN 0 ELSE part_id % 2 END) AS relations FROM v_pages WHERE task_id % 10 <> 7 GROUP BY 1)
+SELECT k.task_id, coalesce(split_part(file_path, '/', 3), '') AS file_path, file_type, file_size, CAST(coalesce(total_pages, 0) AS BIGINT) AS total_pages, CAST(done_pages AS BIGINT) AS done_pages, CAST(coalesce(failed_listed, s.failed, 0) AS BIGINT) AS failed_pages, status, coalesce(stage, '') AS stage, pause_reason, error_msg, k.lineage_id, l.name AS lineage_name, k.branch_id, b.name AS branch_name,
+applied_at IS NOT NULL OR k.task_id % 50 = 2 AS applied, applied_at, CASE WHEN consolidated THEN coalesce(volume_reviewed, false) ELSE coalesce(good, 0) > 0 AND good = fine END AS reviewed, CASE WHEN consolidated THEN volume_reviewed_at END AS reviewed_at, CASE WHEN consolidated THEN volume_reviewed_by END AS reviewed_by_name, coalesce(s.reviewed, 0) AS reviewed_pages, coalesce(s.pages, 0) AS review_total_pages,
+coalesce(stale, false) OR (NOT consolidated AND coalesce(s.pages, 0) > 0 AND s.relations = 0 AND status = 'done') AS needs_reconsolidate, coalesce(s.pages, 0) > 0 OR k.task_id % 20 = 7 AS can_resume, archived_at IS NOT NULL AS archived, archived_at, archived_by, u.username AS archived_by_name, created_at, updated_at
+FROM k LEFT JOIN s ON s.task_id = k.task_id LEFT JOIN v_lineages l ON l.lineage_id = k.lineage_id LEFT JOIN v_branches b ON b.branch_id = k.branch_id LEFT JOIN v_users u ON u.id = k.archived_by""")
 def gov09(m):
-    return T.task_list(m.tasks, m.pages, m.users)
+    tasks = m.spark.sql(f"WITH {_TASKS.replace('VARCHAR', 'STRING').replace('FROM v_tasks', 'FROM {v_tasks}')} SELECT * FROM k", v_tasks=m.tasks)
+    pages = m.pages.where("task_id % 10 <> 7").select("task_id", "failed", "reviewed", F.when(F.col("task_id") % 4 == 1, 0).otherwise(F.col("part_id") % 2).alias("relations"))
+    return T.task_list(tasks, pages, m.lineages, m.branches, m.users, m.tasks.where("task_id % 50 = 2"), m.tasks.where("task_id % 20 = 7"))
 
 
 @query("gov11_changed_pages", "SELECT task_id, page_no FROM v_pages WHERE page_no % 5 = 0 OR page_no > 6")
