@@ -15,7 +15,7 @@ BASE, MANY = 30400, 4000
 HEADS = "b p m f d t n l g k h j q x zh ch sh r z c".split()
 TAILS = "a o e i u an en ang eng ai ei ao".split()
 #: What is asked around a name; all of it are words of relationship and asking.
-ASKING = "".join(map(chr, (0x7684, 0x7236, 0x4EB2, 0x662F, 0x8C01)))
+ASKING = "的父亲是谁"
 
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 #: v: the readings r (c, ord, reading), people n (person_id, a, b, c: characters by number, c for some), their readings w (person_id, f, i), those of each character s.
