@@ -109,22 +109,21 @@ def find(documents: list[list[bytes]], shortest: int = SHORTEST) -> list[np.ndar
         known += len(own)
     symbols = np.array(symbols, np.int32)
     n, longest = len(symbols), int(sizes.max())
-    points = list(_same(symbols, begin, sizes))
-    i, p, d = (np.concatenate(c) for c in zip(*points, strict=True))
-    if not len(i):
-        return out
-    forward = Extensions(symbols, np.repeat(begin + sizes, sizes), longest).of(i, i + p)
-    back = np.zeros(len(i), np.int32)
-    inner = np.flatnonzero(i > begin[d])
-    back[inner] = Extensions(symbols[::-1].copy(), np.repeat(n - begin, sizes)[::-1].copy(), longest).of(n - i[inner], n - i[inner] - p[inner])
-    length = forward + back + p
-    found = np.flatnonzero((length >= 2 * p) & (length >= shortest))
-    start, length, p = (i - back)[found], length[found], p[found]
-    order = np.lexsort((p, length, start))
-    start, length, p = start[order], length[order], p[order]
-    # of the periods found for one stretch the smallest is its period
-    first = np.concatenate(([True], (start[1:] != start[:-1]) | (length[1:] != length[:-1]))) if len(start) else np.zeros(0, bool)
-    start, length, p = start[first], length[first], p[first]
+    forward = backward = None
+    runs = [np.zeros((0, 3), np.int64)]
+    for i, p, d in _same(symbols, begin, sizes):
+        if not len(i):
+            continue
+        if forward is None:
+            forward = Extensions(symbols, np.repeat(begin + sizes, sizes), longest)
+            backward = Extensions(symbols[::-1].copy(), np.repeat(n - begin, sizes)[::-1].copy(), longest)
+        back = np.zeros(len(i), np.int64)
+        inner = np.flatnonzero(i > begin[d])
+        back[inner] = backward.of(n - i[inner], n - i[inner] - p[inner])
+        length = forward.of(i, i + p) + back + p
+        found = np.flatnonzero((length >= 2 * p) & (length >= shortest))
+        runs.append(_smallest((i - back)[found], length[found], p[found]))
+    start, length, p = _smallest(*np.concatenate(runs).T).T
     order = np.lexsort((p, start))
     start, length, p = start[order], length[order], p[order]
     borders = np.searchsorted(start, np.append(begin, n))
@@ -133,6 +132,15 @@ def find(documents: list[list[bytes]], shortest: int = SHORTEST) -> list[np.ndar
     return out
 
 
+def _smallest(start: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """(start, length, period) of each stretch once: of the periods found for it the smallest is its period."""
+    order = np.lexsort((p, length, start))
+    start, length, p = start[order], length[order], p[order]
+    first = np.ones(len(start), bool)
+    first[1:] = (start[1:] != start[:-1]) | (length[1:] != length[:-1])
+    return np.stack((start[first], length[first], p[first]), 1).astype(np.int64)
+
+
 def _same(symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Points jp of all grids whose word is that at (j+1)p: the places, periods and documents, GRID points or one period at a time."""
     half = sizes // 2
