@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_file_name
+from ..plans.cut import cut
 
 
 def purged(purge: DataFrame, tasks: DataFrame, contributed: DataFrame, entries: DataFrame, vectors: DataFrame, lineages: DataFrame, branches: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
@@ -18,15 +19,18 @@ def purged(purge: DataFrame, tasks: DataFrame, contributed: DataFrame, entries:
     (members: person_id, lineage_id, through branches too).
     """
     gone = purge.select("task_id").distinct()
-    kept = contributed.join(gone, "task_id", "left_anti").select("person_id").distinct()
-    people = contributed.join(gone, "task_id", "left_semi").select("person_id").distinct().join(kept, "person_id", "left_anti")
+    # people of such tasks alone: one pass over contributions, which become a row for each person at once
+    marked = contributed.select("person_id", "task_id").join(gone.withColumn("_gone", F.lit(True)), "task_id", "left")
+    each = marked.groupBy("person_id").agg(F.max("_gone").alias("named"), F.max(F.col("_gone").isNull()).alias("kept"))
+    people = cut(each.where("named and not kept").select("person_id"))
     own = entries.join(gone, "task_id", "left_semi").select("entry_id").distinct()
     left = entries.join(gone, "task_id", "left_anti")
     named = tasks.join(gone, "task_id", "left_semi").where("lineage_id is not null").select("lineage_id").distinct()
-    named = named.join(tasks.join(gone, "task_id", "left_anti").select("lineage_id"), "lineage_id", "left_anti")
-    named = named.join(left.select("lineage_id"), "lineage_id", "left_anti")
-    named = named.join(members.join(people, "person_id", "left_anti").select("lineage_id"), "lineage_id", "left_anti")
-    empty = named.join(lineages.select("lineage_id"), "lineage_id", "left_semi")
+    # a lineage may have any number of tasks, entries and members: each names it once before all of them meet in one task
+    named = named.join(tasks.join(gone, "task_id", "left_anti").select("lineage_id").distinct(), "lineage_id", "left_anti")
+    named = named.join(left.select("lineage_id").distinct(), "lineage_id", "left_anti")
+    named = named.join(members.join(people, "person_id", "left_anti").select("lineage_id").distinct(), "lineage_id", "left_anti")
+    empty = cut(named.join(lineages.select("lineage_id").distinct(), "lineage_id", "left_semi"))
     return {
         "persons": people,
         "entries": own,

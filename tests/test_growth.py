@@ -22,3 +22,20 @@ def test_bodies_are_made_before_the_join(spark):
     whole, parts = lines.select(S.rendered(n, nobody, F.col("content"), none), S.rendered(n, nobody, None, none, S.body_text(F.col("content")))).first()
     assert whole == parts == "第3页\n" + made
     assert "strategy=broadcast" in plan(registry.QUERIES["con01_rendered"](spark, SF))
+
+
+def test_purged_names_a_lineage_once(spark, monkeypatch):
+    seen = []
+    cut = M.cut
+    monkeypatch.setattr(M, "cut", lambda df: (seen.append(plan(df)), cut(df))[1])
+    frame = spark.createDataFrame
+    tasks = frame([(1, 7), (2, 8), (3, 9), (4, 9)], "task_id long, lineage_id long")
+    people = frame([(10, 1), (11, 1), (11, 4), (12, 2)], "person_id long, task_id long")
+    entries = frame([(20, 1, 7), (21, 4, 8)], "entry_id long, task_id long, lineage_id long")
+    lineages = frame([(7,), (8,), (9,)], "lineage_id long")
+    gone = M.purged(frame([(1,), (2,), (3,)], "task_id long"), tasks, people, entries, entries.select("entry_id"), lineages, lineages.selectExpr("lineage_id", "lineage_id * 10 as branch_id"), frame([(10, 7), (10, 7), (11, 8)], "person_id long, lineage_id long"))
+    got = {k: sorted(r[0] for r in df.collect()) for k, df in gone.items()}
+    assert got == {"persons": [10, 12], "entries": [20], "vectors": [20], "lineages": [7], "branches": [70]}
+    # below the right side of each anti join on lineages stands an aggregate
+    lines = [x.lstrip(" :+-") for x in seen[-1].splitlines()]
+    assert sum(x.startswith("Aggregate [lineage_id") for x in lines) >= 5
