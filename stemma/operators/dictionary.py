@@ -18,6 +18,8 @@ from ..plans.cut import on_workers
 
 #: Characters of the words of one automaton, some 40 bytes each, and of the texts of a block.
 SHARD, BLOCK = 2 << 20, 64 << 20
+#: Rows of a batch that leaves an automaton, but for a text that has more by itself.
+BATCH = 50_000
 
 _FOUND = "text string, word string, first long, n long"
 
@@ -32,9 +34,13 @@ def _automaton(words: list[str]):
     return out
 
 
-def _found(automaton, ids: list, texts: list[str], names: list[str]) -> pa.RecordBatch:
+def _found(automaton, ids: list, texts: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], names=names)
     rows: tuple[list, list, list, list] = [], [], [], []
     for i, text in zip(ids, texts, strict=True):
+        if len(rows[0]) >= BATCH:
+            yield batch()
+            rows = [], [], [], []
         seen: dict[str, list[int]] = {}
         for end, word in automaton.iter(text):
             if word in seen:
@@ -45,7 +51,7 @@ def _found(automaton, ids: list, texts: list[str], names: list[str]) -> pa.Recor
         rows[1].extend(seen)
         rows[2].extend(v[0] for v in seen.values())
         rows[3].extend(v[1] for v in seen.values())
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], names=names)
+    yield batch()
 
 
 def occurrences(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, word_col: str, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -70,7 +76,7 @@ def occurrences(texts: DataFrame, words: DataFrame, id_col: str, text_col: str,
             automaton = _automaton(sent.value) if sent.value else None
             for b in batches:
                 if automaton is not None and b.num_rows:
-                    yield _found(automaton, b.column(0).to_pylist(), b.column(1).to_pylist(), names)
+                    yield from _found(automaton, b.column(0).to_pylist(), b.column(1).to_pylist(), names)
 
         return rows.mapInArrow(whole, schema)
 
@@ -89,7 +95,7 @@ def occurrences(texts: DataFrame, words: DataFrame, id_col: str, text_col: str,
             for s, k, kind, i, text in rows_:
                 if (s, k) != key:
                     if ids:
-                        yield _found(automaton, ids, texts_, names)
+                        yield from _found(automaton, ids, texts_, names)
                         ids, texts_ = [], []
                     key, held, automaton = (s, k), [], None
                 if kind == 0:
@@ -101,7 +107,7 @@ def occurrences(texts: DataFrame, words: DataFrame, id_col: str, text_col: str,
                     ids.append(i)
                     texts_.append(text)
             if ids:
-                yield _found(automaton, ids, texts_, names)
+                yield from _found(automaton, ids, texts_, names)
 
     both = left.unionByName(right)
     return both.repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "kind").mapInArrow(blockwise, schema)

@@ -39,3 +39,12 @@ def test_purged_names_a_lineage_once(spark, monkeypatch):
     # below the right side of each anti join on lineages stands an aggregate
     lines = [x.lstrip(" :+-") for x in seen[-1].splitlines()]
     assert sum(x.startswith("Aggregate [lineage_id") for x in lines) >= 5
+
+
+def test_containing_deals_no_rows_for_ids_that_occur_once(spark):
+    people = spark.createDataFrame([(10, "ann"), (11, "bob")], "person_id long, name string")
+    once = S.containing(spark.createDataFrame([(1, "ann ann"), (2, "bob")], "id long, body string"), "id", "body", people)
+    assert sorted(map(tuple, once.collect())) == [(1, 10), (2, 11)]
+    assert "Aggregate [id" not in plan(once)
+    more = S.containing(spark.createDataFrame([(1, "ann"), (1, "ann bob"), (2, "bob"), (None, "ann"), (None, "ann")], "id long, body string"), "id", "body", people)
+    assert sorted(map(repr, map(tuple, more.collect()))) == ["(1, 10)", "(1, 11)", "(2, 11)", "(None, 10)"]
