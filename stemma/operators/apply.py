@@ -7,6 +7,7 @@ by place. A person is found by the name's key alone, so each key is resolved onc
 
 from __future__ import annotations
 
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,112 @@ def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("type", "src", "dst", rel.alias("rel_id"), F.when(F.col("_new"), F.col("_date")).otherwise(F.col("marriage_date")).alias("marriage_date"))
 
 
+def _foremost(rows: DataFrame, keys: list[str], tasks: Column) -> DataFrame:
+    """rows of the tasks that decide for their keys (tasks: aggregates of task ids in a struct), so that what is then sorted by order is few rows for each key."""
+    bound = cut(rows.groupBy(*keys).agg(tasks.alias("_at")).select(*keys, F.array_compact(F.array("_at.*")).alias("_at")))
+    return rows.join(bound, keys).where(F.array_contains("_at", F.col("task_id"))).drop("_at")
+
+
+class Applied:
+    """Reviewed tasks applied to a graph, as apply_reviewed() says; each part is made when it is asked for, what several need once."""
+
+    def __init__(self, graph: Graph, tasks: DataFrame, people: DataFrame, relations: DataFrame, lineages: DataFrame, branches: DataFrame):
+        self.graph, self.lineages, self.branches = graph, lineages, branches
+        self.tasks = tasks.select("task_id", "lineage_id", "branch_id", "doc_id")
+        self._people, self._relations = people, relations
+
+    @cached_property
+    def said(self) -> DataFrame:
+        rows = self._people.where(_yes("confirmed")).withColumn("name", N.stripped(F.col("name"))).where("name <> ''")
+        gender = F.when(F.col("gender").isin("male", "female"), F.col("gender")).otherwise("unknown")
+        return cut(rows.select("task_id", "place", "name", N.graph_key(F.col("name")).alias("key"), gender.alias("gender"), *FILLED))
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        rows = self._relations.where(_yes("confirmed")).select("task_id", "place", "marriage_date", *(N.stripped(F.col(c)).alias(c) for c in ("type", "from_name", "to_name")))
+        good = F.col("type").isin("parent_child", "spouse") & (F.col("from_name") != "") & (F.col("to_name") != "")
+        return cut(rows.withColumns({"good": good, "fk": N.graph_key(F.col("from_name")), "tk": N.graph_key(F.col("to_name"))}))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        order = lambda kind, side: F.struct(F.col("task_id"), F.lit(kind).alias("kind"), F.col("place"), side.alias("side")).alias("order")
+        said = self.said.select("task_id", order(0, F.lit(0)), "name", "key", "gender", *FILLED)
+        end = lambda side, name, key: F.struct(F.lit(side).alias("side"), F.col(name).alias("name"), F.col(key).alias("key"))
+        ends = self.wanted.where("good").select("task_id", "place", F.explode(F.array(end(0, "from_name", "fk"), end(1, "to_name", "tk"))).alias("e"))
+        ends = ends.select("task_id", order(1, F.col("e.side")), "e.name", "e.key", F.lit("unknown").alias("gender"))
+        return said.unionByName(ends, allowMissingColumns=True)
+
+    @cached_property
+    def _both(self) -> DataFrame:
+        at = F.col("task_id")
+        rows = _foremost(self.mentions, ["key"], F.struct(F.min(at).alias("any"), *(F.min(F.when(F.col(c).isNotNull(), at)).alias(c) for c in FILLED)))
+        first = rows.groupBy("key").agg(F.min_by(F.struct("name", "gender"), "order").alias("f"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("order"))).alias(c) for c in FILLED))
+        age = F.struct(F.col("created_at").isNull().alias("a"), F.col("created_at").alias("b"), F.col("person_id").alias("c"))
+        known = self.graph.persons.withColumn("key", N.graph_key(F.col("name"))).groupBy("key").agg(F.min_by("person_id", age).alias("person_id"))
+        return cut(first.join(known, "key", "left"))
+
+    @cached_property
+    def _new(self) -> DataFrame:
+        top = self.graph.persons.agg(F.max("person_id")).first()[0]
+        return numbered(self._both.where("person_id is null").drop("person_id"), ["key"], (top if top is not None else 0) + 1, "person_id")
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return cut(self._both.where("person_id is not null").select("key", "person_id").unionByName(self._new.select("key", "person_id")))
+
+    @cached_property
+    def persons(self) -> DataFrame:
+        fill = self._both.where("person_id is not null")
+        old = self.graph.persons.join(fill.select("person_id", *(F.col(c).alias(f"_{c}") for c in FILLED)), "person_id", "left")
+        filled = old.withColumns({c: F.coalesce(c, f"_{c}") for c in FILLED}).select(*self.graph.persons.columns)
+        return filled.unionByName(self._new.select("person_id", "f.name", "f.gender", *FILLED), allowMissingColumns=True)
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        """A name has one key and that one person: each row once."""
+        return cut(self.mentions.select("task_id", "name", "key").repartition("task_id").distinct().join(self.resolved, "key").select("task_id", "name", "person_id"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        a, b = (self.resolved.select(F.col("key").alias(k), F.col("person_id").alias(v)) for k, v in (("fk", "src"), ("tk", "dst")))
+        tied = self.wanted.where("good").select("task_id", "place", "type", "fk", "tk", "marriage_date").join(a, "fk").join(b, "tk").drop("fk", "tk")
+        tied = _foremost(tied, ["type", "src", "dst"], F.struct(F.max("task_id").alias("any")))
+        last = tied.groupBy("type", "src", "dst").agg(F.max_by("marriage_date", F.struct("task_id", "place")).alias("marriage_date"))
+        return merged_edges(self.graph.edges, last)
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        tasks = self.tasks.where("lineage_id is not null")
+        last = self.mapping.join(tasks.select("task_id"), "task_id", "left_semi").groupBy("person_id").agg(F.max("task_id").alias("task_id"))
+        return cut(last.join(tasks, "task_id").groupBy("person_id").agg(F.max_by(F.struct("lineage_id", "branch_id"), "task_id").alias("p")).select("person_id", "p.*"))
+
+    def _kept(self, members: DataFrame) -> DataFrame:
+        return members.join(self._placed.select("person_id"), "person_id", "left_anti")
+
+    @cached_property
+    def belongs_to(self) -> DataFrame:
+        own = self._placed.join(self.lineages.select("lineage_id").distinct(), "lineage_id", "left_semi").select("person_id", "lineage_id")
+        return self._kept(self.graph.belongs_to).select("person_id", "lineage_id").unionByName(own)
+
+    @cached_property
+    def in_branch(self) -> DataFrame:
+        own = self._placed.join(self.branches.select("branch_id", "lineage_id").distinct(), ["branch_id", "lineage_id"], "left_semi").select("person_id", "branch_id")
+        return self._kept(self.graph.in_branch).select("person_id", "branch_id").unionByName(own)
+
+    @cached_property
+    def has_document(self) -> DataFrame:
+        own = self.mapping.join(self.tasks.where("doc_id is not null"), "task_id").select("person_id", "doc_id")
+        return self.graph.has_document.select("person_id", "doc_id").unionByName(own).distinct()
+
+    @cached_property
+    def counters(self) -> DataFrame:
+        whole = self.mapping.groupBy("task_id").agg(F.count_distinct("person_id").alias("created_persons"))
+        rows = self.said.groupBy("task_id", "key").agg(F.count("*").alias("n")).join(self.resolved, "key")
+        linked = rows.groupBy("task_id").agg((F.sum("n") - F.count_distinct("person_id")).alias("linked_persons"))
+        tie = self.wanted.groupBy("task_id").agg(F.count_if("good").alias("created_relations"), F.count_if(~F.col("good")).alias("skipped"))
+        return self.tasks.select("task_id").join(whole, "task_id", "left").join(linked, "task_id", "left").join(tie, "task_id", "left").na.fill(0)
+
+
 def apply_reviewed(graph: Graph, tasks: DataFrame, people: DataFrame, relations: DataFrame, lineages: DataFrame, branches: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
     """(the graph after, counters, mapping) of tasks (task_id, lineage_id, branch_id, doc_id) with their reviewed rows.
 
@@ -82,52 +189,5 @@ def apply_reviewed(graph: Graph, tasks: DataFrame, people: DataFrame, relations:
     (task_id, created_persons, linked_persons, created_relations, skipped), the first being all
     people of a task; mapping: (task_id, name, person_id).
     """
-    said = people.where(_yes("confirmed")).withColumn("name", N.stripped(F.col("name"))).where("name <> ''")
-    gender = F.when(F.col("gender").isin("male", "female"), F.col("gender")).otherwise("unknown")
-    said = said.select("task_id", F.struct(F.col("task_id"), F.lit(0).alias("kind"), F.col("place"), F.lit(0).alias("side")).alias("order"), "name", gender.alias("gender"), *FILLED)
-    tasks = tasks.select("task_id", "lineage_id", "branch_id", "doc_id")
-    wanted = relations.where(_yes("confirmed")).select("task_id", "place", "marriage_date", *(N.stripped(F.col(c)).alias(c) for c in ("type", "from_name", "to_name")))
-    good = F.col("type").isin("parent_child", "spouse") & (F.col("from_name") != "") & (F.col("to_name") != "")
-    ties = wanted.where(good)
-    end = lambda column, side: ties.select("task_id", F.struct(F.col("task_id"), F.lit(1).alias("kind"), F.col("place"), F.lit(side).alias("side")).alias("order"), F.col(column).alias("name"), F.lit("unknown").alias("gender"))
-    mentions = said.unionByName(end("from_name", 0).unionByName(end("to_name", 1)), allowMissingColumns=True).withColumn("key", N.graph_key(F.col("name")))
-
-    first = mentions.groupBy("key").agg(F.min_by(F.struct("name", "gender"), "order").alias("f"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("order"))).alias(c) for c in FILLED))
-    age = F.struct(F.col("created_at").isNull().alias("a"), F.col("created_at").alias("b"), F.col("person_id").alias("c"))
-    known = graph.persons.withColumn("key", N.graph_key(F.col("name"))).groupBy("key").agg(F.min_by("person_id", age).alias("person_id"))
-    both = cut(first.join(known, "key", "left"))
-    top = graph.persons.agg(F.max("person_id")).first()[0]
-    new = numbered(both.where("person_id is null").drop("person_id"), ["key"], (top if top is not None else 0) + 1, "person_id")
-    fill = both.where("person_id is not null")
-    resolved = cut(fill.select("key", "person_id").unionByName(new.select("key", "person_id")))
-
-    old = graph.persons.join(fill.select("person_id", *(F.col(c).alias(f"_{c}") for c in FILLED)), "person_id", "left")
-    filled = old.withColumns({c: F.coalesce(c, f"_{c}") for c in FILLED}).select(*graph.persons.columns)
-    created = new.select("person_id", "f.name", "f.gender", *FILLED)
-    persons = filled.unionByName(created, allowMissingColumns=True)
-
-    mapping = cut(mentions.select("task_id", "name", "key").distinct().join(resolved, "key").select("task_id", "name", "person_id").distinct())
-    a, b = (resolved.select(F.col("key").alias(k), F.col("person_id").alias(v)) for k, v in (("fk", "src"), ("tk", "dst")))
-    tied = ties.withColumns({"fk": N.graph_key(F.col("from_name")), "tk": N.graph_key(F.col("to_name"))}).join(a, "fk").join(b, "tk")
-    last = tied.groupBy("type", "src", "dst").agg(F.max_by("marriage_date", F.struct("task_id", "place")).alias("marriage_date"))
-    edges = merged_edges(graph.edges, last)
-
-    placed = mapping.join(tasks.where("lineage_id is not null"), "task_id").groupBy("person_id").agg(F.max_by(F.struct("lineage_id", "branch_id"), "task_id").alias("p")).select("person_id", "p.*")
-    in_lineage = placed.join(lineages.select("lineage_id").distinct(), "lineage_id", "left_semi").select("person_id", "lineage_id")
-    in_branch = placed.join(branches.select("branch_id", "lineage_id").distinct(), ["branch_id", "lineage_id"], "left_semi").select("person_id", "branch_id")
-    kept = lambda df: df.join(placed.select("person_id"), "person_id", "left_anti")
-    documents = mapping.join(tasks.where("doc_id is not null"), "task_id").select("person_id", "doc_id")
-    after = Graph(
-        persons,
-        edges,
-        kept(graph.belongs_to).select("person_id", "lineage_id").unionByName(in_lineage),
-        kept(graph.in_branch).select("person_id", "branch_id").unionByName(in_branch),
-        graph.has_document.select("person_id", "doc_id").unionByName(documents).distinct(),
-    )
-
-    whole = mapping.groupBy("task_id").agg(F.count_distinct("person_id").alias("created_persons"))
-    rows = said.groupBy("task_id", N.graph_key(F.col("name")).alias("key")).agg(F.count("*").alias("n")).join(resolved, "key")
-    linked = rows.groupBy("task_id").agg((F.sum("n") - F.count_distinct("person_id")).alias("linked_persons"))
-    tie = wanted.groupBy("task_id").agg(F.count_if(good).alias("created_relations"), F.count_if(~good).alias("skipped"))
-    counters = tasks.select("task_id").join(whole, "task_id", "left").join(linked, "task_id", "left").join(tie, "task_id", "left").na.fill(0)
-    return after, counters, mapping
+    after = Applied(graph, tasks, people, relations, lineages, branches)
+    return Graph(after.persons, after.edges, after.belongs_to, after.in_branch, after.has_document), after.counters, after.mapping

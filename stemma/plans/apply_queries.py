@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import apply as A
+from .cut import cut
 from .registry import query
 
 #: The graph: people of few names, in an order of age that is not that of their ids; reviewed rows: a person and a relation for each page.
@@ -36,32 +37,34 @@ def _views(m):
     none = lambda ddl: m.spark.createDataFrame([], ddl)
     graph = A.Graph(read("g"), read("ge"), m.belongs_to.selectExpr("cast(person_id as bigint) as person_id", "cast(lineage_id as bigint) as lineage_id"), m.in_branch.selectExpr("cast(person_id as bigint) as person_id", "cast(branch_id as bigint) as branch_id"), none("person_id long, doc_id long"))
     long = lambda df, *cs: df.withColumns({c: F.col(c).cast("long") for c in cs})
-    return A.apply_reviewed(graph, long(read("t"), "lineage_id", "branch_id", "doc_id"), read("pe"), read("re"), long(m.lineages, "lineage_id"), long(m.branches, "lineage_id", "branch_id"))
+    people = cut(read("pe"))  # relations are made of people: pages are numbered and named once
+    relations = m.spark.sql(text.rpartition("re AS (")[2].strip().rstrip(",").removesuffix(")").replace(" FROM pe", " FROM {pe}"), pe=people)
+    return A.Applied(graph, long(read("t"), "lineage_id", "branch_id", "doc_id"), people, relations, long(m.lineages, "lineage_id"), long(m.branches, "lineage_id", "branch_id"))
 
 
 @query("res14_people", f"""WITH {_SQL} SELECT g.person_id, g.name, g.gender, coalesce(g.birth_year, l.birth_year) AS birth_year, l.death_year, coalesce(g.birth_place, l.birth_place) AS birth_place, l.biography FROM g LEFT JOIN old ON old.person_id = g.person_id LEFT JOIN lead l ON l.k = old.k
 UNION ALL SELECT f.person_id, l.name, l.gender, l.birth_year, l.death_year, l.birth_place, l.biography FROM fresh f JOIN lead l USING (k)""")
 def res14_people(m):
-    return _views(m)[0].persons.select("person_id", "name", "gender", "birth_year", "death_year", "birth_place", "biography")
+    return _views(m).persons.select("person_id", "name", "gender", "birth_year", "death_year", "birth_place", "biography")
 
 
 @query("res14_applied_relations", f"""WITH {_SQL}, tie AS (SELECT type, a.person_id AS src, b.person_id AS dst, last(marriage_date ORDER BY task_id, place) AS marriage_date FROM good JOIN who a ON a.k = lower(replace(f, ' ', '')) JOIN who b ON b.k = lower(replace(o, ' ', '')) GROUP BY 1, 2, 3)
 SELECT coalesce(n.type, e.type) AS type, coalesce(n.src, e.src) AS src, coalesce(n.dst, e.dst) AS dst, CASE WHEN n.type IS NULL THEN e.rel_id ELSE coalesce(e.rel_id, left(sha256(concat_ws('|', n.type, CAST(n.src AS VARCHAR), CAST(n.dst AS VARCHAR))), 24)) END AS rel_id, CASE WHEN n.type IS NULL THEN e.marriage_date ELSE n.marriage_date END AS marriage_date FROM tie n FULL JOIN ge e ON e.type = n.type AND e.src = n.src AND e.dst = n.dst""")
 def res14_relations(m):
-    return _views(m)[0].edges
+    return _views(m).edges
 
 
 @query("res14_counters", f"""WITH {_SQL} SELECT t.task_id, (SELECT count(DISTINCT person_id) FROM map WHERE map.task_id = t.task_id) AS created_persons, coalesce(s.n, 0) AS linked_persons, coalesce(r.made, 0) AS created_relations, coalesce(r.skipped, 0) AS skipped FROM t
 LEFT JOIN (SELECT task_id, count(*) - count(DISTINCT person_id) AS n FROM said JOIN who ON who.k = lower(replace(said.name, ' ', '')) GROUP BY 1) s ON s.task_id = t.task_id
 LEFT JOIN (SELECT task_id, count(*) FILTER (trim(type) IN ('spouse', 'parent_child') AND trim(from_name) <> '' AND trim(to_name) <> '') AS made, count(*) FILTER (NOT (trim(type) IN ('spouse', 'parent_child') AND trim(from_name) <> '' AND trim(to_name) <> '')) AS skipped FROM re WHERE coalesce(confirmed, true) GROUP BY 1) r ON r.task_id = t.task_id""")
 def res14_counters(m):
-    return _views(m)[1]
+    return _views(m).counters
 
 
 @query("res14_memberships", f"""WITH {_SQL} SELECT 'lineage' AS kind, person_id, lineage_id AS id FROM v_belongs_to WHERE person_id NOT IN (SELECT person_id FROM put) UNION ALL SELECT 'lineage', person_id, lineage_id FROM put WHERE lineage_id IN (SELECT lineage_id FROM v_lineages)
 UNION ALL SELECT 'branch', person_id, branch_id FROM v_in_branch WHERE person_id NOT IN (SELECT person_id FROM put) UNION ALL SELECT 'branch', person_id, put.branch_id FROM put JOIN v_branches b ON b.branch_id = put.branch_id AND b.lineage_id = put.lineage_id
 UNION ALL SELECT DISTINCT 'document', person_id, doc_id FROM map JOIN t ON t.task_id = map.task_id AND doc_id IS NOT NULL""")
 def res14_memberships(m):
-    after = _views(m)[0]
+    after = _views(m)
     rows = [df.select(F.lit(kind).alias("kind"), "person_id", F.col(c).alias("id")) for kind, df, c in (("lineage", after.belongs_to, "lineage_id"), ("branch", after.in_branch, "branch_id"), ("document", after.has_document, "doc_id"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from stemma.functions import names as N
+from stemma.operators import apply as A
 from stemma.operators import maintenance as M
+from stemma.operators import postings as P
 from stemma.operators import records as R
 from stemma.operators import resolve as S
+from stemma.operators import retrieve as T
 from stemma.plans import registry, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +52,25 @@ def test_containing_deals_no_rows_for_ids_that_occur_once(spark):
     assert "Aggregate [id" not in plan(once)
     more = S.containing(spark.createDataFrame([(1, "ann"), (1, "ann bob"), (2, "bob"), (None, "ann"), (None, "ann")], "id long, body string"), "id", "body", people)
     assert sorted(map(repr, map(tuple, more.collect()))) == ["(1, 10)", "(1, 11)", "(2, 11)", "(None, 10)"]
+
+
+def test_applied_makes_only_what_is_asked_for(spark):
+    rows = lambda ddl: spark.createDataFrame([], ddl)
+    person = "person_id long, name string, gender string, created_at long, birth_year int, death_year int, birth_place string, biography string"
+    graph = A.Graph(spark.createDataFrame([(1, "ann", None, 1, None, None, None, None)], person), rows("type string, src long, dst long, rel_id string, marriage_date string"), rows("person_id long, lineage_id long"), rows("person_id long, branch_id long"), rows("person_id long, doc_id long"))
+    tasks = spark.createDataFrame([(1, 1, 1, 1)], "task_id long, lineage_id long, branch_id long, doc_id long")
+    people = spark.createDataFrame([(1, 1, " Ann ", "male", 1900, None, None, None, None), (1, 2, "Bob", "x", None, None, "here", None, True)], "task_id long, place long, name string, gender string, birth_year int, death_year int, birth_place string, biography string, confirmed boolean")
+    ties = rows("task_id long, place long, type string, from_name string, to_name string, marriage_date string, confirmed boolean")
+    after = A.Applied(graph, tasks, people, ties, rows("lineage_id long"), rows("branch_id long, lineage_id long"))
+    assert sorted(after.persons.select("person_id", "name", "birth_year", "birth_place").collect()) == [(1, "ann", 1900, None), (2, "Bob", None, "here")]
+    assert not {"mapping", "counters", "_placed"} & set(vars(after))
+    assert [tuple(r) for r in after.counters.collect()] == [(1, 2, 0, 0, 0)]
+
+
+def test_stripped_is_what_the_pattern_says(spark):
+    texts = [None, "", " ", "a", " a b ", "a\n", "　a\u0085", " ", "a \n", "\x1ca", "a\x00", "\U0001F600 ", "x​"]
+    whole = F.coalesce("t", F.lit(""))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.where(N.stripped(F.col("t")) != F.regexp_replace(whole, r"(?U)^\s+|\s+$", ""))
+    keys = df.where(N.graph_key(F.col("t")) != F.lower(F.regexp_replace(whole, "[ \\t\\u3000]", "")))
+    assert same.count() == keys.count() == 0
