@@ -74,3 +74,14 @@ def test_stripped_is_what_the_pattern_says(spark):
     same = df.where(N.stripped(F.col("t")) != F.regexp_replace(whole, r"(?U)^\s+|\s+$", ""))
     keys = df.where(N.graph_key(F.col("t")) != F.lower(F.regexp_replace(whole, "[ \\t\\u3000]", "")))
     assert same.count() == keys.count() == 0
+
+
+def test_vectors_are_normalised_before_they_are_copied(spark):
+    v = spark.createDataFrame([(i, [float(i % 3 + 1), 1.0]) for i in range(30)], "entry_id long, vector array<double>")
+    got = T.nearest_of_each(v, v.where("entry_id < 4").withColumnRenamed("entry_id", "query_id"), 6, block=7)
+    lines = [x.lstrip(" :+-") for x in plan(got).splitlines()]
+    copied = [i for i, x in enumerate(lines) if x.startswith("Generate explode")]
+    made = [i for i, x in enumerate(lines) if x.startswith("Project") and "aggregate(" in x]
+    assert len(copied) == len(made) == 2 and all(a < b for a, b in zip(copied, made, strict=True))
+    best = {q: [r.entry_id for r in sorted(got.where(F.col("query_id") == q).collect(), key=lambda r: r.place)] for q in range(4)}
+    assert best == {q: [i for i in range(30) if i % 3 == q % 3][:6] for q in range(4)}
