@@ -22,27 +22,31 @@ RUN, FIRST = 3, 3
 
 
 def build(entries: DataFrame) -> DataFrame:
+    """runs() of entries to be kept as Parquet, sorted by gram: a search reads only the row groups of the runs it asks for."""
+    return runs(entries).repartitionByRange("gram", "entry_id").sortWithinPartitions("gram", "entry_id")
+
+
+def runs(entries: DataFrame) -> DataFrame:
     """(gram, head, entry_id): each run of up to three characters of active entries (entry_id, title, type, text, status), head if it is in title or type.
 
-    To be kept as Parquet, sorted by gram: a search reads only the row groups of the runs it asks for.
-    Nulls have no runs; texts are whole.
+    Nulls have no runs; texts are whole. An index that one search uses and nobody keeps need not be sorted.
     """
     rows = entries.where("status = 'active'").select(F.col("entry_id").cast("long"), "title", "type", "text")
     names = ["gram", "head", "entry_id"]
 
-    def runs(text: str | None) -> set[str]:
+    def parts(text: str | None) -> set[str]:
         return {text[i : i + n] for n in range(1, RUN + 1) for i in range(len(text) - n + 1)} if text else set()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, title, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                head = runs(title) | runs(kind)
-                body = runs(text) - head
+                head = parts(title) | parts(kind)
+                body = parts(text) - head
                 flags = pa.array([True] * len(head) + [False] * len(body), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([*head, *body], pa.string()), flags, pa.array([i] * len(flags), pa.int64())], names=names)
 
     on_workers(entries.sparkSession)
-    return rows.mapInArrow(grams, "gram string, head boolean, entry_id long").repartitionByRange("gram", "entry_id").sortWithinPartitions("gram", "entry_id")
+    return rows.mapInArrow(grams, "gram string, head boolean, entry_id long")
 
 
 def _parts(word: Column) -> Column:
@@ -55,12 +59,12 @@ def search(entries: DataFrame, index: DataFrame, questions: DataFrame, limit: in
     """(question_id, r, entry_id, hits): for each question (question_id, tokens) the best entries, as keyword_search() ranks them.
 
     Each word counts 2 in title or type, else 1 in the text; then page (unknown is 0), then newest id.
-    Repeated words of a question count once each time, empty ones find nothing. index is build(entries).
+    Repeated words of a question count once each time, empty ones find nothing. index is build(entries) or runs(entries).
     """
     asked = cut(questions.select("question_id", F.filter("tokens", lambda t: t.isNotNull() & (t != "")).alias("tokens")))
     words = asked.select(F.explode("tokens").alias("word")).distinct()
     parts = words.select("word", F.explode(_parts(F.col("word"))).alias("gram"))
-    postings = cut(index.join(parts.select("gram").distinct(), "gram", "left_semi"))
+    postings = cut(index.join(cut(parts.select("gram").distinct()), "gram", "left_semi"))
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     # a word with a run that no entry has is in none
     rare = parts.join(counts, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("g"))).alias("gram"))

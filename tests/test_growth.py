@@ -85,3 +85,10 @@ def test_vectors_are_normalised_before_they_are_copied(spark):
     assert len(copied) == len(made) == 2 and all(a < b for a, b in zip(copied, made, strict=True))
     best = {q: [r.entry_id for r in sorted(got.where(F.col("query_id") == q).collect(), key=lambda r: r.place)] for q in range(4)}
     assert best == {q: [i for i in range(30) if i % 3 == q % 3][:6] for q in range(4)}
+
+
+def test_runs_of_one_search_are_not_sorted(spark):
+    entries = spark.createDataFrame([(1, "ab", None, "the cat", 1, "active"), (2, None, "x", "a cab", None, "active"), (3, "cat", "x", "", 2, "gone")], "entry_id long, title string, type string, text string, page_no int, status string")
+    index = P.runs(entries)
+    assert "Sort" not in plan(index) and "Repartition" not in plan(index)
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, P.build(entries).collect()))
