@@ -128,9 +128,9 @@ def con03(m):
     relation = F.struct(F.when(F.col("part_id") % 3 == 0, " spouse ").when(F.col("part_id") % 3 == 1, "parent_child").otherwise("cousin").alias("type"), name.alias("from_name"), F.when(F.col("person_id") % 4 != 0, "x").alias("to_name"), conf.alias("confidence"))
     page = F.col("page_no").cast("long")
     out = m.pages.select("task_id", page.alias("page_no"), R.block_results(F.array(person), F.array(relation), F.array(page)).alias("r"))
-    people = out.select("task_id", "page_no", F.lit("person").alias("kind"), F.explode("r.persons").alias("p")).select("task_id", "page_no", "kind", "p.name", F.col("p.gender").alias("what"), "p.confidence")
-    related = out.select("task_id", "page_no", F.lit("relation").alias("kind"), F.explode("r.relations").alias("p")).select("task_id", "page_no", "kind", F.col("p.from_name").alias("name"), F.col("p.type").alias("what"), "p.confidence")
-    return people.unionByName(related)
+    one = lambda kind, name, what, p: F.struct(F.lit(kind).alias("kind"), p[name].alias("name"), p[what].alias("what"), p["confidence"].alias("confidence"))
+    both = F.concat(F.transform("r.persons", lambda p: one("person", "name", "gender", p)), F.transform("r.relations", lambda p: one("relation", "from_name", "type", p)))
+    return out.select("task_id", "page_no", F.explode(both).alias("p")).select("task_id", "page_no", "p.*")  # pages are read once
 
 
 _BRIEFS = """b AS (SELECT person_id % 5 AS task_id, row_number() OVER (PARTITION BY person_id % 5 ORDER BY person_id) - 1 AS number, p.* FROM v_persons p),
