@@ -198,16 +198,12 @@ def against_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = id_text(df, id_col, text_col)
     docs, plan = C.dealt(own)
-    with_id, head = docs.where("with_id"), pa.schema([("chunk", pa.int64()), ("text", pa.string())])
-
-    def largest(key: tuple, t: pa.Table) -> pa.Table:
-        ids, texts = C.ordered(t)
-        last = sum(i is not None for i in ids) - 1
-        return pa.table([[key[0].as_py()], [texts[last].decode("utf-8", "surrogatepass")]], schema=head)
-
-    heads = with_id.groupBy("chunk").applyInArrow(largest, "chunk long, text string")
+    # which document is the last of a chunk is told by ids alone; of the texts only these are sent, one for each chunk
+    with_id = own.where("doc_id is not null")
+    ends = C.numbered(with_id.select("doc_id"), plan).groupBy("chunk").agg(F.max("doc_id").alias("doc_id"))
+    heads = with_id.join(F.broadcast(ends), "doc_id").groupBy("chunk").agg(F.max("text").alias("text"))
     none = F.lit(None).cast("long")
-    following = _previous(with_id.select("chunk").distinct()).join(heads, "chunk").select(F.col("to").alias("chunk"), "text", none.alias("doc_id"), none.alias("class_id"))
+    following = _previous(ends.select("chunk")).join(heads, "chunk").select(F.col("to").alias("chunk"), "text", none.alias("doc_id"), none.alias("class_id"))
     dealt = C.numbered(near_duplicates(own, "doc_id", "text"), plan).select("chunk", F.lit(None).cast("string").alias("text"), "doc_id", "class_id")
     beside = following.unionByName(dealt)
 

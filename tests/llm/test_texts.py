@@ -304,6 +304,11 @@ def test_fingerprints_in_chunks(spark, texts, monkeypatch):
     assert {r["doc_id"]: r for r in edit_fingerprint.against_edits(table(spark, texts)).collect()} == one
 
 
+def test_fingerprints_send_whole_texts_once(spark, texts):
+    lines = edit_fingerprint.against_edits(table(spark, texts))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("MapInArrow" in x and "texts#" in x for x in lines) == 1
+
+
 def test_edit_near_duplicates(spark):
     r = random.Random(9)
     base = [prose(r, 80) for _ in range(6)]
