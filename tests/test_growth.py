@@ -9,7 +9,7 @@ from stemma.operators import postings as P
 from stemma.operators import records as R
 from stemma.operators import resolve as S
 from stemma.operators import retrieve as T
-from stemma.plans import registry, text_queries  # noqa: F401
+from stemma.plans import name_queries, registry, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +92,10 @@ def test_runs_of_one_search_are_not_sorted(spark):
     index = P.runs(entries)
     assert "Sort" not in plan(index) and "Repartition" not in plan(index)
     assert sorted(map(tuple, index.collect())) == sorted(map(tuple, P.build(entries).collect()))
+
+
+def test_neighbours_meet_by_blocks_after_names_are_read(spark):
+    lines = [x.lstrip(" :+-") for x in plan(registry.QUERIES["res08_match_scores"](spark, SF)).splitlines()]
+    first = next(x for x in lines if x.startswith("Join"))
+    assert first.startswith("Join Inner") and "block" in first
+    assert sum(x.startswith("Join LeftOuter, (_text") for x in lines) == 2
