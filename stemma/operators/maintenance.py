@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_file_name
-from ..plans.cut import cut
+from ..plans.cut import cut, spread
 
 
 def purged(purge: DataFrame, tasks: DataFrame, contributed: DataFrame, entries: DataFrame, vectors: DataFrame, lineages: DataFrame, branches: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
@@ -97,10 +97,12 @@ def orphans(files: DataFrame, objects: DataFrame, tasks: DataFrame, entries: Dat
     """
     known = tasks.select(F.col("task_id").cast("string").alias("name")).distinct()
     parts = F.split("path", "/")
+    rows = files.count() + objects.count()  # there are as many folders at most
 
     def folders(listing: DataFrame, top: str, kind: str, mark: str, mtime: Column) -> DataFrame:
         own = listing.withColumn("name", parts[1]).where((parts[0] == top) & (F.size(parts) > 2) & (F.col("name") != ""))
-        own = own.groupBy("name").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("size"), F.count("*").alias("files"), mtime.cast("string").alias("mtime")).join(known, "name", "left_anti")
+        own = own.groupBy("name").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("size"), F.count("*").alias("files"), mtime.cast("string").alias("mtime"))
+        own = spread(own, rows, "name").join(spread(known, rows, "name"), "name", "left_anti")
         return own.select(F.concat(F.lit(mark), "name").alias("key"), F.lit(kind).alias("kind"), "name", F.concat(F.lit(f"{top}/"), "name", F.lit("/" if kind == "minio_prefix" else "")).alias("path"), "size", "files", "mtime")
 
     local = folders(files, "tasks", "local_dir", "local:", F.max("mtime"))

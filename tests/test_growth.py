@@ -99,3 +99,12 @@ def test_neighbours_meet_by_blocks_after_names_are_read(spark):
     first = next(x for x in lines if x.startswith("Join"))
     assert first.startswith("Join Inner") and "block" in first
     assert sum(x.startswith("Join LeftOuter, (_text") for x in lines) == 2
+
+
+def test_large_steps_are_spread(spark, monkeypatch):
+    monkeypatch.setattr("stemma.plans.cut.ROWS", 1)
+    frame = spark.createDataFrame
+    listing = lambda top: frame([(f"{top}/1/a", 5, 1), (f"{top}/2/b", 7, 2), (f"{top}/2/c", 1, 3)], "path string, bytes long, mtime long")
+    found = M.orphans(listing("tasks"), listing("scans"), frame([(1,)], "task_id long"), frame([(1, 4)], "entry_id long, lineage_id long"), frame([(4,)], "lineage_id long"))
+    assert plan(found).count("RepartitionByExpression [name") == 4
+    assert sorted((r["kind"], r["name"], r["size"], r["mtime"]) for r in found.collect()) == [("local_dir", "2", 8, "3"), ("minio_prefix", "2", 8, "3")]
