@@ -108,3 +108,7 @@ def test_large_steps_are_spread(spark, monkeypatch):
     found = M.orphans(listing("tasks"), listing("scans"), frame([(1,)], "task_id long"), frame([(1, 4)], "entry_id long, lineage_id long"), frame([(4,)], "lineage_id long"))
     assert plan(found).count("RepartitionByExpression [name") == 4
     assert sorted((r["kind"], r["name"], r["size"], r["mtime"]) for r in found.collect()) == [("local_dir", "2", 8, "3"), ("minio_prefix", "2", 8, "3")]
+    ties = frame([(1, "spouse", "a", "b"), (1, "spouse", "c", "b"), (2, "spouse", "a", "c")], "task_id long, type string, from_name string, to_name string")
+    renamed = S.renamed_relations(ties, frame([(1, "c", "a"), (2, "c", "a")], "task_id long, drop string, keep string"))
+    assert plan(renamed).count("RepartitionByExpression [task_id") == 3
+    assert [tuple(r) for r in renamed.collect()] == [(1, "spouse", "a", "b")]
